@@ -41,6 +41,11 @@ def badge(label: Column, confidence: Column) -> Column:
     )
 
 
+def hard_class(p: Column) -> Column:
+    """Predicted class; a probability of exactly one half goes to class 0."""
+    return (p > 0.5).cast("int")
+
+
 def logistic(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 

@@ -12,10 +12,6 @@ from riskloom.operators.ordering import running_sum
 from riskloom.schema import LABEL, METRIC_NAMES
 
 
-def hard_class(p: Column, cut: float = 0.5) -> Column:
-    return (p >= cut).cast("int")
-
-
 def _with_model(scored: DataFrame) -> DataFrame:
     return scored if "model" in scored.columns else scored.withColumn("model", F.lit("model"))
 

@@ -157,7 +157,12 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     )
 
 
-def impute_from_batch(df: DataFrame, columns=FEATURES) -> DataFrame:
-    """Fill gaps with the medians of the batch itself, looking only at columns that have gaps."""
+def batch_medians(df: DataFrame, columns=FEATURES) -> dict[str, float]:
+    """Medians of the columns that have gaps in this batch."""
     present = [c for c in columns if c in df.columns]
-    return impute(df, exact_medians(df, columns_with_gaps(df, present)))
+    return exact_medians(df, columns_with_gaps(df, present))
+
+
+def impute_from_batch(df: DataFrame, columns=FEATURES) -> DataFrame:
+    """Fill gaps with the medians of the batch itself."""
+    return impute(df, batch_medians(df, columns))

@@ -1,5 +1,6 @@
 """The three candidate models, and scorers that add ``p`` to scaled rows."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -10,12 +11,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.risk import logistic
+from riskloom.functions.risk import hard_class, logistic
 from riskloom.operators.weights import with_balanced_weight, with_positive_weight
-from riskloom.schema import FEATURES, LABEL
+from riskloom.schema import FEATURES, KEY, LABEL
 
 LOGISTIC = "Logistic Regression"
 FOREST = "Random Forest"
@@ -80,8 +81,6 @@ def importance(model, n: int = 15) -> DataFrame | None:
     if weights is None:
         return None
     rows = list(zip(FEATURES, [float(w) for w in weights.toArray()]))
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.getActiveSession()
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(n)
@@ -110,12 +109,23 @@ class FixedLogit:
         z = F.lit(float(self.intercept))
         for c, weight in self.coefficients.items():
             z = z + F.lit(float(weight)) * F.col(c)
-        return scored_by(scaled, logistic(z))
-
-
-def scored_by(scaled: DataFrame, p) -> DataFrame:
-    with_p = scaled.withColumn("p", p)
-    return with_p.withColumn("prediction", (F.col("p") >= 0.5).cast("int"))
+        return scaled.withColumn("p", logistic(z)).withColumn("prediction", hard_class(F.col("p")))
+
+
+def compare(scaled: DataFrame, scorers: dict[str, Callable]) -> DataFrame:
+    """``model, <key>, Class, p, prediction`` for several scorers over one pass of the rows."""
+    kept = [c for c in (KEY, LABEL) if c in scaled.columns]
+    wide, results = scaled, []
+    for i, (name, scorer) in enumerate(scorers.items()):
+        wide = scorer(wide).withColumnsRenamed({"p": f"_p{i}", "prediction": f"_prediction{i}"})
+        results.append(
+            F.struct(
+                F.lit(name).alias("model"),
+                F.col(f"_p{i}").alias("p"),
+                F.col(f"_prediction{i}").alias("prediction"),
+            )
+        )
+    return wide.select(*kept, F.inline(F.array(*results))).select("model", *kept, "p", "prediction")
 
 
 def as_pipeline(model) -> PipelineModel:

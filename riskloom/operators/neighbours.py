@@ -25,7 +25,7 @@ from riskloom.storage import materialise
 # The task functions travel with the plan, so that workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CHUNK = 512
+_CELLS_AT_ONCE = 4_000_000
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,6 +37,12 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chunks(rows: int, others: int) -> Iterator[slice]:
+    """Row ranges whose distance matrices stay small."""
+    step = max(1, _CELLS_AT_ONCE // max(1, others))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -51,10 +57,10 @@ def _assign(pool: DataFrame, pivots: np.ndarray) -> DataFrame:
             points = _matrix(batch.column("v"))
             cell = np.empty(len(points), dtype=np.int32)
             gap = np.empty(len(points))
-            for at in range(0, len(points), _CHUNK):
-                d2 = squared_distances(points[at : at + _CHUNK], pivots)
-                cell[at : at + _CHUNK] = d2.argmin(axis=1)
-                gap[at : at + _CHUNK] = np.sqrt(d2.min(axis=1))
+            for some in _chunks(len(points), len(pivots)):
+                d2 = squared_distances(points[some], pivots)
+                cell[some] = d2.argmin(axis=1)
+                gap[some] = np.sqrt(d2.min(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell), pa.array(gap)], [*batch.schema.names, "cell", "gap"]
             )
@@ -71,9 +77,9 @@ def _best_in_block(n: int):
         if len(ids) and len(qids):
             points, others = _matrix(queries.column("v")), _matrix(candidates.column("point"))
             bounds = queries.column("bound").to_numpy()
-            for at in range(0, len(qids), _CHUNK):
-                d2 = squared_distances(points[at : at + _CHUNK], others)
-                limit = bounds[at : at + _CHUNK]
+            for some in _chunks(len(qids), len(ids)):
+                d2 = squared_distances(points[some], others)
+                limit = bounds[some]
                 if len(ids) > n:
                     limit = np.minimum(limit, np.partition(d2, n - 1, axis=1)[:, n - 1])
                 row, col = np.nonzero(d2 <= limit[:, None])
@@ -81,7 +87,7 @@ def _best_in_block(n: int):
                 row, col = row[order], col[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 row, col = row[place < n], col[place < n]
-                for part, values in zip(found, (qids[at : at + _CHUNK][row], ids[col], d2[row, col])):
+                for part, values in zip(found, (qids[some][row], ids[col], d2[row, col])):
                     part.append(values)
         joined = [np.concatenate(part) if part else np.empty(0) for part in found]
         return pa.table(
@@ -148,8 +154,7 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, stats: dict) -> Data
             own = batch.column("cell").to_numpy()
             gap = batch.column("gap").to_numpy()
             bound = batch.column("bound").to_numpy()
-            for at in range(0, len(points), _CHUNK):
-                some = slice(at, at + _CHUNK)
+            for some in _chunks(len(points), len(cells)):
                 d2 = squared_distances(points[some], centres)
                 d = np.sqrt(d2)
                 apart = np.sqrt(squared_distances(pivots[own[some]], centres))
@@ -159,7 +164,7 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, stats: dict) -> Data
                 least = np.maximum(least, np.where(apart > 0, border, 0.0))
                 reach = np.sqrt(bound[some])[:, None] * (1 + 1e-9) + 1e-9
                 row, col = np.nonzero((least <= reach) & (cells[None, :] != own[some, None]))
-                taken = pa.array(row + at)
+                taken = pa.array(row + some.start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("qid").take(taken),
@@ -178,8 +183,8 @@ def nearest_neighbours(
     k: int = 5,
     key: str = KEY,
     vector: str = "features",
-    block_rows: int = 2_048,
-    max_pivots: int = 4_096,
+    block_rows: int = 4_096,
+    max_pivots: int = 32_768,
 ) -> DataFrame:
     """``id, nn_rank (1..k), nn_id, distance`` for every point; a point is not its own neighbour.
 

@@ -18,6 +18,7 @@ from riskloom.storage import materialise
 
 _BLOCK_BITS = 33
 _MAX_BLOCKS = 1_000_000
+_BUCKETS = 10_000
 
 
 def in_order(df: DataFrame, order: list) -> DataFrame:
@@ -104,7 +105,9 @@ def running_sum(
     )
 
 
-def rows_at(df: DataFrame, wanted: list[int], key: str = KEY, small: int = 1_000_000) -> DataFrame:
+def rows_at(
+    df: DataFrame, wanted: list[int], key: str = KEY, total: int | None = None, small: int = 1_000_000
+) -> DataFrame:
     """Exactly the rows whose 1-based places in key order are ``wanted``, with ``row``.
 
     A large table is cut into buckets by approximate quantiles of the key. Exact bucket counts show
@@ -112,7 +115,7 @@ def rows_at(df: DataFrame, wanted: list[int], key: str = KEY, small: int = 1_000
     """
     spark = df.sparkSession
     wanted = sorted(set(wanted))
-    total = df.count()
+    total = df.count() if total is None else total
     moved = [(place, place) for place in wanted]
     if total > small:
         df, moved = _only_buckets_of(df, wanted, key)
@@ -123,7 +126,7 @@ def rows_at(df: DataFrame, wanted: list[int], key: str = KEY, small: int = 1_000
 
 def _only_buckets_of(df: DataFrame, wanted: list[int], key: str) -> tuple[DataFrame, list]:
     """Rows of the buckets that hold a wanted place, and where those places moved to."""
-    n = 1_000
+    n = _BUCKETS
     cuts = df.agg(
         F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("cuts")
     ).first()["cuts"]
@@ -154,7 +157,7 @@ def thin(df: DataFrame, key: str = KEY, target: int = 200) -> DataFrame:
     """Every ``step``-th row from the first, ``step = max(1, floor(n / target))``: under 2*target rows."""
     total = df.count()
     step = max(1, total // target)
-    return rows_at(df, list(range(1, total + 1, step)), key)
+    return rows_at(df, list(range(1, total + 1, step)), key, total)
 
 
 def time_sorted(df: DataFrame, key: str = KEY, row: str = "row") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from riskloom.operators.ordering import rows_at, shuffled, time_sorted, with_row
 from riskloom.schema import KEY, LABEL
 
 _FEW = 10_000
-_DIGITS = 3
+_DIGITS = 4
 
 
 def of_class(df: DataFrame, value: int, label: str = LABEL) -> DataFrame:
@@ -39,22 +41,53 @@ def train_sizes(counts: dict, test_fraction: float) -> dict:
     return sizes
 
 
-def _smallest_keys_cut(df: DataFrame, draw: Column, k: int, counts: dict[str, int]) -> str:
-    """The k-th smallest draw, found digit by digit; ``counts`` are rows per leading digits."""
-    prefix, left = "", k
-    while True:
+@dataclass
+class _Cut:
+    """Looks for the draw at one place (from 1) of one class, digit by digit."""
+
+    label: int
+    place: int
+    prefix: str = ""
+    inside: int = 0
+    draw: str | None = None
+
+    def narrow(self, counts: dict[str, int]) -> None:
+        """``counts`` are rows per longer prefix; move to the one that holds the place."""
         for digits in sorted(counts):
-            if left <= counts[digits]:
-                prefix = digits
-                break
-            left -= counts[digits]
-        inside = df.filter(draw.startswith(prefix))
-        if counts[prefix] <= _FEW or len(prefix) >= 32:
-            draws = sorted(r[0] for r in inside.select(draw).collect())
-            return draws[left - 1]
-        longer = F.substring(draw, 1, len(prefix) + _DIGITS)
-        rows = inside.groupBy(longer.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
-        counts = {r["d"]: r["n"] for r in rows}
+            if self.place <= counts[digits]:
+                self.prefix, self.inside = digits, counts[digits]
+                return
+            self.place -= counts[digits]
+
+
+def _find_cuts(df: DataFrame, cuts: list[_Cut], label: str) -> None:
+    """Settle all cuts; ``df`` has the label and the draw only. One job per round for all classes."""
+    while open_cuts := [c for c in cuts if c.draw is None]:
+        wide = [c for c in open_cuts if c.inside > _FEW and len(c.prefix) < 32]
+        at = wide or open_cuts
+        inside = df.filter(
+            reduce(or_, [(F.col(label) == c.label) & F.col("_draw").startswith(c.prefix) for c in at])
+        )
+        if wide:
+            longest = max(len(c.prefix) for c in wide)
+            grouped = _count_heads(inside, longest + _DIGITS, label)
+            for c in wide:
+                mine = grouped[c.label]
+                c.narrow({d: n for d, n in mine.items() if d.startswith(c.prefix)})
+        else:
+            draws: dict = {}
+            for r in inside.collect():
+                draws.setdefault(r[label], []).append(r["_draw"])
+            for c in at:
+                c.draw = sorted(draws[c.label])[c.place - 1]
+
+
+def _count_heads(df: DataFrame, digits: int, label: str) -> dict[int, dict[str, int]]:
+    head = F.substring("_draw", 1, digits).alias("head")
+    out: dict = {}
+    for r in df.groupBy(label, head).agg(F.count(F.lit(1)).alias("n")).collect():
+        out.setdefault(r[label], {})[r["head"]] = r["n"]
+    return out
 
 
 def stratified_split(
@@ -72,22 +105,17 @@ def stratified_split(
     Keys must be unique; classes must be few.
     """
     draw = digest(seed, "split", F.col(key))
-    heads = (
-        df.groupBy(label, F.substring(draw, 1, _DIGITS).alias("d"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    by_class: dict = {}
-    for r in heads:
-        by_class.setdefault(r[label], {})[r["d"]] = r["n"]
-    counts = {c: sum(n.values()) for c, n in by_class.items()}
+    draws = df.select(label, draw.alias("_draw"))
+    heads = _count_heads(draws, _DIGITS, label)
+    counts = {c: sum(n.values()) for c, n in heads.items()}
     sizes = train_sizes(counts, test_fraction)
-    in_test = F.lit(False)
-    for c, heads_of_class in by_class.items():
-        k = counts[c] - sizes[c]
-        if k:
-            cut = _smallest_keys_cut(df.filter(F.col(label) == c), draw, k, heads_of_class)
-            in_test = in_test | ((F.col(label) == c) & (draw <= cut))
+    cuts = [_Cut(c, counts[c] - sizes[c]) for c in counts if counts[c] > sizes[c]]
+    for c in cuts:
+        c.narrow(heads[c.label])
+    _find_cuts(draws, cuts, label)
+    in_test = reduce(
+        or_, [(F.col(label) == c.label) & (draw <= c.draw) for c in cuts], F.lit(False)
+    )
     return df.filter(~in_test), df.filter(in_test)
 
 
@@ -102,7 +130,7 @@ def bootstrap(df: DataFrame, n: int, seed: int = 42, tag: str = "pick", key: str
     )
     if n <= _FEW:
         wanted = [r["row"] for r in draws.select("row").distinct().collect()]
-        pool, draws = rows_at(df, wanted, key), F.broadcast(draws)
+        pool, draws = rows_at(df, wanted, key, total), F.broadcast(draws)
     else:
         pool = with_row(df, key)
     return pool.join(draws, "row").drop("row")

@@ -27,7 +27,7 @@ def synthesise(
     n_minority: int,
     k: int = 5,
     seed: int = 42,
-    block_rows: int = 2_048,
+    block_rows: int = 4_096,
 ) -> DataFrame:
     """``n_new`` rows with negative keys; ``base_id``, ``nn_id`` and ``step`` tell their origin.
 
@@ -67,7 +67,7 @@ def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
 
 
 def smote(
-    train: DataFrame, ratio: float = 0.1, k: int = 5, seed: int = 42, block_rows: int = 2_048
+    train: DataFrame, ratio: float = 0.1, k: int = 5, seed: int = 42, block_rows: int = 4_096
 ) -> DataFrame:
     """The training rows and the synthetic rows of the smaller class. Never pass test rows."""
     counts = class_counts(train)

@@ -116,7 +116,7 @@ _THREE = _with(
         for name in LOGITS
     )
     + ")",
-    "judged AS (SELECT *, CAST(p >= 0.5 AS INTEGER) AS prediction FROM probs)",
+    "judged AS (SELECT *, CAST(p > 0.5 AS INTEGER) AS prediction FROM probs)",
     """cells AS (SELECT model,
         count(*) FILTER (Class = 1 AND prediction = 1) AS tp,
         count(*) FILTER (Class = 0 AND prediction = 1) AS fp,

@@ -30,7 +30,7 @@ from riskloom.operators.evaluation import (
     roc_auc,
     roc_points,
 )
-from riskloom.operators.medians import fit_medians, impute_from_batch
+from riskloom.operators.medians import batch_medians, fit_medians, impute, impute_from_batch
 from riskloom.operators.models import (
     MODEL_NAMES,
     FixedLogit,
@@ -38,6 +38,7 @@ from riskloom.operators.models import (
     as_pipeline,
     assembler,
     candidates,
+    compare,
     fit_boosted,
     fit_forest,
     fit_logistic,
@@ -111,14 +112,8 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _three_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events scored by each fixed model, in long form."""
     events = _aligned_events(spark, sf_dir)
-    scaler = fit_scaler(events)
-    parts = [
-        score_rows(events, _logit(name), scaler).select(
-            F.lit(name).alias("model"), KEY, LABEL, "p", "prediction"
-        )
-        for name in LOGITS
-    ]
-    return stack(*parts)
+    scaled = apply_scaler(events, fit_scaler(events))
+    return compare(scaled, {name: _logit(name) for name in LOGITS})
 
 
 # -- scoring and reports ---------------------------------------------------------------------
@@ -175,8 +170,9 @@ def display_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch scoring of a feed with gaps: batch medians fill them, predictions are numbered."""
     gaps = tx_events_gaps(spark, sf_dir)
-    filled = impute_from_batch(align(gaps))
-    predictions, _ = score_batch(gaps, _logit(), fit_scaler(filled))
+    medians = batch_medians(align(gaps))
+    scaler = fit_scaler(impute(align(gaps), medians))
+    predictions, _ = score_batch(gaps, _logit(), scaler, medians)
     return predictions
 
 

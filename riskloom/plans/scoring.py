@@ -11,6 +11,7 @@ from riskloom.operators.medians import impute, impute_from_batch
 from riskloom.operators.ordering import with_row
 from riskloom.operators.scaling import Scaler, apply_scaler
 from riskloom.schema import BANDS, EXPORT, FEATURES, KEY, LABEL, LOWEST_BAND
+from riskloom.storage import materialise
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -75,4 +76,6 @@ def score_batch(
     """(predictions in export shape with 1-based ``row`` in key order, rejected rows)."""
     ready, rejected = prepare(df, medians)
     scored = score_rows(ready, scorer, scaler, bands, lowest)
-    return with_row(scored.select(KEY, *EXPORT[1:]), KEY).select(KEY, *EXPORT), rejected
+    # ordering samples its input first; from a written table that does not run the model twice
+    narrow = materialise(scored.select(KEY, *EXPORT[1:]), "scored")
+    return with_row(narrow, KEY).select(KEY, *EXPORT), rejected

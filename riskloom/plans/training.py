@@ -3,14 +3,13 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from riskloom.operators.cleaning import align, dedup, drop_missing, require_columns, require_rows
 from riskloom.operators.evaluation import champion, model_metrics, report
 from riskloom.operators.medians import fit_medians
-from riskloom.operators.models import ModelScorer, as_pipeline, assembler, candidates
+from riskloom.operators.models import ModelScorer, as_pipeline, assembler, candidates, compare
 from riskloom.operators.ordering import with_row
-from riskloom.operators.sampling import stack, stratified_split
+from riskloom.operators.sampling import stratified_split
 from riskloom.operators.scaling import Scaler, apply_scaler, fit_scaler
 from riskloom.operators.smote import smote
 from riskloom.schema import FEATURES, KEY, LABEL
@@ -30,8 +29,8 @@ class Prepared:
 
 def clean(raw: DataFrame) -> DataFrame:
     """Aligned, distinct, complete rows with a key, written once."""
-    rows = align(require_columns(raw))
-    kept = drop_missing(dedup(rows).drop("copies"))
+    rows = drop_missing(align(require_columns(raw)))
+    kept = dedup(rows).drop("copies")
     if KEY not in kept.columns:
         kept = with_row(kept, *FEATURES, LABEL, row=KEY)
     return require_rows(materialise(kept.select(KEY, LABEL, *FEATURES), "clean"))
@@ -42,8 +41,8 @@ def prepare(
 ) -> Prepared:
     """Clean, split, scale, rebalance.
 
-    The scaler sees the training rows only; ``fit_scope="all"`` lets it see every row. A minority
-    that already reaches ``ratio`` is left as it is when ``ratio`` is 0.
+    The scaler sees the training rows only; ``fit_scope="all"`` lets it see every row. With
+    ``ratio`` 0 the classes stay as they are.
     """
     rows = clean(raw)
     train, test = stratified_split(rows, test_fraction, seed)
@@ -71,13 +70,8 @@ def fit_all(prepared: Prepared, fits: dict | None = None) -> Trained:
         assembler().transform(prepared.train).select(KEY, LABEL, "features"), "vectors"
     )
     models = {name: fit(vectors) for name, fit in fits.items()}
-    scored = [
-        ModelScorer(as_pipeline(model))(prepared.test).select(
-            F.lit(name).alias("model"), KEY, LABEL, "p", "prediction"
-        )
-        for name, model in models.items()
-    ]
-    predictions = materialise(stack(*scored), "predictions")
+    scorers = {name: ModelScorer(as_pipeline(model)) for name, model in models.items()}
+    predictions = materialise(compare(prepared.test, scorers), "predictions")
     names = list(fits)
     metrics = materialise(model_metrics(predictions), "metrics")
     best = champion(metrics, names).first()["model"]
