@@ -93,6 +93,15 @@ def validate(df: DataFrame, amount_required: bool = False) -> tuple[DataFrame, D
     return valid, judged.filter(F.col("reject_reason").isNotNull())
 
 
+def split_complete(df: DataFrame, columns=FEATURES) -> tuple[DataFrame, DataFrame]:
+    """(rows with a value in every feature, the other rows with ``reject_reason``)."""
+    gaps = F.concat_ws(",", *[F.when(F.col(c).isNull(), c) for c in columns])
+    reason = F.when(gaps != "", F.concat(F.lit("no value for "), gaps))
+    judged = df.withColumn("reject_reason", reason)
+    complete = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return complete, judged.filter(F.col("reject_reason").isNotNull())
+
+
 def quality_gates(raw: DataFrame, required=REQUIRED) -> DataFrame:
     """The three input gates as one audit table: columns present, rows present, all parsable.
 

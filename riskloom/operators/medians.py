@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import known
+from riskloom.operators.cleaning import unify_missing
 from riskloom.schema import FEATURES
 
 _SLACK = 0.001
@@ -149,12 +150,8 @@ def fit_medians(df: DataFrame, columns=FEATURES, exact: bool = True) -> dict[str
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     """Fill gaps with the given medians; a narrow projection."""
-    return df.select(
-        [
-            F.coalesce(known(F.col(c)), F.lit(float(medians[c]))).alias(c) if c in medians else F.col(c)
-            for c in df.columns
-        ]
-    )
+    filled = {c: F.coalesce(c, F.lit(float(m))) for c, m in medians.items() if c in df.columns}
+    return unify_missing(df).withColumns(filled)
 
 
 def batch_medians(df: DataFrame, columns=FEATURES) -> dict[str, float]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.risk import confidence_of, fraud_probability, label_of, risk_score
-from riskloom.operators.cleaning import align, validate
+from riskloom.operators.cleaning import align, split_complete, validate
 from riskloom.operators.medians import impute, impute_from_batch
 from riskloom.operators.ordering import with_row
 from riskloom.operators.scaling import Scaler, apply_scaler
@@ -47,10 +47,16 @@ def score_rows(
 
 
 def prepare(df: DataFrame, medians: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows ready to score, rejected rows). Gaps take the given medians, else those of the batch."""
-    valid, rejected = validate(align(df))
-    valid = _with_echo(valid)
-    return impute_from_batch(valid) if medians is None else impute(valid, medians), rejected
+    """(rows ready to score, rejected rows). Gaps take the given medians, else those of the batch.
+
+    A feature that still has no value would give no probability, so such rows are rejected too.
+    With given medians there is no job, which makes it fit for streams.
+    """
+    valid, negative = validate(align(df))
+    echoed = _with_echo(valid)
+    filled = impute_from_batch(echoed) if medians is None else impute(echoed, medians)
+    ready, incomplete = split_complete(filled)
+    return ready, negative.unionByName(incomplete.drop("_echo"))
 
 
 def score_single(

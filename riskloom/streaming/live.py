@@ -3,14 +3,11 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators.cleaning import align, validate
-from riskloom.operators.medians import impute
 from riskloom.operators.reporting import summary
 from riskloom.operators.scaling import Scaler
-from riskloom.plans.scoring import score_rows
+from riskloom.plans.scoring import prepare, score_rows
 from riskloom.schema import BANDS, LOWEST_BAND
 from riskloom.storage import new_path
 
@@ -25,14 +22,13 @@ def score_stream(
 ) -> DataFrame:
     """Valid rows, scored. Scaler and medians are fitted beforehand and enter as literals, so a
     micro-batch is one narrow pass without state. Gaps cannot take medians of rows yet to come."""
-    valid, _ = validate(align(stream))
-    echoed = valid.withColumn("_echo", F.round(F.col("Amount"), 2))
-    return score_rows(impute(echoed, medians), scorer, scaler, bands, lowest)
+    ready, _ = prepare(stream, medians)
+    return score_rows(ready, scorer, scaler, bands, lowest)
 
 
-def rejected_stream(stream: DataFrame) -> DataFrame:
+def rejected_stream(stream: DataFrame, medians: dict[str, float]) -> DataFrame:
     """The rows that ``score_stream`` leaves out, with the reason."""
-    return validate(align(stream))[1]
+    return prepare(stream, medians)[1]
 
 
 def running_totals(scored_stream: DataFrame) -> DataFrame:
