@@ -46,11 +46,4 @@ def ratio(numerator: Column, denominator: Column, default: float | None = 0.0) -
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Seconds between two zone-free timestamps, whatever the session time zone is."""
-    gap = later - earlier
-    part = lambda unit: F.extract(F.lit(unit), gap)
-    micros = (part("SECOND") * 1000000).cast("long")
-    whole_seconds = (
-        part("DAY").cast("long") * 86400 + part("HOUR").cast("long") * 3600
-        + part("MINUTE").cast("long") * 60
-    )
-    return (whole_seconds * 1000000 + micros).cast("double") / F.lit(1e6)
+    return (later - earlier).cast("interval second").cast("decimal(18,6)").cast("double")

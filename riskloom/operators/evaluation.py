@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.numeric import ratio
 from riskloom.operators.ordering import running_sum
 from riskloom.schema import LABEL, METRIC_NAMES
+from riskloom.storage import small_frame
 
 
 def _with_model(scored: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def chance_line(points: DataFrame) -> DataFrame:
     """The diagonal from (0, 0) to (1, 1), in the shape of ``roc_points``."""
     spark = points.sparkSession
     rows = [("chance", None, 0.0, 0.0), ("chance", None, 1.0, 1.0)]
-    return spark.createDataFrame(rows, points.schema)
+    return small_frame(spark, rows, "model string, threshold double, fpr double, tpr double")
 
 
 def model_metrics(scored: DataFrame, digits: int = 4) -> DataFrame:

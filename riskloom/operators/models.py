@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.risk import hard_class, logistic
 from riskloom.operators.weights import with_balanced_weight, with_positive_weight
 from riskloom.schema import FEATURES, KEY, LABEL
+from riskloom.storage import small_frame
 
 LOGISTIC = "Logistic Regression"
 FOREST = "Random Forest"
@@ -81,8 +82,7 @@ def importance(model, n: int = 15) -> DataFrame | None:
     if weights is None:
         return None
     rows = list(zip(FEATURES, [float(w) for w in weights.toArray()]))
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame(rows, "feature string, importance double")
+    df = small_frame(SparkSession.active(), rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(n)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.hashing import digest
 from riskloom.operators.joins import join_unique
 from riskloom.schema import KEY
-from riskloom.storage import materialise
+from riskloom.storage import materialise, small_frame
 
 # The task functions travel with the plan, so that workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -101,17 +101,24 @@ def _best_in_block(n: int):
     return run
 
 
-def _search(queries: DataFrame, pool: DataFrame, n: int, block_rows: int) -> DataFrame:
-    """Best ``n`` candidates per query and block among the cell the query row names."""
-    spark = pool.sparkSession
-    candidates = {r["cell"]: r["count"] for r in pool.groupBy("cell").count().collect()}
-    visits = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
+def _search(
+    queries: DataFrame,
+    pool: DataFrame,
+    visits: dict[int, int],
+    sizes: dict[int, int],
+    n: int,
+    block_rows: int,
+) -> DataFrame:
+    """Best ``n`` candidates per query and block among the cell the query row names.
+
+    ``visits`` and ``sizes`` are the query rows and the points of each cell.
+    """
     layout = [
-        (cell, math.ceil(candidates[cell] / block_rows), math.ceil(visits[cell] / block_rows))
+        (cell, math.ceil(sizes[cell] / block_rows), math.ceil(visits[cell] / block_rows))
         for cell in visits
     ]
     layout = F.broadcast(
-        spark.createDataFrame(layout, "cell int, pool_blocks int, query_blocks int")
+        small_frame(pool.sparkSession, layout, "cell int, pool_blocks int, query_blocks int")
     )
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -141,11 +148,11 @@ def _best(lists: DataFrame, n: int) -> DataFrame:
     return lists.withColumn("place", place).filter(F.col("place") <= n).drop("place")
 
 
-def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, stats: dict) -> DataFrame:
+def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> DataFrame:
     """One row per query and other cell that may hold a point within the query's bound."""
-    cells = np.array(sorted(stats), dtype=np.int32)
-    inner = np.array([stats[c][0] for c in cells])
-    outer = np.array([stats[c][1] for c in cells])
+    cells = np.array(sorted(spans), dtype=np.int32)
+    inner = np.array([spans[c][0] for c in cells])
+    outer = np.array([spans[c][1] for c in cells])
     centres = pivots[cells]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,37 +196,50 @@ def nearest_neighbours(
     """``id, nn_rank (1..k), nn_id, distance`` for every point; a point is not its own neighbour.
 
     ``max_pivots`` bounds what tasks receive (pivots and cell radii); ``block_rows`` bounds what one
-    task holds. Neither changes the answer.
+    task holds. Neither changes the answer. ``points`` is read more than once: pass a table.
     """
     n = k + 1
     vectors = F.col(vector).cast("array<double>")
-    points = materialise(points.select(F.col(key).alias("id"), vectors.alias("v")), "points")
+    points = points.select(F.col(key).alias("id"), vectors.alias("v"))
     copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     pool = materialise(
         points.withColumn("copy", copy).filter(F.col("copy") <= n), "distinct-points"
     )
-    size, distinct = pool.agg(F.count(F.lit(1)), F.count_if(F.col("copy") == 1)).first()
+    is_first = F.col("copy") == 1
+    size, distinct = pool.agg(F.count(F.lit(1)), F.count_if(is_first)).first()
     n_pivots = 1 if size <= block_rows else min(max_pivots, math.ceil(math.sqrt(distinct)))
-    chosen = pool.filter(F.col("copy") == 1).orderBy(digest(0, "pivot", F.col("id"))).limit(n_pivots)
+    chosen = pool.filter(is_first).orderBy(digest(0, "pivot", F.col("id"))).limit(n_pivots)
     pivots = np.array([r["v"] for r in chosen.select("v").collect()])
     cells = materialise(_assign(pool, pivots), "cells")
-    queries = cells.filter(F.col("copy") == 1).withColumnRenamed("id", "qid")
+    stats = {
+        r["cell"]: r
+        for r in cells.groupBy("cell")
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.count_if(is_first).alias("distinct"),
+            F.min("gap").alias("inner"),
+            F.max("gap").alias("outer"),
+        )
+        .collect()
+    }
+    sizes = {c: r["size"] for c, r in stats.items()}
+    queries = cells.filter(is_first).withColumnRenamed("id", "qid")
 
     own = queries.select("qid", "v", F.lit(math.inf).alias("bound"), "cell")
-    lists = _best(_search(own, cells, n, block_rows), n)
+    own_visits = {c: r["distinct"] for c, r in stats.items()}
+    lists = _best(_search(own, cells, own_visits, sizes, n, block_rows), n)
     if n_pivots > 1:
         lists = materialise(lists, "own-cell")
         reached = lists.groupBy("qid").agg(
             F.when(F.count(F.lit(1)) < n, F.lit(math.inf)).otherwise(F.max("d2")).alias("bound")
         )
-        stats = {
-            r["cell"]: (r["inner"], r["outer"])
-            for r in cells.groupBy("cell").agg(F.min("gap").alias("inner"), F.max("gap").alias("outer")).collect()
-        }
-        visits = materialise(
-            _cells_in_reach(queries.join(reached, "qid"), pivots, stats), "visits"
+        spans = {c: (r["inner"], r["outer"]) for c, r in stats.items()}
+        further = materialise(
+            _cells_in_reach(queries.join(reached, "qid"), pivots, spans), "visits"
         )
-        lists = _best(lists.unionByName(_search(visits, cells, n, block_rows)), n)
+        visits = {r["cell"]: r["count"] for r in further.groupBy("cell").count().collect()}
+        more = _search(further, cells, visits, sizes, n, block_rows)
+        lists = _best(lists.unionByName(more), n)
     near = lists.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("d2", "nn_id"))).alias("near")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import digest
 from riskloom.schema import KEY
-from riskloom.storage import materialise
+from riskloom.storage import materialise, small_frame
 
 _BLOCK_BITS = 33
 _MAX_BLOCKS = 1_000_000
@@ -50,8 +50,10 @@ def with_row(df: DataFrame, *order, row: str = "row") -> DataFrame:
     sizes = _bounded(blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect())
     sizes.sort(key=lambda r: r["_block"])
     before = [0, *accumulate(r["n"] for r in sizes)]
-    offsets = df.sparkSession.createDataFrame(
-        [(r["_block"], start) for r, start in zip(sizes, before)], "_block int, _before long"
+    offsets = small_frame(
+        df.sparkSession,
+        [(r["_block"], start) for r, start in zip(sizes, before)],
+        "_block int, _before long",
     )
     placed = blocks.join(F.broadcast(offsets), "_block")
     return placed.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(row))
@@ -91,7 +93,7 @@ def running_sum(
         *[f"{c}_before long" for c in columns],
         *[f"{c}_after long" for c in columns],
     ]
-    edges = df.sparkSession.createDataFrame(rows, ", ".join(fields))
+    edges = small_frame(df.sparkSession, rows, ", ".join(fields))
     inside = Window.partitionBy("_block", *groups).orderBy("_place")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = blocks.withColumns(
@@ -113,13 +115,12 @@ def rows_at(
     A large table is cut into buckets by approximate quantiles of the key. Exact bucket counts show
     which buckets hold a wanted place, and only those rows are sorted.
     """
-    spark = df.sparkSession
     wanted = sorted(set(wanted))
     total = df.count() if total is None else total
     moved = [(place, place) for place in wanted]
     if total > small:
         df, moved = _only_buckets_of(df, wanted, key)
-    places = spark.createDataFrame(moved, "row long, _true_row long")
+    places = small_frame(df.sparkSession, moved, "row long, _true_row long")
     picked = with_row(df, key).join(F.broadcast(places), "row")
     return picked.drop("row").withColumnRenamed("_true_row", "row")
 

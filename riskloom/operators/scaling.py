@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import known
 from riskloom.schema import SCALED
+from riskloom.storage import small_frame
 
 
 @dataclass(frozen=True)
@@ -18,7 +19,7 @@ class Scaler:
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(c, self.means[c], self.stds[c]) for c in self.means]
-        return spark.createDataFrame(rows, "name string, mean double, std double")
+        return small_frame(spark, rows, "name string, mean double, std double")
 
     @staticmethod
     def from_frame(df: DataFrame) -> "Scaler":

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.schema import LABEL
+from riskloom.storage import small_frame
 
 
 def balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -11,7 +12,7 @@ def balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(r["n"] for r in counts)
     rows = [(r[label], r["n"], total / (len(counts) * r["n"])) for r in counts]
-    return df.sparkSession.createDataFrame(rows, f"{label} int, n long, weight double")
+    return small_frame(df.sparkSession, rows, f"{label} int, n long, weight double")
 
 
 def with_balanced_weight(df: DataFrame, label: str = LABEL, column: str = "weight") -> DataFrame:

@@ -1,6 +1,6 @@
 """Named scenario mixes: how many rows of each class, what is replaced, which noise is added."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,13 @@ RECIPES = {
 }
 
 
+# The mixes with plain noise: the first one leaves Time as it was drawn, the last one has no such form.
+PLAIN_RECIPES = {
+    **{name: recipe for name, recipe in RECIPES.items() if name != "known_fraud"},
+    "weekend_shopping": replace(RECIPES["weekend_shopping"], legit_with={}),
+}
+
+
 def _drawn(spec: Override, seed: int, tag: str) -> Column:
     """One replacement value per draw number."""
     kind, args, key = spec[0], spec[1:], F.col("draw")
@@ -106,7 +113,7 @@ def base_mix(df: DataFrame, recipe: Recipe, seed: int = 42) -> DataFrame:
 
 def scenario(df: DataFrame, name: str, seed: int = 42, plain: bool = False) -> DataFrame:
     """A named mix from labelled rows, with full noise or with plain additive noise only."""
-    recipe = RECIPES[name]
+    recipe = (PLAIN_RECIPES if plain else RECIPES)[name]
     mixed = base_mix(df, recipe, seed)
     if plain:
         return plain_noise(mixed, recipe.plain_scale, seed, "mix_id")

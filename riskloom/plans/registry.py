@@ -71,7 +71,7 @@ from riskloom.sources.tables import (
     tx_lineitem,
     tx_orders,
 )
-from riskloom.storage import materialise, new_path
+from riskloom.storage import materialise, new_path, small_frame
 from riskloom.streaming import live
 
 SEED = 42
@@ -193,7 +193,7 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     medians = fit_medians(tx_embed(spark, sf_dir), FEATURES)
-    frame = spark.createDataFrame(list(medians.items()), "name string, median double")
+    frame = small_frame(spark, list(medians.items()), "name string, median double")
     return _rounded(frame, "median")
 
 
@@ -487,28 +487,26 @@ def json_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack(passed, rejected).select(KEY, "Time", "V1", "V2", "Amount", "reject_reason")
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned events as a file stream; the time origin is known beforehand."""
-    prepared = _aligned_events(spark, sf_dir).drop(LABEL)
-    folder = new_path(spark, "incoming")
-    prepared.write.parquet(folder)
-    return files.stream_transactions(spark, folder)
-
-
-def _live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = _aligned_events(spark, sf_dir)
-    return live.score_stream(_event_stream(spark, sf_dir), _logit(), fit_scaler(batch), {})
-
-
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = new_path(spark, "live-scores")
-    live.to_parquet(_live_scores(spark, sf_dir).select(KEY, *EXPORT[1:]), out).awaitTermination()
+    """All events arrive as JSON lines and are scored on the way."""
+    events = _aligned_events(spark, sf_dir)
+    folder, out = new_path(spark, "incoming"), new_path(spark, "live-scores")
+    fields = F.struct(*[c for c in events.columns if c != LABEL])
+    events.select(F.to_json(fields).alias("value")).write.text(folder)
+    arriving, _ = files.parse_json_transactions(files.stream_json(spark, folder))
+    scored = live.score_stream(arriving, _logit(), fit_scaler(events), {})
+    live.to_parquet(scored.select(KEY, *EXPORT[1:]), out).awaitTermination()
     return spark.read.parquet(out)
 
 
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = f"totals_{uuid.uuid4().hex}"
-    live.totals_to_view(live.running_totals(_live_scores(spark, sf_dir)), view).awaitTermination()
+    """All events arrive as parquet files; the totals are kept while they are scored."""
+    events = _aligned_events(spark, sf_dir)
+    folder, view = new_path(spark, "incoming"), f"totals_{uuid.uuid4().hex}"
+    events.drop(LABEL).write.parquet(folder)
+    arriving = files.stream_transactions(spark, folder)
+    scored = live.score_stream(arriving, _logit(), fit_scaler(events), {})
+    live.totals_to_view(live.running_totals(scored), view).awaitTermination()
     return spark.table(view)
 
 

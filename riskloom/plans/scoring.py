@@ -79,9 +79,20 @@ def score_batch(
     bands=BANDS,
     lowest=LOWEST_BAND,
 ) -> tuple[DataFrame, DataFrame]:
-    """(predictions in export shape with 1-based ``row`` in key order, rejected rows)."""
+    """(predictions in export shape, rejected rows with ``reject_reason``).
+
+    ``row`` is the 1-based place of a row among all input rows in key order, rejected ones included,
+    so that it points into the input. Predictions and rejects are written together, without the
+    features, before they are put in order: ordering samples its input first, and from a written
+    table that does not run the model a second time.
+    """
     ready, rejected = prepare(df, medians)
-    scored = score_rows(ready, scorer, scaler, bands, lowest)
-    # ordering samples its input first; from a written table that does not run the model twice
-    narrow = materialise(scored.select(KEY, *EXPORT[1:]), "scored")
-    return with_row(narrow, KEY).select(KEY, *EXPORT), rejected
+    scored = score_rows(ready, scorer, scaler, bands, lowest).select(KEY, *EXPORT[1:])
+    unscored = rejected.select(KEY, F.round("Amount", 2).alias("amount"), "reject_reason")
+    everything = materialise(scored.unionByName(unscored, allowMissingColumns=True), "scored")
+    numbered = with_row(everything, KEY)
+    is_scored = F.col("reject_reason").isNull()
+    return (
+        numbered.filter(is_scored).select(KEY, *EXPORT),
+        numbered.filter(~is_scored).select(KEY, "row", "amount", "reject_reason"),
+    )

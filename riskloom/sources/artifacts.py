@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.scaling import Scaler
 from riskloom.schema import FEATURES, REPORT
+from riskloom.storage import small_frame
 
 
 @dataclass
@@ -21,7 +22,7 @@ class Artifacts:
 def save_artifacts(spark: SparkSession, path: str, artifacts: Artifacts) -> None:
     artifacts.model.write().overwrite().save(f"{path}/model")
     artifacts.scaler.to_frame(spark).write.mode("overwrite").parquet(f"{path}/scaler")
-    medians = spark.createDataFrame(list(artifacts.medians.items()), "name string, median double")
+    medians = small_frame(spark, list(artifacts.medians.items()), "name string, median double")
     medians.write.mode("overwrite").parquet(f"{path}/medians")
 
 

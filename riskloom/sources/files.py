@@ -113,6 +113,11 @@ def parse_json_transactions(lines: DataFrame, column: str = "value") -> tuple[Da
     return validate(rows, amount_required=True)
 
 
+def stream_json(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Stream of text lines, one JSON transaction each; feed it to ``parse_json_transactions``."""
+    return spark.readStream.options(**options).text(path)
+
+
 def export_columns(scored: DataFrame) -> DataFrame:
     return scored.select(*EXPORT)
 

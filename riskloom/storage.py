@@ -8,7 +8,9 @@ loss of executors and, unlike a checkpointed RDD, keeps column pruning for the r
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_root = None
 
@@ -27,6 +29,20 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size the optimizer knows."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    arrays = [
+        pa.array(list(column), _ARROW[field.dataType.simpleString()])
+        for column, field in zip(columns, fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, [field.name for field in fields]))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{shared_root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"

@@ -97,12 +97,13 @@ def test_score_batch_fills_rejects_and_numbers(spark):
     got, rejected = score_batch(df, LOGIT, UNIT)
     assert got.columns == ["tx_id", *EXPORT]
     assert [r["tx_id"] for r in rejected.collect()] == [20]
+    assert [(r["row"], r["reject_reason"]) for r in rejected.collect()] == [(2, "negative amount")]
     by_row = {r["row"]: r for r in got.collect()}
-    assert [by_row[i]["tx_id"] for i in (1, 2, 3)] == [10, 30, 40]
+    assert [by_row[i]["tx_id"] for i in (1, 3, 4)] == [10, 30, 40]
     # V1 of row 1 is the batch median of 1 and 5, Amount of row 3 that of 2 and 4
     p = [1 / (1 + math.exp(-(-1 + 0.5 * a + v))) for a, v in ((4, 3), (2, 1), (3, 5))]
-    assert [by_row[i]["fraud_probability"] for i in (1, 2, 3)] == [round(x, 4) for x in p]
-    assert by_row[3]["amount"] is None and by_row[2]["amount"] == 2.0
+    assert [by_row[i]["fraud_probability"] for i in (1, 3, 4)] == [round(x, 4) for x in p]
+    assert by_row[4]["amount"] is None and by_row[3]["amount"] == 2.0
 
 
 def test_score_batch_with_fitted_medians(spark):
