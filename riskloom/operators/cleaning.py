@@ -16,7 +16,7 @@ def require_columns(df: DataFrame, columns=REQUIRED) -> DataFrame:
     """The frame itself, or an error that names what is missing. Runs no job."""
     missing = missing_columns(df, columns)
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"The input lacks these columns: {missing}")
     return df
 
 

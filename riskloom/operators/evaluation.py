@@ -84,17 +84,14 @@ def roc_points(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
     same_step = (F.col("pos") == F.col("pos_next")) & (F.col("neg") == F.col("neg_next"))
     is_first = F.col("pos_sum") + F.col("neg_sum") == F.col("pos") + F.col("neg")
     is_last = F.col("pos_next").isNull()
-    totals = steps.groupBy("model").agg(
-        F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")
-    )
     kept = steps.filter(is_first | is_last | ~same_step) if drop_collinear else steps
-    points = kept.join(F.broadcast(totals), "model").select(
+    points = kept.select(
         "model",
         F.col("p").alias("threshold"),
-        ratio(F.col("neg_sum"), F.col("all_neg"), None).alias("fpr"),
-        ratio(F.col("pos_sum"), F.col("all_pos"), None).alias("tpr"),
+        ratio(F.col("neg_sum"), F.col("neg_all"), None).alias("fpr"),
+        ratio(F.col("pos_sum"), F.col("pos_all"), None).alias("tpr"),
     )
-    start = totals.select(
+    start = steps.filter(is_first).select(
         "model",
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"),

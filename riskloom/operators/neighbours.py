@@ -1,10 +1,13 @@
 """Exact k nearest neighbours of every point, by Euclidean distance with ties to the smaller id.
 
 Points are assigned to the nearest of a bounded number of pivots. Each point first searches its own
-cell, which gives it a distance bound; the triangle inequality then names the few other cells that
-can still hold a closer point, and only those are searched. Cells are split into blocks of bounded
-size on both sides, and a task holds one pair of blocks, so a dense cell becomes many tasks. Tasks
-return the best k+1 of a block pair, never the pairs. Copies of one point are searched once.
+cell, which gives it a distance bound; the triangle inequality then names the other cells that can
+still hold a closer point, and only those are searched. Cells are split into blocks of bounded size
+on both sides, and a task holds one pair of blocks, so a dense cell becomes many tasks. Tasks return
+the best k+1 of a block pair, never the pairs. Copies of one point are searched once.
+
+Where points spread evenly in many dimensions no bound can rule out much, and the exact answer takes
+time in the square of the number of points; clustered points take far less.
 """
 
 import math
@@ -25,7 +28,8 @@ from riskloom.storage import materialise, small_frame
 # The task functions travel with the plan, so that workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CELLS_AT_ONCE = 4_000_000
+_CELLS_AT_ONCE = 500_000
+_ROUNDING = 1e-12
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,27 +72,49 @@ def _assign(pool: DataFrame, pivots: np.ndarray) -> DataFrame:
     return pool.mapInArrow(run, "id long, v array<double>, copy int, cell int, gap double")
 
 
+def _pair_distances(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(row))
+    for j in range(a.shape[1]):
+        gap = a[row, j] - b[col, j]
+        out += gap * gap
+    return out
+
+
 def _best_in_block(n: int):
+    """Task function: the best ``n`` candidates of one block for each query of one block.
+
+    A matrix product gives rough distances; pairs that could be among the best after allowing for
+    its rounding error get exact ones, and only those decide.
+    """
+
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        candidates = candidates.sort_by("id")
         ids = candidates.column("id").to_numpy()
         qids = queries.column("qid").to_numpy()
         found = ([], [], [])
         if len(ids) and len(qids):
             points, others = _matrix(queries.column("v")), _matrix(candidates.column("point"))
             bounds = queries.column("bound").to_numpy()
+            centre = others.mean(axis=0)
+            b = others - centre
+            bb = (b * b).sum(axis=1)
             for some in _chunks(len(qids), len(ids)):
-                d2 = squared_distances(points[some], others)
-                limit = bounds[some]
-                if len(ids) > n:
-                    limit = np.minimum(limit, np.partition(d2, n - 1, axis=1)[:, n - 1])
-                row, col = np.nonzero(d2 <= limit[:, None])
-                order = np.lexsort((ids[col], d2[row, col], row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < n], col[place < n]
-                for part, values in zip(found, (qids[some][row], ids[col], d2[row, col])):
-                    part.append(values)
+                a = points[some] - centre
+                aa = (a * a).sum(axis=1)
+                rough = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+                slack = _ROUNDING * (aa + bb.max())
+                limit = bounds[some] + slack
+                if len(ids) > n and not np.isfinite(limit).all():
+                    nth = np.partition(rough, n - 1, axis=1)[:, n - 1]
+                    limit = np.minimum(limit, nth + 2.0 * slack)
+                row, col = np.nonzero(rough <= limit[:, None])
+                d2 = _pair_distances(points[some], others, row, col)
+                near = d2 <= bounds[some][row]
+                row, col, d2 = row[near], col[near], d2[near]
+                order = np.lexsort((ids[col], d2, row))
+                row, col, d2 = row[order], col[order], d2[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < n
+                for part, values in zip(found, (qids[some][row], ids[col], d2)):
+                    part.append(values[best])
         joined = [np.concatenate(part) if part else np.empty(0) for part in found]
         return pa.table(
             {
@@ -149,7 +175,7 @@ def _best(lists: DataFrame, n: int) -> DataFrame:
 
 
 def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> DataFrame:
-    """One row per query and other cell that may hold a point within the query's bound."""
+    """Per query, the other cells that may hold a point within its bound."""
     cells = np.array(sorted(spans), dtype=np.int32)
     inner = np.array([spans[c][0] for c in cells])
     outer = np.array([spans[c][1] for c in cells])
@@ -161,6 +187,7 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> Data
             own = batch.column("cell").to_numpy()
             gap = batch.column("gap").to_numpy()
             bound = batch.column("bound").to_numpy()
+            reached = []
             for some in _chunks(len(points), len(cells)):
                 d2 = squared_distances(points[some], centres)
                 d = np.sqrt(d2)
@@ -170,19 +197,19 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> Data
                 least = np.maximum(d - outer, inner - d)
                 least = np.maximum(least, np.where(apart > 0, border, 0.0))
                 reach = np.sqrt(bound[some])[:, None] * (1 + 1e-9) + 1e-9
-                row, col = np.nonzero((least <= reach) & (cells[None, :] != own[some, None]))
-                taken = pa.array(row + some.start)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("qid").take(taken),
-                        batch.column("v").take(taken),
-                        batch.column("bound").take(taken),
-                        pa.array(cells[col]),
-                    ],
-                    ["qid", "v", "bound", "cell"],
-                )
+                hits = (least <= reach) & (cells[None, :] != own[some, None])
+                reached += [cells[hit] for hit in hits]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("qid"),
+                    batch.column("v"),
+                    batch.column("bound"),
+                    pa.array(reached, pa.list_(pa.int32())),
+                ],
+                ["qid", "v", "bound", "cells"],
+            )
 
-    return queries.mapInArrow(run, "qid long, v array<double>, bound double, cell int")
+    return queries.mapInArrow(run, "qid long, v array<double>, bound double, cells array<int>")
 
 
 def nearest_neighbours(
@@ -235,11 +262,19 @@ def nearest_neighbours(
         )
         spans = {c: (r["inner"], r["outer"]) for c, r in stats.items()}
         further = materialise(
-            _cells_in_reach(queries.join(reached, "qid"), pivots, spans), "visits"
+            _cells_in_reach(queries.join(reached, "qid"), pivots, spans), "reach"
         )
-        visits = {r["cell"]: r["count"] for r in further.groupBy("cell").count().collect()}
-        more = _search(further, cells, visits, sizes, n, block_rows)
-        lists = _best(lists.unionByName(more), n)
+        by_cell = further.select("qid", "v", "bound", F.explode("cells").alias("cell"))
+        visits = {r["cell"]: r["count"] for r in by_cell.groupBy("cell").count().collect()}
+        all_blocks = math.ceil(size / block_rows) + math.ceil(distinct / block_rows)
+        if sum(visits.values()) <= distinct * all_blocks:
+            more = _search(by_cell, cells, visits, sizes, n, block_rows)
+            lists = _best(lists.unionByName(more), n)
+        else:
+            # the bounds rule out too little: every pair of blocks moves fewer rows than the visits
+            one_cell = cells.withColumn("cell", F.lit(0))
+            everyone = further.select("qid", "v", "bound", F.lit(0).alias("cell"))
+            lists = _best(_search(everyone, one_cell, {0: distinct}, {0: size}, n, block_rows), n)
     near = lists.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("d2", "nn_id"))).alias("near")
     )

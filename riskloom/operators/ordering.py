@@ -62,9 +62,11 @@ def with_row(df: DataFrame, *order, row: str = "row") -> DataFrame:
 def running_sum(
     df: DataFrame, order: list, columns: list[str], groups: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Add ``<c>_sum`` (this row included) and ``<c>_next`` (value of the row after) per group.
+    """Add ``<c>_sum`` (this row included), ``<c>_next`` (value of the row after) and ``<c>_all``
+    (total) per group.
 
-    Rows must be unique in the order; pre-aggregate ties first. ``groups`` must be few.
+    Rows must be unique in the order; pre-aggregate ties first. Groups must be few: there is one
+    number per group and block on the driver.
     """
     groups = list(groups)
     blocks = in_order(df, [*groups, *order])
@@ -81,10 +83,11 @@ def running_sum(
     for key in {tuple(r[g] for g in groups) for r in parts}:
         mine = [r for r in parts if tuple(r[g] for g in groups) == key]
         before = dict.fromkeys(columns, 0)
+        total = [sum(r[f"{c}_total"] for r in mine) for c in columns]
         for i, r in enumerate(mine):
             after = mine[i + 1]["first"] if i + 1 < len(mine) else dict.fromkeys(columns)
             rows.append(
-                (*key, r["_block"], *[before[c] for c in columns], *[after[c] for c in columns])
+                (*key, r["_block"], *[before[c] for c in columns], *[after[c] for c in columns], *total)
             )
             before = {c: before[c] + r[f"{c}_total"] for c in columns}
     fields = [
@@ -92,6 +95,7 @@ def running_sum(
         "_block int",
         *[f"{c}_before long" for c in columns],
         *[f"{c}_after long" for c in columns],
+        *[f"{c}_all long" for c in columns],
     ]
     edges = small_frame(df.sparkSession, rows, ", ".join(fields))
     inside = Window.partitionBy("_block", *groups).orderBy("_place")
@@ -104,6 +108,7 @@ def running_sum(
         *df.columns,
         *[(F.col(f"{c}_before") + F.col(f"{c}_sum")).alias(f"{c}_sum") for c in columns],
         *[F.coalesce(f"{c}_next", f"{c}_after").alias(f"{c}_next") for c in columns],
+        *[f"{c}_all" for c in columns],
     )
 
 

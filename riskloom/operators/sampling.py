@@ -14,6 +14,7 @@ from riskloom.schema import KEY, LABEL
 
 _FEW = 10_000
 _DIGITS = 4
+_MAX_HEADS = 2_000_000
 
 
 def of_class(df: DataFrame, value: int, label: str = LABEL) -> DataFrame:
@@ -84,8 +85,12 @@ def _find_cuts(df: DataFrame, cuts: list[_Cut], label: str) -> None:
 
 def _count_heads(df: DataFrame, digits: int, label: str) -> dict[int, dict[str, int]]:
     head = F.substring("_draw", 1, digits).alias("head")
+    heads = df.groupBy(label, head).agg(F.count(F.lit(1)).alias("n"))
+    rows = heads.limit(_MAX_HEADS + 1).collect()
+    if len(rows) > _MAX_HEADS:
+        raise ValueError(f"Too many values of {label} for a split by class.")
     out: dict = {}
-    for r in df.groupBy(label, head).agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in rows:
         out.setdefault(r[label], {})[r["head"]] = r["n"]
     return out
 

@@ -7,6 +7,7 @@ from riskloom.functions.hashing import integer_below, uniform
 from riskloom.operators.joins import join_unique
 from riskloom.operators.neighbours import nearest_neighbours
 from riskloom.operators.ordering import with_row
+from riskloom.operators.weights import class_counts
 from riskloom.schema import FEATURES, KEY, LABEL
 from riskloom.storage import materialise
 
@@ -62,10 +63,6 @@ def synthesise(
     )
 
 
-def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
-    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-
-
 def smote(
     train: DataFrame, ratio: float = 0.1, k: int = 5, seed: int = 42, block_rows: int = 4_096
 ) -> DataFrame:

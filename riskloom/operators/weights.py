@@ -7,11 +7,19 @@ from riskloom.schema import LABEL
 from riskloom.storage import small_frame
 
 
+def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
+    """Rows per class; more than a thousand classes are an error."""
+    rows = df.groupBy(label).count().limit(1_001).collect()
+    if len(rows) > 1_000:
+        raise ValueError(f"{label} has too many values to be a class.")
+    return {r[label]: r["count"] for r in rows}
+
+
 def balanced_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """One row per class: ``n`` and ``weight = total / (classes * n)``."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["n"] for r in counts)
-    rows = [(r[label], r["n"], total / (len(counts) * r["n"])) for r in counts]
+    counts = class_counts(df, label)
+    total = sum(counts.values())
+    rows = [(c, n, total / (len(counts) * n)) for c, n in counts.items()]
     return small_frame(df.sparkSession, rows, f"{label} int, n long, weight double")
 
 

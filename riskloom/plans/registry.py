@@ -48,8 +48,8 @@ from riskloom.operators.neighbours import nearest_neighbours
 from riskloom.operators.ordering import shuffled, thin, time_sorted, with_row
 from riskloom.operators.sampling import bootstrap, of_class, stack, stratified_split
 from riskloom.operators.scaling import apply_scaler, fit_scaler
-from riskloom.operators.smote import class_counts, smote, smote_count, synthesise
-from riskloom.operators.weights import balanced_weights, with_positive_weight
+from riskloom.operators.smote import smote, smote_count, synthesise
+from riskloom.operators.weights import balanced_weights, class_counts, with_positive_weight
 from riskloom.plans import training
 from riskloom.plans.recipes import RECIPES, base_mix, scenario
 from riskloom.plans.scoring import score_batch, score_rows

@@ -49,6 +49,29 @@ def test_clusters_in_many_dimensions(spark):
     assert found(spark, ids, points, 4, block_rows=40) == brute_force(ids, points, 4)
 
 
+def test_separate_clusters_visit_few_cells(spark):
+    rng = np.random.default_rng(8)
+    points = np.vstack([rng.normal(size=(60, 2)) + 50 * c for c in range(6)])
+    ids = rng.permutation(360)
+    assert found(spark, ids, points, 5, block_rows=30) == brute_force(ids, points, 5)
+
+
+def test_even_spread_compares_all_blocks(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(300, 28))
+    ids = rng.permutation(300)
+    assert found(spark, ids, points, 5, block_rows=60) == brute_force(ids, points, 5)
+
+
+def test_far_offset_does_not_hide_small_distances(spark):
+    """Rough distances lose digits when values are large; the exact ones decide."""
+    rng = np.random.default_rng(10)
+    points = 1e6 + rng.normal(size=(200, 5)) * 1e-3
+    ids = np.arange(200)
+    for options in ({}, {"block_rows": 40}):
+        assert found(spark, ids, points, 5, **options) == brute_force(ids, points, 5)
+
+
 def test_fewer_points_than_neighbours(spark):
     points = np.array([[0.0], [1.0], [3.0]])
     assert found(spark, [1, 2, 3], points, 5) == {1: [2, 3], 2: [1, 3], 3: [2, 1]}
