@@ -6,7 +6,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.operators import reporting
-from riskloom.operators.models import ModelScorer
+from riskloom.operators.models import scorer_for
 from riskloom.operators.ordering import thin
 from riskloom.plans import training
 from riskloom.plans.recipes import PLAIN_RECIPES, RECIPES, scenario
@@ -34,7 +34,7 @@ def _score(spark: SparkSession, args) -> None:
     artifacts = load_artifacts(spark, args.artifacts)
     medians = artifacts.medians if args.impute == "fitted" else None
     predictions, rejected = score_batch(
-        _input(spark, args), ModelScorer(artifacts.model), artifacts.scaler, medians
+        _input(spark, args), scorer_for(artifacts.model), artifacts.scaler, medians
     )
     files.write_scored(predictions, *args.out, mode="overwrite")
     if args.rejected:
@@ -43,7 +43,7 @@ def _score(spark: SparkSession, args) -> None:
 
 def _one(spark: SparkSession, args) -> None:
     artifacts = load_artifacts(spark, args.artifacts)
-    scorer = ModelScorer(artifacts.model)
+    scorer = scorer_for(artifacts.model)
     print(json.dumps(score_single(spark, json.loads(args.transaction), scorer, artifacts.scaler)))
 
 

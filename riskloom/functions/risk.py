@@ -10,10 +10,10 @@ from riskloom.schema import BANDS, LOWEST_BAND
 def _banded(p: Column, values: list[tuple[float, str]], lowest: str) -> Column:
     """First band whose lower cut is reached; an unknown probability has no band."""
     p = known(p)
-    out = F.when(p.isNull(), F.lit(None).cast("string"))
+    out = F.when(p < min(cut for cut, _ in values), lowest)
     for cut, value in values:
         out = out.when(p >= cut, value)
-    return out.otherwise(lowest)
+    return out
 
 
 def label_of(p: Column, bands=BANDS, lowest=LOWEST_BAND) -> Column:

@@ -28,8 +28,8 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 def unify_missing(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every floating column."""
-    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select([known(F.col(c)).alias(c) if c in floating else F.col(c) for c in df.columns])
+    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: known(F.col(c)) for c in floating})
 
 
 def dedup(df: DataFrame, key: str = KEY) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -106,12 +107,19 @@ class FixedLogit:
     coefficients: dict[str, float]
 
     def __call__(self, scaled: DataFrame) -> DataFrame:
-        z = F.lit(float(self.intercept))
-        for c, weight in self.coefficients.items():
-            z = z + F.lit(float(weight)) * F.col(c)
+        terms = [f"{float(weight)!r}D * `{c}`" for c, weight in self.coefficients.items()]
+        z = F.expr(" + ".join([f"{float(self.intercept)!r}D", *terms]))
         return scaled.withColumn("p", logistic(z)).withColumn("prediction", hard_class(F.col("p")))
 
 
+def scorer_for(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+    """The cheapest scorer with the model's probabilities: a logistic model needs no vectors."""
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel):
+        return FixedLogit(last.intercept, dict(zip(FEATURES, map(float, last.coefficients))))
+    return ModelScorer(model)
+
+
 def compare(scaled: DataFrame, scorers: dict[str, Callable]) -> DataFrame:
     """``model, <key>, Class, p, prediction`` for several scorers over one pass of the rows."""
     kept = [c for c in (KEY, LABEL) if c in scaled.columns]

@@ -48,8 +48,6 @@ def apply_scaler(df: DataFrame, scaler: Scaler | None) -> DataFrame:
         raise ValueError("A fitted scaler must be provided.")
     if not set(scaler.means) <= set(df.columns):
         return df
-    scaled = {
-        c: ((F.col(c) - F.lit(scaler.means[c])) / F.lit(scaler.stds[c])).alias(c)
-        for c in scaler.means
-    }
-    return df.select([scaled.get(c, F.col(c)) for c in df.columns])
+    return df.withColumns(
+        {c: (F.col(c) - F.lit(scaler.means[c])) / F.lit(scaler.stds[c]) for c in scaler.means}
+    )

@@ -34,7 +34,6 @@ from riskloom.operators.medians import batch_medians, fit_medians, impute, imput
 from riskloom.operators.models import (
     MODEL_NAMES,
     FixedLogit,
-    ModelScorer,
     as_pipeline,
     assembler,
     candidates,
@@ -43,6 +42,7 @@ from riskloom.operators.models import (
     fit_forest,
     fit_logistic,
     importance,
+    scorer_for,
 )
 from riskloom.operators.neighbours import nearest_neighbours
 from riskloom.operators.ordering import shuffled, thin, time_sorted, with_row
@@ -419,7 +419,7 @@ def batch_scored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "artifacts")
     save_artifacts(spark, out, trained.artifacts)
     loaded = load_artifacts(spark, out)
-    scorer = ModelScorer(loaded.model)
+    scorer = scorer_for(loaded.model)
     predictions, _ = score_batch(tx_embed(spark, sf_dir), scorer, loaded.scaler, loaded.medians)
     return predictions
 

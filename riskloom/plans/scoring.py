@@ -11,7 +11,7 @@ from riskloom.operators.medians import impute, impute_from_batch
 from riskloom.operators.ordering import with_row
 from riskloom.operators.scaling import Scaler, apply_scaler
 from riskloom.schema import BANDS, EXPORT, FEATURES, KEY, LABEL, LOWEST_BAND
-from riskloom.storage import materialise
+from riskloom.storage import materialise, small_frame
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -66,8 +66,8 @@ def score_single(
     if transaction.get("Amount") is None or transaction["Amount"] < 0:
         raise ValueError("Amount must be given and be at least 0.")
     values = {c: float(transaction.get(c) or 0.0) for c in FEATURES}
-    row = spark.createDataFrame([values], ", ".join(f"{c} double" for c in FEATURES))
-    scored = score_rows(row.select(FEATURES), scorer, scaler, bands, lowest).first()
+    row = small_frame(spark, [tuple(values.values())], ", ".join(f"{c} double" for c in FEATURES))
+    scored = score_rows(row, scorer, scaler, bands, lowest).first()
     return {c: scored[c] for c in ("fraud_probability", "risk_score", "label", "confidence")}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from riskloom.operators.cleaning import align, dedup, drop_missing, require_columns, require_rows
 from riskloom.operators.evaluation import champion, model_metrics, report
 from riskloom.operators.medians import fit_medians
-from riskloom.operators.models import ModelScorer, as_pipeline, assembler, candidates, compare
+from riskloom.operators.models import as_pipeline, assembler, candidates, compare, scorer_for
 from riskloom.operators.ordering import with_row
 from riskloom.operators.sampling import stratified_split
 from riskloom.operators.scaling import Scaler, apply_scaler, fit_scaler
@@ -70,7 +70,7 @@ def fit_all(prepared: Prepared, fits: dict | None = None) -> Trained:
         assembler().transform(prepared.train).select(KEY, LABEL, "features"), "vectors"
     )
     models = {name: fit(vectors) for name, fit in fits.items()}
-    scorers = {name: ModelScorer(as_pipeline(model)) for name, model in models.items()}
+    scorers = {name: scorer_for(as_pipeline(model)) for name, model in models.items()}
     predictions = materialise(compare(prepared.test, scorers), "predictions")
     names = list(fits)
     metrics = materialise(model_metrics(predictions), "metrics")

@@ -5,10 +5,13 @@ from riskloom.operators.models import (
     BOOSTED,
     FOREST,
     LOGISTIC,
+    FixedLogit,
     ModelScorer,
+    as_pipeline,
     candidates,
     fit_logistic,
     importance,
+    scorer_for,
 )
 from riskloom.plans import training
 from riskloom.plans.scoring import score_batch
@@ -66,6 +69,20 @@ def test_importance(spark, trained):
     assert importance(result.models[LOGISTIC]) is None
 
 
+def test_logistic_expression_equals_the_model(spark, learnable, trained):
+    _, result = trained
+    pipeline = as_pipeline(result.models[LOGISTIC])
+    expression = scorer_for(pipeline)
+    assert isinstance(expression, FixedLogit)
+    assert isinstance(scorer_for(as_pipeline(result.models[FOREST])), ModelScorer)
+    rows = learnable.withColumn("Time", F.col("Time") / 1e5)
+    both = expression(rows).select(KEY, "p", "prediction").join(
+        ModelScorer(pipeline)(rows).select(KEY, F.col("p").alias("q"), F.col("prediction").alias("r")), KEY
+    )
+    worst = both.agg(F.max(F.abs(F.col("p") - F.col("q"))), F.count_if(F.col("prediction") != F.col("r")))
+    assert worst.first()[0] < 1e-12 and worst.first()[1] == 0
+
+
 def test_logistic_matches_the_penalised_optimum(spark):
     """Gradient of the summed weighted loss plus w/C is zero at the fit, with C = 1."""
     import numpy as np
