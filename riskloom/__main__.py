@@ -17,7 +17,7 @@ from riskloom.sources.artifacts import load_artifacts, read_report, status
 
 
 def _input(spark: SparkSession, args) -> DataFrame:
-    good, bad = files.read_transactions(spark, args.data, args.format, args.strict, numbered=True)
+    good, bad = files.read_transactions(spark, args.data, args.format, args.strict, positions=True)
     if args.quarantine:
         bad.write.mode("overwrite").json(args.quarantine)
     return good

@@ -11,6 +11,7 @@ from itertools import accumulate
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.hashing import digest
 from riskloom.schema import KEY
@@ -19,6 +20,7 @@ from riskloom.storage import materialise, small_frame
 _BLOCK_BITS = 33
 _MAX_BLOCKS = 1_000_000
 _BUCKETS = 10_000
+_MAX_WANTED = 10_000
 
 
 def in_order(df: DataFrame, order: list) -> DataFrame:
@@ -117,13 +119,15 @@ def rows_at(
 ) -> DataFrame:
     """Exactly the rows whose 1-based places in key order are ``wanted``, with ``row``.
 
-    A large table is cut into buckets by approximate quantiles of the key. Exact bucket counts show
+    A large table is cut into buckets by approximate quantiles of a numeric key. Exact bucket counts show
     which buckets hold a wanted place, and only those rows are sorted.
     """
     wanted = sorted(set(wanted))
+    if len(wanted) > _MAX_WANTED:
+        raise ValueError("Too many places to look up; use with_row.")
     total = df.count() if total is None else total
     moved = [(place, place) for place in wanted]
-    if total > small:
+    if total > small and isinstance(df.schema[key].dataType, T.NumericType):
         df, moved = _only_buckets_of(df, wanted, key)
     places = small_frame(df.sparkSession, moved, "row long, _true_row long")
     picked = with_row(df, key).join(F.broadcast(places), "row")

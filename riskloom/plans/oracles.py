@@ -296,7 +296,7 @@ ORACLES = {
     + """) AS bins(bin, low, high)
     LEFT JOIN scored ON risk_score >= low AND risk_score < high GROUP BY bin, low, high""",
     "top20_risk": _scored(EVENTS)
-    + f"""SELECT row_number() OVER (ORDER BY risk_score DESC, row) AS rank, row, {_PREDICTION}
+    + f"""SELECT row_number() OVER (ORDER BY risk_score DESC, row)::INTEGER AS rank, row, {_PREDICTION}
     FROM numbered ORDER BY risk_score DESC, row LIMIT 20""",
     "first500_fraud": _scored(EVENTS)
     + f"""SELECT row, {_PREDICTION}, count(*) OVER () AS matching, least(count(*) OVER (), 500) AS shown
@@ -341,7 +341,7 @@ ORACLES = {
     FROM split WHERE part = 'train')""",
     "load_audit": _with(LINES, "kept AS (SELECT DISTINCT * FROM tx)")
     + """SELECT n_rows, 5 AS n_columns, fraud_pct, n_rows - (SELECT count(*) FROM kept) AS duplicates_dropped,
-    0 AS incomplete_dropped, (SELECT count(*) FROM kept) AS n_clean
+    0::BIGINT AS incomplete_dropped, (SELECT count(*) FROM kept) AS n_clean
     FROM (SELECT count(*) AS n_rows, round(avg(Class) * 100, 4) AS fraud_pct FROM tx)""",
     "load_audit_gaps": _with(GAPS, "kept AS (SELECT DISTINCT * EXCLUDE (tx_id) FROM tx)")
     + """SELECT n_rows, 4 AS n_columns, fraud_pct, n_rows - (SELECT count(*) FROM kept) AS duplicates_dropped,
@@ -375,9 +375,9 @@ ORACLES = {
     "seeded_shuffle": f"""SELECT event_id AS tx_id,
     row_number() OVER (ORDER BY {_digest("shuffle", "event_id")}, event_id) AS row FROM events""",
     "smote_neighbours": _with(_SCALED_EMBED, _neighbours("WHERE Class = 1"))
-    + "SELECT id, nn_rank, nn_id, round(distance, 6) AS distance FROM near",
+    + "SELECT id, nn_rank::INTEGER AS nn_rank, nn_id, round(distance, 6) AS distance FROM near",
     "all_neighbours": _with(_SCALED_EMBED, _neighbours(""))
-    + "SELECT id, nn_rank, nn_id, round(distance, 6) AS distance FROM near",
+    + "SELECT id, nn_rank::INTEGER AS nn_rank, nn_id, round(distance, 6) AS distance FROM near",
     "smote_synthetic": _with(
         _SCALED_EMBED,
         _neighbours("WHERE Class = 1"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.risk import confidence_of, fraud_probability, label_of, risk_score
-from riskloom.operators.cleaning import align, split_complete, validate
+from riskloom.operators.cleaning import align, require_columns, split_complete, validate
 from riskloom.operators.medians import impute, impute_from_batch
 from riskloom.operators.ordering import with_row
 from riskloom.operators.scaling import Scaler, apply_scaler
@@ -79,14 +79,15 @@ def score_batch(
     bands=BANDS,
     lowest=LOWEST_BAND,
 ) -> tuple[DataFrame, DataFrame]:
-    """(predictions in export shape, rejected rows with ``reject_reason``).
+    """(predictions in export shape, rejected rows with ``reject_reason``). Rows need a key that
+    sorts in input order; ``read_transactions(..., positions=True)`` gives one.
 
     ``row`` is the 1-based place of a row among all input rows in key order, rejected ones included,
     so that it points into the input. Predictions and rejects are written together, without the
     features, before they are put in order: ordering samples its input first, and from a written
     table that does not run the model a second time.
     """
-    ready, rejected = prepare(df, medians)
+    ready, rejected = prepare(require_columns(df, [KEY]), medians)
     scored = score_rows(ready, scorer, scaler, bands, lowest).select(KEY, *EXPORT[1:])
     unscored = rejected.select(KEY, F.round("Amount", 2).alias("amount"), "reject_reason")
     everything = materialise(scored.unionByName(unscored, allowMissingColumns=True), "scored")

@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from riskloom.operators.cleaning import align, dedup, drop_missing, require_columns, require_rows
 from riskloom.operators.evaluation import champion, model_metrics, report
@@ -28,8 +29,10 @@ class Prepared:
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """Aligned, distinct, complete rows with a key, written once."""
+    """Aligned, distinct, complete rows, written once; rows without a number as key get one."""
     rows = drop_missing(align(require_columns(raw)))
+    if KEY in rows.columns and not isinstance(rows.schema[KEY].dataType, T.LongType):
+        rows = rows.drop(KEY)
     kept = dedup(rows).drop("copies")
     if KEY not in kept.columns:
         kept = with_row(kept, *FEATURES, LABEL, row=KEY)

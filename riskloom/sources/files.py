@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.cleaning import align, require_rows, unparsable_columns, validate
-from riskloom.operators.ordering import with_row
 from riskloom.schema import EXPORT, EXPORT_SCHEMA, FEATURES, KEY, LABEL, TX
 from riskloom.storage import materialise
 
@@ -50,29 +49,29 @@ def _typed(good: DataFrame) -> DataFrame:
     return align(good.withColumns({c: number(c).cast(t) for c, t in present.items() if c in text}))
 
 
-def number_rows(raw: DataFrame) -> DataFrame:
-    """Give rows of a file scan a key: their place in file and line order, from 1."""
-    at = {
-        "_file": F.col("_metadata.file_path"),
-        "_start": F.col("_metadata.file_block_start"),
-        "_line": F.monotonically_increasing_id(),
-    }
-    placed = raw.select("*", *[c.alias(name) for name, c in at.items()])
-    return with_row(placed, *at, row=KEY).drop(*at)
+def with_position(scan: DataFrame) -> DataFrame:
+    """Key the rows of a file scan by where they stand: file, block in the file, line in the block.
+
+    The key sorts in input order. It costs no shuffle; ``with_row`` makes plain numbers of it.
+    """
+    position = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return scan.select("*", position.alias(KEY))
 
 
 def read_transactions(
-    spark: SparkSession, path: str, fmt: str = "csv", strict: bool = False, numbered: bool = False
+    spark: SparkSession, path: str, fmt: str = "csv", strict: bool = False, positions: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine). ``strict`` raises on the first bad row instead of setting it aside.
 
     Good rows have the 30 features as doubles (absent columns are 0.0, blanks are NULL), and the
-    key and label if the input has them; ``numbered`` makes a key from the input order where there is
-    none. Quarantined rows keep their text and say why.
+    key and label if the input has them. ``positions`` gives rows without a key one that sorts in
+    input order. Quarantined rows keep their text and say why.
     """
     raw = read_csv_text(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    if numbered and KEY not in raw.columns:
-        raw = number_rows(raw)
     fields = [c for c in raw.columns if c != _BROKEN]
     unparsable = unparsable_columns(raw)
     reason = F.when(unparsable != "", F.concat(F.lit("not a number: "), unparsable))
@@ -81,9 +80,12 @@ def read_transactions(
         is_broken = F.col(_BROKEN).isNotNull()
         reason = F.when(is_broken, F.lit("wrong number of fields")).otherwise(reason)
         record = F.coalesce(F.col(_BROKEN), record)
+    kept, key = fields, []
+    if positions and KEY not in fields:
+        raw, kept, key = with_position(raw), [*fields, KEY], [KEY]
     judged = raw.withColumn("reason", reason)
-    good = judged.filter(F.col("reason").isNull()).select(*fields)
-    bad = judged.filter(F.col("reason").isNotNull()).select(record.alias("record"), "reason")
+    good = judged.filter(F.col("reason").isNull()).select(*kept)
+    bad = judged.filter(F.col("reason").isNotNull()).select(*key, record.alias("record"), "reason")
     if strict:
         first = bad.take(1)
         if first:
@@ -102,13 +104,14 @@ def parse_json_transactions(lines: DataFrame, column: str = "value") -> tuple[Da
 
     Works on a stream as well: there is no job and no state.
     """
-    keep = [c for c in lines.columns if c != column]
-    parsed = lines.select(*keep, F.from_json(column, TX).alias("tx"))
-    number = lambda c: F.col(f"tx.{c}")
+    others = [c for c in lines.columns if c not in (column, KEY)]
+    parsed = lines.select(*others, F.from_json(column, TX).alias("tx"))
+    field = lambda c: F.col(f"tx.{c}")
     rows = parsed.select(
-        *[c for c in keep if c != KEY],
-        F.coalesce(F.col(KEY), F.col(f"tx.{KEY}")).alias(KEY) if KEY in keep else F.col(f"tx.{KEY}"),
-        *[(number(c) if c == "Amount" else F.coalesce(number(c), F.lit(0.0))).alias(c) for c in FEATURES],
+        *others,
+        field(KEY),
+        *[F.coalesce(field(c), F.lit(0.0)).alias(c) for c in FEATURES if c != "Amount"],
+        field("Amount"),
     )
     return validate(rows, amount_required=True)
 

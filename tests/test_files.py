@@ -1,8 +1,13 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.models import FixedLogit
+from riskloom.operators.ordering import with_row
+from riskloom.operators.scaling import Scaler
+from riskloom.plans.scoring import score_batch
 from riskloom.schema import EXPORT, FEATURES
 from riskloom.sources import files
 from riskloom.sources.artifacts import load_artifacts, read_report, status
@@ -61,8 +66,34 @@ def test_numbers_follow_file_and_line_order(spark, tmp_path):
     folder = tmp_path / "in"
     write(folder, "a.csv", "Time,Amount\n" + "".join(f"{i},1\n" for i in range(50)))
     path = write(folder, "b.csv", "Time,Amount\n" + "".join(f"{i},1\n" for i in range(50, 80)))
-    good, _ = files.read_transactions(spark, path, numbered=True)
-    assert all(r["tx_id"] == r["Time"] + 1 for r in good.collect())
+    write(folder, "c.csv", "Time,Amount\n80,1\n81,oops\n82,1\n")
+    good, bad = files.read_transactions(spark, path, positions=True)
+    rows = with_row(good).collect()
+    assert len(rows) == 82
+    assert all(r["row"] == r["Time"] + 1 for r in rows if r["Time"] < 81)
+    (odd,) = bad.collect()
+    assert odd["record"] == "81,oops" and odd["tx_id"]["file"].endswith("c.csv")
+
+
+def test_rows_of_a_scored_file(spark, tmp_path):
+    """Row numbers of many small blocks are the line numbers of the input."""
+    folder = tmp_path / "in"
+    text = "Time,Amount\n" + "".join(f"{i},{-1 if i == 500 else 1}\n" for i in range(3_000))
+    path = write(folder, "a.csv", text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        good, _ = files.read_transactions(spark, path, positions=True)
+        assert good.rdd.getNumPartitions() > 5
+        unit = Scaler({"Amount": 0.0, "Time": 0.0}, {"Amount": 1.0, "Time": 1.0})
+        scored, rejected = score_batch(good, FixedLogit(0.0, {"Time": 1e-3}), unit)
+        by_row = {r["row"]: r["fraud_probability"] for r in scored.collect()}
+        assert rejected.first()["row"] == 501
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert set(by_row) == set(range(1, 3_001)) - {501}
+    p = lambda t: round(1 / (1 + math.exp(-t / 1000)), 4)
+    assert all(abs(by_row[t + 1] - p(t)) < 1.1e-4 for t in range(3_000) if t != 500)
 
 
 def test_parquet_input(spark, tmp_path, separable):
