@@ -7,6 +7,7 @@ fraction of a percent of the rows. A value shared by a third of all rows is sett
 """
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,86 +22,94 @@ _ACCURACY = 10_000
 
 @dataclass
 class _Search:
-    """Looks for the value at one 0-based rank of one column, strictly between two edges."""
+    """Looks for the values at some 0-based ranks of one column, strictly between two edges."""
 
     column: str
-    rank: int
+    ranks: list[int]
     inside: int
     below: int = 0
     low: float | None = None
     high: float | None = None
-    answer: float | None = None
 
     @property
     def values(self) -> Column:
         """The column inside the edges, NULL elsewhere."""
         c = F.col(self.column)
-        inside = c.isNotNull()
         if self.low is not None:
-            inside = inside & (c > self.low)
+            c = F.when(F.col(self.column) > self.low, c)
         if self.high is not None:
-            inside = inside & (c < self.high)
-        return F.when(inside, c)
+            c = F.when(F.col(self.column) < self.high, c)
+        return c
 
     def probe(self) -> Column:
-        at = (self.rank - self.below) / self.inside
-        return F.percentile_approx(
-            self.values, [max(0.0, at - _SLACK), min(1.0, at + _SLACK)], _ACCURACY
-        )
+        """Two values that should stand on both sides of the wanted ranks."""
+        first = (self.ranks[0] - self.below) / self.inside
+        last = (self.ranks[-1] - self.below) / self.inside
+        shares = [max(0.0, first - _SLACK), min(1.0, last + _SLACK)]
+        return F.percentile_approx(self.values, shares, _ACCURACY)
 
     def counts(self, low: float, high: float) -> Column:
-        v = self.values
+        """Rows under the first value, at it, between the two, at the second if it is another one."""
+        c = F.col(self.column)
+        under = c < low if self.low is None else (c > self.low) & (c < low)
+        at_high = F.count_if(c == high) if high > low else F.lit(0)
         return F.array(
-            F.count_if(v < low),
-            F.count_if(v == low),
-            F.count_if((v > low) & (v < high)),
-            F.count_if((v == high) & F.lit(high > low)),
+            F.count_if(under), F.count_if(c == low), F.count_if((c > low) & (c < high)), at_high
         )
 
-    def narrow(self, low: float, high: float, counts: list[int]) -> None:
-        """Move to the one part that holds the rank. The probed values themselves drop out."""
+    def narrow(self, low: float, high: float, counts: list[int]) -> tuple[list, list]:
+        """(values found, searches that go on): each rank moves to the one part that holds it.
+
+        The probed values themselves drop out, so every round makes progress.
+        """
         under, at_low, between, at_high = counts
-        place = self.rank - self.below
-        if place < under:
-            self.high, self.inside = low, under
-        elif place < under + at_low:
-            self.answer = low
-        elif place < under + at_low + between:
-            self.low, self.high, self.inside = low, high, between
-            self.below += under + at_low
-        elif place < sum(counts):
-            self.answer = high
-        else:
-            self.low = high
-            self.below += sum(counts)
-            self.inside -= sum(counts)
-
-
-def _one_round(df: DataFrame, searches: list[_Search]) -> None:
+        ends = list(accumulate([under, at_low, between, at_high], initial=self.below))
+        parts = [
+            _Search(self.column, [], under, ends[0], self.low, low),
+            low,
+            _Search(self.column, [], between, ends[2], low, high),
+            high,
+            _Search(self.column, [], self.inside - sum(counts), ends[4], high, self.high),
+        ]
+        found = []
+        for rank in self.ranks:
+            part = parts[sum(rank >= end for end in ends[1:])]
+            if isinstance(part, _Search):
+                part.ranks.append(rank)
+            else:
+                found.append(part)
+        return found, [p for p in parts if isinstance(p, _Search) and p.ranks]
+
+
+def _one_round(df: DataFrame, searches: list[_Search], found: dict) -> list[_Search]:
     edges = df.agg(*[s.probe().alias(f"s{i}") for i, s in enumerate(searches)]).first()
     counts = df.agg(*[s.counts(*edges[i]).alias(f"s{i}") for i, s in enumerate(searches)]).first()
+    going_on = []
     for i, s in enumerate(searches):
-        s.narrow(*edges[i], counts[i])
+        values, rest = s.narrow(*edges[i], counts[i])
+        found[s.column] += values
+        going_on += rest
+    return going_on
 
 
-def _finish(df: DataFrame, searches: list[_Search]) -> None:
+def _finish(df: DataFrame, searches: list[_Search], found: dict) -> None:
     """Rank what is left of each search; ties are counted before they are shuffled."""
     listed = F.array(
         *[F.struct(F.lit(i).alias("i"), s.values.alias("value")) for i, s in enumerate(searches)]
     )
-    places = F.array(*[F.lit(s.rank - s.below) for s in searches])
+    known_only = F.filter(listed, lambda x: x["value"].isNotNull())
+    places = F.array(*[F.array(*[F.lit(r - s.below) for r in s.ranks]) for s in searches])
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("value"))
     hits = (
-        df.select(F.inline(listed))
-        .filter(F.col("value").isNotNull())
+        df.select(F.inline(known_only))
         .groupBy("i", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", upto)
-        .withColumn("place", F.get(places, F.col("i")))
+        .withColumn("place", F.explode(F.get(places, F.col("i"))))
         .filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
     )
     for r in hits.collect():
-        searches[r["i"]].answer = r["value"]
+        found[searches[r["i"]].column].append(r["value"])
 
 
 def exact_medians(df: DataFrame, columns: list[str], small: int = 50_000) -> dict[str, float]:
@@ -113,18 +122,14 @@ def exact_medians(df: DataFrame, columns: list[str], small: int = 50_000) -> dic
     values = df.select([known(F.col(c).cast("double")).alias(c) for c in columns])
     n = values.agg(*[F.count(c).alias(c) for c in columns]).first()
     searches = [
-        _Search(c, rank, n[c])
-        for c in columns
-        if n[c]
-        for rank in sorted({(n[c] - 1) // 2, n[c] // 2})
+        _Search(c, sorted({(n[c] - 1) // 2, n[c] // 2}), n[c]) for c in columns if n[c]
     ]
-    while wide := [s for s in searches if s.answer is None and s.inside > small]:
-        _one_round(values, wide)
-    if rest := [s for s in searches if s.answer is None]:
-        _finish(values, rest)
-    found: dict[str, list[float]] = {}
-    for s in searches:
-        found.setdefault(s.column, []).append(s.answer)
+    found: dict[str, list[float]] = {s.column: [] for s in searches}
+    while wide := [s for s in searches if s.inside > small]:
+        done = [s for s in searches if s.inside <= small]
+        searches = done + _one_round(values, wide, found)
+    if searches:
+        _finish(values, searches, found)
     return {c: sum(middle) / len(middle) for c, middle in found.items()}
 
 

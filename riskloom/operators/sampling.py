@@ -95,14 +95,14 @@ def _count_heads(df: DataFrame, digits: int, label: str) -> dict[int, dict[str,
     return out
 
 
-def stratified_split(
+def with_part(
     df: DataFrame,
     test_fraction: float = 0.2,
     seed: int = 42,
     key: str = KEY,
     label: str = LABEL,
-) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with exact class counts, as two plain filters over ``df``.
+) -> DataFrame:
+    """Add ``part`` (train or test) with exact class counts; a narrow projection over ``df``.
 
     Each row has a draw that depends on its key alone, and a class gives the rows with its smallest
     draws to the test set. The driver learns only one cut per class: counts per leading hex digits
@@ -121,7 +121,19 @@ def stratified_split(
     in_test = reduce(
         or_, [(F.col(label) == c.label) & (draw <= c.draw) for c in cuts], F.lit(False)
     )
-    return df.filter(~in_test), df.filter(in_test)
+    return df.withColumn("part", F.when(in_test, "test").otherwise("train"))
+
+
+def stratified_split(
+    df: DataFrame,
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    key: str = KEY,
+    label: str = LABEL,
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test), two filters over ``with_part``."""
+    parts = with_part(df, test_fraction, seed, key, label)
+    return tuple(parts.filter(F.col("part") == name).drop("part") for name in ("train", "test"))
 
 
 def bootstrap(df: DataFrame, n: int, seed: int = 42, tag: str = "pick", key: str = KEY) -> DataFrame:

@@ -46,7 +46,13 @@ from riskloom.operators.models import (
 )
 from riskloom.operators.neighbours import nearest_neighbours
 from riskloom.operators.ordering import shuffled, thin, time_sorted, with_row
-from riskloom.operators.sampling import bootstrap, of_class, stack, stratified_split
+from riskloom.operators.sampling import (
+    bootstrap,
+    of_class,
+    stack,
+    stratified_split,
+    with_part,
+)
 from riskloom.operators.scaling import apply_scaler, fit_scaler
 from riskloom.operators.smote import smote, smote_count, synthesise
 from riskloom.operators.weights import balanced_weights, class_counts, with_positive_weight
@@ -226,13 +232,9 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaler_apply_train_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = stratified_split(tx_orders(spark, sf_dir), seed=SEED)
-    scaler = fit_scaler(train)
-    parts = [
-        apply_scaler(df, scaler).withColumn("part", F.lit(name))
-        for name, df in (("train", train), ("test", test))
-    ]
-    return _rounded(stack(*parts), "Time", "Amount").select(KEY, "part", "Time", "Amount")
+    parts = with_part(tx_orders(spark, sf_dir), seed=SEED)
+    scaled = apply_scaler(parts, fit_scaler(parts.filter(F.col("part") == "train")))
+    return _rounded(scaled, "Time", "Amount").select(KEY, "part", "Time", "Amount")
 
 
 def load_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,14 +249,11 @@ def load_audit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = stratified_split(tx_events(spark, sf_dir), seed=SEED)
-    parts = [df.withColumn("part", F.lit(name)) for name, df in (("train", train), ("test", test))]
-    return stack(*parts).select(KEY, LABEL, "part")
+    return with_part(tx_events(spark, sf_dir), seed=SEED).select(KEY, LABEL, "part")
 
 
 def split_audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = stratified_split(tx_events(spark, sf_dir), seed=SEED)
-    return split_audit({"train": train, "test": test})
+    return split_audit(with_part(tx_events(spark, sf_dir), seed=SEED))
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
