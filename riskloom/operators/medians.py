@@ -112,15 +112,25 @@ def _finish(df: DataFrame, searches: list[_Search], found: dict) -> None:
         found[searches[r["i"]].column].append(r["value"])
 
 
-def exact_medians(df: DataFrame, columns: list[str], small: int = 50_000) -> dict[str, float]:
+def _known_rows(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
+    """(rows, rows with a value per column)."""
+    counts = [F.count(known(F.col(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(columns)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *counts).first()
+    return row["n"], {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
+def exact_medians(
+    df: DataFrame, columns: list[str], n: dict[str, int] | None = None, small: int = 500_000
+) -> dict[str, float]:
     """Median of each column (mean of the two middle values); an all-missing column has none.
 
-    ``small`` is the number of rows from which the last step ranks a column in one task.
+    ``n`` is the number of values per column, if known. ``small`` is the number of rows up to which
+    the last step ranks a column in one task.
     """
     if not columns:
         return {}
+    n = n or _known_rows(df, columns)[1]
     values = df.select([known(F.col(c).cast("double")).alias(c) for c in columns])
-    n = values.agg(*[F.count(c).alias(c) for c in columns]).first()
     searches = [
         _Search(c, sorted({(n[c] - 1) // 2, n[c] // 2}), n[c]) for c in columns if n[c]
     ]
@@ -141,13 +151,6 @@ def approximate_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: row[c] for c in columns if row[c] is not None}
 
 
-def columns_with_gaps(df: DataFrame, columns=FEATURES) -> list[str]:
-    row = df.agg(
-        *[F.count_if(known(F.col(c).cast("double")).isNull()).alias(c) for c in columns]
-    ).first()
-    return [c for c in columns if row[c]]
-
-
 def fit_medians(df: DataFrame, columns=FEATURES, exact: bool = True) -> dict[str, float]:
     """Medians to keep as an artifact, for data that is scored later or arrives as a stream."""
     return exact_medians(df, list(columns)) if exact else approximate_medians(df, list(columns))
@@ -160,9 +163,10 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 
 def batch_medians(df: DataFrame, columns=FEATURES) -> dict[str, float]:
-    """Medians of the columns that have gaps in this batch."""
+    """Medians of the columns that have gaps in this batch; the others are not looked at."""
     present = [c for c in columns if c in df.columns]
-    return exact_medians(df, columns_with_gaps(df, present))
+    rows, n = _known_rows(df, present)
+    return exact_medians(df, [c for c in present if n[c] < rows], n)
 
 
 def impute_from_batch(df: DataFrame, columns=FEATURES) -> DataFrame:
