@@ -174,8 +174,12 @@ def _best(lists: DataFrame, n: int) -> DataFrame:
     return lists.withColumn("place", place).filter(F.col("place") <= n).drop("place")
 
 
-def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> DataFrame:
-    """Per query, the other cells that may hold a point within its bound."""
+def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict, n: int) -> DataFrame:
+    """Per query, the other cells that may hold a point within its bound.
+
+    Pivots are points themselves, so the n-th nearest pivot bounds the search as well; that helps
+    queries whose own cell holds fewer than ``n`` points.
+    """
     cells = np.array(sorted(spans), dtype=np.int32)
     inner = np.array([spans[c][0] for c in cells])
     outer = np.array([spans[c][1] for c in cells])
@@ -187,9 +191,13 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> Data
             own = batch.column("cell").to_numpy()
             gap = batch.column("gap").to_numpy()
             bound = batch.column("bound").to_numpy()
+            bound = np.array(bound)
             reached = []
             for some in _chunks(len(points), len(cells)):
                 d2 = squared_distances(points[some], centres)
+                if len(cells) >= n:
+                    nth = np.partition(d2, n - 1, axis=1)[:, n - 1]
+                    bound[some] = np.minimum(bound[some], nth)
                 d = np.sqrt(d2)
                 apart = np.sqrt(squared_distances(pivots[own[some]], centres))
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -203,7 +211,7 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict) -> Data
                 [
                     batch.column("qid"),
                     batch.column("v"),
-                    batch.column("bound"),
+                    pa.array(bound),
                     pa.array(reached, pa.list_(pa.int32())),
                 ],
                 ["qid", "v", "bound", "cells"],
@@ -262,7 +270,7 @@ def nearest_neighbours(
         )
         spans = {c: (r["inner"], r["outer"]) for c, r in stats.items()}
         further = materialise(
-            _cells_in_reach(queries.join(reached, "qid"), pivots, spans), "reach"
+            _cells_in_reach(queries.join(reached, "qid"), pivots, spans, n), "reach"
         )
         by_cell = further.select("qid", "v", "bound", F.explode("cells").alias("cell"))
         visits = {r["cell"]: r["count"] for r in by_cell.groupBy("cell").count().collect()}

@@ -34,7 +34,6 @@ from riskloom.operators.medians import batch_medians, fit_medians, impute, imput
 from riskloom.operators.models import (
     MODEL_NAMES,
     FixedLogit,
-    as_pipeline,
     assembler,
     candidates,
     compare,
