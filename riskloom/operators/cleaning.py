@@ -1,5 +1,7 @@
 """Column checks, cleaning, alignment and quarantine of transaction rows."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,8 +96,9 @@ def validate(df: DataFrame, amount_required: bool = False) -> tuple[DataFrame, D
 
 
 def split_complete(df: DataFrame, columns=FEATURES) -> tuple[DataFrame, DataFrame]:
-    """(rows with a value in every feature, the other rows with ``reject_reason``)."""
-    gaps = F.concat_ws(",", *[F.when(F.col(c).isNull(), c) for c in columns])
+    """(rows with a finite value in every feature, the other rows with ``reject_reason``)."""
+    bad = [F.col(c).isNull() | (F.abs(c) == math.inf) for c in columns]
+    gaps = F.concat_ws(",", *[F.when(b, c) for b, c in zip(bad, columns)])
     reason = F.when(gaps != "", F.concat(F.lit("no value for "), gaps))
     judged = df.withColumn("reject_reason", reason)
     complete = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")

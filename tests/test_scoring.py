@@ -120,6 +120,13 @@ def test_a_feature_without_any_value_rejects_its_rows(spark):
     assert {r["reject_reason"] for r in rejected.collect()} == {"no value for V1"}
 
 
+def test_infinite_values_are_rejected(spark):
+    df = spark.createDataFrame([(1, math.inf, 2.0), (2, 1.0, 3.0)], "tx_id long, V1 double, Amount double")
+    got, rejected = score_batch(df, LOGIT, UNIT)
+    assert [r["row"] for r in got.collect()] == [2]
+    assert rejected.first()["reject_reason"] == "no value for V1"
+
+
 def test_score_single(spark):
     got = score_single(spark, {"Amount": 4.0, "V1": 2.0}, LOGIT, UNIT)
     assert got == {"fraud_probability": 0.9526, "risk_score": 95.26, "label": "FRAUD", "confidence": "HIGH"}
