@@ -6,6 +6,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.operators import reporting
+from riskloom.operators.cleaning import require_rows
 from riskloom.operators.models import scorer_for
 from riskloom.operators.ordering import thin
 from riskloom.plans import training
@@ -20,7 +21,7 @@ def _input(spark: SparkSession, args) -> DataFrame:
     good, bad = files.read_transactions(spark, args.data, args.format, args.strict, positions=True)
     if args.quarantine:
         bad.write.mode("overwrite").json(args.quarantine)
-    return good
+    return require_rows(good)
 
 
 def _train(spark: SparkSession, args) -> None:

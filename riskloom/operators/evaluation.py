@@ -7,7 +7,7 @@ scores of several models. Models are few; rows are not.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.numeric import ratio
+from riskloom.functions.numeric import known, ratio
 from riskloom.operators.ordering import running_sum
 from riskloom.schema import LABEL, METRIC_NAMES
 from riskloom.storage import small_frame
@@ -52,7 +52,7 @@ def _by_score(scored: DataFrame) -> DataFrame:
     """Class counts per distinct score: ties become one row before anything is ordered."""
     return (
         _with_model(scored)
-        .filter(F.col("p").isNotNull())
+        .filter(known(F.col("p")).isNotNull())
         .groupBy("model", "p")
         .agg(F.count_if(F.col(LABEL) == 1).alias("pos"), F.count_if(F.col(LABEL) == 0).alias("neg"))
     )

@@ -134,20 +134,24 @@ def rows_at(
     return picked.drop("row").withColumnRenamed("_true_row", "row")
 
 
-def _only_buckets_of(df: DataFrame, wanted: list[int], key: str) -> tuple[DataFrame, list]:
-    """Rows of the buckets that hold a wanted place, and where those places moved to."""
-    n = _BUCKETS
-    cuts = df.agg(
-        F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("cuts")
-    ).first()["cuts"]
-    cuts = sorted({float(c) for c in cuts})
-    bucketed = Bucketizer(
+def _bucketed(df: DataFrame, key: str, cuts: list[float]) -> DataFrame:
+    """Add ``_bucket``: bucket i holds the keys from the i-th cut up to the next."""
+    return Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_bucket"
     ).transform(df.withColumn("_key", F.col(key).cast("double")))
-    sizes = {
-        r["_bucket"]: r["n"]
-        for r in bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+
+
+def _bucket_sizes(bucketed: DataFrame) -> dict[int, int]:
+    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+    return {int(r["_bucket"]): r["n"] for r in sizes.collect()}
+
+
+def _only_buckets_of(df: DataFrame, wanted: list[int], key: str) -> tuple[DataFrame, list]:
+    """Rows of the buckets that hold a wanted place, and where those places moved to."""
+    shares = [i / _BUCKETS for i in range(1, _BUCKETS)]
+    cuts = df.agg(F.percentile_approx(key, shares, 10 * _BUCKETS).alias("cuts")).first()["cuts"]
+    bucketed = _bucketed(df, key, sorted({float(c) for c in cuts}))
+    sizes = _bucket_sizes(bucketed)
     kept, moved, passed, skipped, i = [], [], 0, 0, 0
     for b in sorted(sizes):
         last = passed + sizes[b]
@@ -156,13 +160,35 @@ def _only_buckets_of(df: DataFrame, wanted: list[int], key: str) -> tuple[DataFr
             moved.append((wanted[i] - skipped, wanted[i]))
             i += 1
         if i > start:
-            kept.append(b)
+            kept.append(float(b))
         else:
             skipped += sizes[b]
         passed = last
     return bucketed.filter(F.col("_bucket").isin(kept)).select(*df.columns), moved
 
 
+def places_of(df: DataFrame, few: DataFrame, key: str = KEY, row: str = "row") -> DataFrame:
+    """Add to a few rows of ``df`` their 1-based places in key order, without ordering ``df``.
+
+    The keys of the few rows cut the table into ranges; counting those ranges is one pass that
+    combines on the map side. Keys must be unique. Numbers beyond 2**53 are not exact as doubles;
+    for those, and for keys that are no numbers, the keys of the whole table are put in order.
+    """
+    few = materialise(few, "few")
+    keys = [r[key] for r in few.select(key).limit(_MAX_WANTED + 1).collect()]
+    if len(keys) > _MAX_WANTED:
+        raise ValueError("Too many rows to look up; use with_row.")
+    numeric = isinstance(df.schema[key].dataType, T.IntegralType)
+    if not numeric or any(abs(k) > 2**53 for k in keys):
+        numbered = with_row(df.select(key), key, row=row)
+        return numbered.join(F.broadcast(few), key)
+    keys.sort()
+    sizes = _bucket_sizes(_bucketed(df, key, [float(k) for k in keys])) if keys else {}
+    before = accumulate(sizes.get(i, 0) for i in range(len(keys)))
+    places = [(k, n + 1) for k, n in zip(keys, before)]
+    return few.join(F.broadcast(small_frame(df.sparkSession, places, f"{key} long, {row} long")), key)
+
+
 def thin(df: DataFrame, key: str = KEY, target: int = 200) -> DataFrame:
     """Every ``step``-th row from the first, ``step = max(1, floor(n / target))``: under 2*target rows."""
     total = df.count()

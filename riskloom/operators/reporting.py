@@ -63,9 +63,9 @@ def histogram(scored: DataFrame, bins=RISK_BINS) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def top_risk(scored: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` highest risk scores of any label, ties in row order, ranked 1..n."""
-    order = [F.desc("risk_score"), F.asc("row")]
+def top_risk(scored: DataFrame, n: int = 20, by: str = "row") -> DataFrame:
+    """The ``n`` highest risk scores of any label, ties in the order of ``by``, ranked 1..n."""
+    order = [F.desc("risk_score"), F.asc(by)]
     top = scored.orderBy(*order).limit(n)
     # the window sees the n survivors only
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -75,12 +75,12 @@ def filter_label(scored: DataFrame, label: str = "all") -> DataFrame:
     return scored if label == "all" else scored.filter(F.col("label") == label.upper())
 
 
-def first_rows(scored: DataFrame, label: str = "all", n: int = 500) -> DataFrame:
+def first_rows(scored: DataFrame, label: str = "all", n: int = 500, by: str = "row") -> DataFrame:
     """The first ``n`` rows of a display filter; ``shown`` of ``matching`` tells what is left out."""
     kept = filter_label(scored, label)
     matching = kept.agg(F.count(F.lit(1))).scalar()
     return (
-        kept.orderBy("row").limit(n)
+        kept.orderBy(by).limit(n)
         .withColumn("matching", matching)
         .withColumn("shown", F.least(F.col("matching"), F.lit(n)))
     )

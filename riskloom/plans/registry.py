@@ -44,7 +44,7 @@ from riskloom.operators.models import (
     scorer_for,
 )
 from riskloom.operators.neighbours import nearest_neighbours
-from riskloom.operators.ordering import shuffled, thin, time_sorted, with_row
+from riskloom.operators.ordering import places_of, shuffled, thin, time_sorted, with_row
 from riskloom.operators.sampling import (
     bootstrap,
     of_class,
@@ -145,13 +145,14 @@ def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top20_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.top_risk(_numbered(spark, sf_dir)).select("rank", *EXPORT)
+    scored = _scored(spark, sf_dir).select(KEY, *EXPORT[1:])
+    return places_of(scored, reporting.top_risk(scored, by=KEY)).select("rank", *EXPORT)
 
 
 def first500_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.first_rows(_numbered(spark, sf_dir), "fraud").select(
-        *EXPORT, "matching", "shown"
-    )
+    scored = _scored(spark, sf_dir).select(KEY, *EXPORT[1:])
+    first = reporting.first_rows(scored, "fraud", by=KEY)
+    return places_of(scored, first).select(*EXPORT, "matching", "shown")
 
 
 def thin_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from riskloom.__main__ import main
 from riskloom.schema import EXPORT, FEATURES
 
@@ -31,6 +33,12 @@ def test_train_score_report(spark, learnable, tmp_path, capsys, monkeypatch):
     assert "true" in capsys.readouterr().out
 
 
+def test_empty_input_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Time,Amount,Class\n")
+    with pytest.raises(ValueError, match="empty"):
+        main(["train", "--data", str(tmp_path), "--out", str(tmp_path / "out")])
+
+
 def test_mix(spark, separable, tmp_path):
     data, out = str(tmp_path / "data"), str(tmp_path / "mixes")
     separable.write.parquet(data)

@@ -51,6 +51,11 @@ def test_auc_of_one_class_is_unknown(spark):
     assert roc_auc(scored(spark, [(1, 0.2), (1, 0.9)])).first()["roc_auc"] is None
 
 
+def test_unknown_scores_do_not_count(spark):
+    df = scored(spark, [(0, 0.1), (1, 0.9), (0, float("nan")), (1, float("nan"))])
+    assert roc_auc(df).first()["roc_auc"] == 1.0
+
+
 def test_constant_score_is_chance(spark):
     assert roc_auc(scored(spark, [(0, 0.5), (1, 0.5), (1, 0.5)])).first()["roc_auc"] == 0.5
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordering import (
+    places_of,
     rows_at,
     running_sum,
     shuffled,
@@ -62,6 +63,19 @@ def test_rows_at_reads_few_buckets(spark):
     assert [true for _, true in moved] == [10, 40_000]
 
 
+@pytest.mark.parametrize("shift", [0, 2**60])
+def test_places_of_a_few_rows(spark, shift):
+    """Neighbouring keys beyond 2**53 look equal as doubles and must still get their own places."""
+    keys = [int(k) + shift for k in np.random.default_rng(2).permutation(4_000)[:1_500]]
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "tx_id long, name string").repartition(5)
+    few = df.filter("tx_id % 50 < 2")
+    ordered = sorted(keys)
+    got = places_of(df, few).collect()
+    assert len(got) == few.count() > 10
+    assert all(ordered[r["row"] - 1] == r["tx_id"] == int(r["name"]) for r in got)
+    assert places_of(df, few.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize(
     ("n", "points"), [(1, 1), (199, 199), (200, 200), (399, 399), (400, 200), (1_000, 200), (1_399, 234)]
 )
