@@ -95,14 +95,11 @@ def validate(df: DataFrame, amount_required: bool = False) -> tuple[DataFrame, D
     return valid, judged.filter(F.col("reject_reason").isNotNull())
 
 
-def split_complete(df: DataFrame, columns=FEATURES) -> tuple[DataFrame, DataFrame]:
-    """(rows with a finite value in every feature, the other rows with ``reject_reason``)."""
+def gap_reason(columns=FEATURES) -> Column:
+    """Names the features of a row that have no finite value; NULL for a complete row."""
     bad = [F.col(c).isNull() | (F.abs(c) == math.inf) for c in columns]
     gaps = F.concat_ws(",", *[F.when(b, c) for b, c in zip(bad, columns)])
-    reason = F.when(gaps != "", F.concat(F.lit("no value for "), gaps))
-    judged = df.withColumn("reject_reason", reason)
-    complete = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    return complete, judged.filter(F.col("reject_reason").isNotNull())
+    return F.when(gaps != "", F.concat(F.lit("no value for "), gaps))
 
 
 def quality_gates(raw: DataFrame, required=REQUIRED) -> DataFrame:

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.risk import confidence_of, fraud_probability, label_of, risk_score
-from riskloom.operators.cleaning import align, require_columns, split_complete, validate
-from riskloom.operators.medians import impute, impute_from_batch
+from riskloom.operators.cleaning import (
+    align,
+    gap_reason,
+    reject_reason,
+    require_columns,
+    validate,
+)
+from riskloom.operators.medians import batch_medians, impute
 from riskloom.operators.ordering import with_row
 from riskloom.operators.scaling import Scaler, apply_scaler
 from riskloom.schema import BANDS, EXPORT, FEATURES, KEY, LABEL, LOWEST_BAND
@@ -46,17 +52,24 @@ def score_rows(
     return add_risk(plain, bands, lowest)
 
 
-def prepare(df: DataFrame, medians: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows ready to score, rejected rows). Gaps take the given medians, else those of the batch.
+def judge(df: DataFrame, medians: dict[str, float] | None = None) -> DataFrame:
+    """Aligned rows with gaps filled, and ``reject_reason`` on those that cannot be scored.
 
-    A feature that still has no value would give no probability, so such rows are rejected too.
-    With given medians there is no job, which makes it fit for streams.
+    Gaps take the given medians, else those of the batch. A feature that still has no value would
+    give no probability, so such rows are rejected like those with a negative amount.
     """
-    valid, negative = validate(align(df))
-    echoed = _with_echo(valid)
-    filled = impute_from_batch(echoed) if medians is None else impute(echoed, medians)
-    ready, incomplete = split_complete(filled)
-    return ready, negative.unionByName(incomplete.drop("_echo"))
+    aligned = _with_echo(align(df))
+    if medians is None:
+        medians = batch_medians(validate(aligned)[0])
+    reason = F.coalesce(reject_reason(), gap_reason())
+    return impute(aligned, medians).withColumn("reject_reason", reason)
+
+
+def prepare(df: DataFrame, medians: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows ready to score, rejected rows). With given medians there is no job: fit for streams."""
+    judged = judge(df, medians)
+    is_good = F.col("reject_reason").isNull()
+    return judged.filter(is_good).drop("reject_reason"), judged.filter(~is_good).drop("_echo")
 
 
 def score_single(
@@ -87,10 +100,17 @@ def score_batch(
     features, before they are put in order: ordering samples its input first, and from a written
     table that does not run the model a second time.
     """
-    ready, rejected = prepare(require_columns(df, [KEY]), medians)
-    scored = score_rows(ready, scorer, scaler, bands, lowest).select(KEY, *EXPORT[1:])
-    unscored = rejected.select(KEY, F.round("Amount", 2).alias("amount"), "reject_reason")
-    everything = materialise(scored.unionByName(unscored, allowMissingColumns=True), "scored")
+    judged = judge(require_columns(df, [KEY]), medians)
+    # one pass for good and rejected rows: the latter go through the model as zeros, unseen
+    no_gaps = judged.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in FEATURES})
+    scored = scorer(apply_scaler(no_gaps, scaler)).select(
+        KEY,
+        F.col("_echo").alias("amount"),
+        F.when(F.col("reject_reason").isNull(), F.col("p")).alias("p"),
+        "reject_reason",
+    )
+    narrow = add_risk(scored, bands, lowest).select(KEY, *EXPORT[1:], "reject_reason")
+    everything = materialise(narrow, "scored")
     numbered = with_row(everything, KEY)
     is_scored = F.col("reject_reason").isNull()
     return (
