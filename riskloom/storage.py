@@ -3,30 +3,58 @@
 Results that must not change between two reads (row positions, neighbour lists) are written as
 parquet to the folder the cluster names in ``spark.checkpoint.dir``. A written table survives the
 loss of executors and, unlike a checkpointed RDD, keeps column pruning for the reads that follow.
+Tables go when the ``scratch`` block that made them ends, or else when the driver's process ends.
 """
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_local_root = None
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that every executor can reach; a temporary one only in local mode."""
-    global _local_root
+    """Folder that every executor can reach: the checkpoint folder, in local mode else the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="riskloom-")
-        spark.sparkContext.setCheckpointDir(_local_root)
-    return _local_root
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders through Spark's own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Drop every intermediate table made inside the block when it ends. For work that ends in files."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        drop_paths(spark, _made[start:])
+        del _made[start:]
+
+
+@atexit.register
+def _drop_at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        with contextlib.suppress(Exception):  # the session may have gone with its cluster
+            drop_paths(spark, _made)
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
@@ -45,7 +73,9 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
