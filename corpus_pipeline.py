@@ -1,8 +1,13 @@
-"""A training-data pipeline over ``documents``: five stages, each one operator of the library."""
+"""A training-data pipeline over ``documents``: five stages, each one operator of the library.
 
+Each stage gets what its predecessor kept and gives back the same columns; the last gives the pieces
+of the packed sequences. Stages are written as Parquet, so a lost executor costs one stage's tasks.
+"""
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, quality, secret_scan
+from riskloom.llm import decontamination, jaccard, packing, quality, secret_scan
 from riskloom.storage import materialise
 
 
@@ -11,7 +16,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, jaccard.Similarity(k=5, num=80, den=100))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any ten-word window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.drop_contaminated(docs, items, width=10)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; the secrets found in its text are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secrets),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: The tokenizer has no counterpart in SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None

@@ -2,14 +2,19 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
+    codes,
     decontamination,
+    jaccard,
+    packing,
     quality,
     recompression,
     secret_scan,
+    sharding,
     suffixes,
     url_filters,
 )
@@ -73,10 +78,28 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return codes.report(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(_table(spark, sf_dir, "documents"), jaccard.Similarity(k=4, num=85))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return recompression.remove_repeats(docs, width=35, with_text=False)
@@ -93,8 +116,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
+    "op9_token_codes": op9_token_codes,
     "op10_suffix_arrays": op10_suffix_arrays,
 }
