@@ -21,6 +21,8 @@ from riskloom.storage import materialise
 BLOCK_BYTES = 2 << 20
 #: Bytes of text per part of a key exchange.
 PART_BYTES = 24 << 20
+#: Exact and near copies mostly agree in this many first bytes.
+SAME_START = 48
 #: Stands for a null id: larger than any other.
 NO_ID = 2**63 - 1
 PAYLOAD = "block long, part int, payload binary"
@@ -43,17 +45,17 @@ def release(spark: SparkSession) -> None:
 
 
 def _salted(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``mark``: equal for equal texts, unless their copies together are large.
+    """``rows`` with ``mark``: equal for texts that begin alike, unless these are large together.
 
-    Copies that hold more than a part of a block are dealt over as many marks as they need.
+    Texts that together hold more than a part of a block are dealt over as many marks as they need.
     """
-    name = F.xxhash64("text")
+    name = F.xxhash64(F.substring("text", 1, SAME_START))
     piece = BLOCK_BYTES // 16
     large = rows.groupBy(name.alias("name")).agg(F.sum(F.octet_length("text") + 1000).alias("bytes"))
     large = large.where(F.col("bytes") > piece).select(
         "name", F.ceil(F.col("bytes") / piece).alias("pieces")
     )
-    large = materialise(large, "large_texts")
+    large = materialise(large, "large_starts")
     pieces = F.coalesce("pieces", F.lit(1))
     return (
         rows.withColumn("name", name)
@@ -67,7 +69,7 @@ def bucketed(docs: DataFrame, copies_together: bool = False) -> tuple[DataFrame,
     """(block, id, text) bucketed by block, and the number of parts that suits its size.
 
     ``text`` is binary, empty where null; a null id becomes the largest long. With
-    ``copies_together``, equal texts share a block as far as they fit.
+    ``copies_together``, texts with the same first bytes share a block as far as they fit.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

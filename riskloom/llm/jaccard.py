@@ -14,9 +14,10 @@ For sizes a and b that needs an overlap of at least ``need(a, b) = ceil(num (a +
 
 Lists are read in the order of size. Each member is first compared with the hub of its stretch (the
 first set whose size still fits), which connects groups of near copies with one comparison a member.
-Then, exactly, every pair of a list whose members are still in different components and whose sizes
-and places allow the overlap is compared. Sets of a pair are built again from the whole texts, so
-hashes of lists never decide a link.
+Then, exactly, every pair of a list whose members are still in different components and whose sizes,
+places and parities allow the overlap is compared. (A set's parities are 512 bits, each flipped by
+the shingles of one hash class: two sets differ in at least as many shingles as parities.) Sets of a
+pair are built again from the whole texts, so hashes of lists never decide a link.
 
 Defined cases: a null or empty text has no set and links with nothing; fewer words than ``k`` make
 one shingle; equal rows and null ids are rows of their own, a component of null ids alone has a null
@@ -43,6 +44,7 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 12
 #: Largest boundary that is considered; subsets of larger sets are never fewer than their postings.
 MAX_LIGHT = 24
+PARITIES = 8
 POSTING_ROWS = 1 << 19
 STEP_BYTES = 1 << 20
 
@@ -92,6 +94,15 @@ def signature(shingles: np.ndarray) -> int:
         return int(B.mixed(B.mixed(shingles ^ _R3).sum(dtype=np.uint64).reshape(1)).astype(np.int64)[0])
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES longs of 64 bits; each shingle flips one bit."""
+    flips = np.bincount(
+        ((shingles >> np.uint64(20)) & np.uint64(64 * PARITIES - 1)).astype(np.int64),
+        minlength=64 * PARITIES,
+    )
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about STEP_BYTES of text."""
     total = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
@@ -110,7 +121,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(id, tag, n, fp) of each row, and the counters (chunk, counts) of all its shingles."""
+    """(id, tag, n, fp, p0, p1 ...) of each row, and counters (chunk, counts) of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -127,6 +138,7 @@ def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                         part.column("tag"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([signature(s) for s in sets], pa.int64()),
+                        *map(pa.array, np.array([parities(s) for s in sets]).reshape(n, -1).T),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.binary()),
                     ],
@@ -135,7 +147,7 @@ def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         chunks = [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
         n = len(chunks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * 4
+            [pa.nulls(n, pa.int64())] * (4 + PARITIES)
             + [
                 pa.array(chunks, pa.int32()),
                 pa.array([counts[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in chunks], pa.binary()),
@@ -143,12 +155,12 @@ def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             _SIGNED,
         )
 
-    schema = "id long, tag long, n long, fp long, chunk int, counts binary"
+    schema = ", ".join(f"{c} long" for c in _SIGNED[:-2]) + ", chunk int, counts binary"
     table = materialise(rows.mapInArrow(run, schema), "signatures")
     return table.where("chunk IS NULL").drop("chunk", "counts"), table.where("chunk IS NOT NULL")
 
 
-_SIGNED = ["id", "tag", "n", "fp", "chunk", "counts"]
+_SIGNED = ["id", "tag", "n", "fp", *(f"p{i}" for i in range(PARITIES)), "chunk", "counts"]
 
 
 def _counters(chunks: DataFrame) -> np.ndarray:
@@ -288,6 +300,16 @@ def _possible(a_n: str, a_place: str, b_n: str, b_place: str, sim: Similarity) -
     return f"{sim.den} * {a_n} >= {sim.num} * {b_n} AND {room}"
 
 
+_PARITY = [f"p{i}" for i in range(PARITIES)]
+
+
+def _near(a: str, b: str, sim: Similarity) -> str:
+    """SQL: no more parities differ than shingles of a linked pair can."""
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _PARITY)
+    both = f"({a}.n + {b}.n)"
+    return f"{differ} <= {both} - 2 * ceil({sim.num} * {both} / {sim.num + sim.den})"
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets, built from the texts (fp, text), are similar enough."""
 
@@ -324,7 +346,10 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
 
     # The texts of all sets in lists, one for each set.
     nodes = materialise(
-        signed.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "tag")).alias("first")), "nodes"
+        signed.where("n > 0")
+        .groupBy("fp")
+        .agg(F.min(F.struct("id", "tag")).alias("first"), *[F.max(c).alias(c) for c in _PARITY]),
+        "nodes",
     )
     inside = lists.select("fp").union(lists.select("hub")).distinct()
     wanted = nodes.join(inside, "fp", "left_semi").select("fp", "first.id", "first.tag")
@@ -352,12 +377,17 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
     )
     apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     open_lists = materialise(
-        labelled.join(apart.where("x <> y").select("key"), "key", "left_semi"), "open_lists"
+        labelled.join(apart.where("x <> y").select("key"), "key", "left_semi").join(
+            nodes.select("fp", *_PARITY), "fp"
+        ),
+        "open_lists",
     )
     one, two = open_lists.alias("s"), open_lists.alias("t")
     close = F.expr(
         "s.key = t.key AND s.label <> t.label AND (s.n < t.n OR s.n = t.n AND s.fp < t.fp) AND "
         + _possible("s.n", "s.place", "t.n", "t.place", sim)
+        + " AND "
+        + _near("s", "t", sim)
     )
     more = one.join(two, close).select(
         F.least("s.fp", "t.fp").alias("a"), F.greatest("s.fp", "t.fp").alias("b")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.text import words_of
+from riskloom.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -138,13 +139,15 @@ def clean(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
 
     Rows keep their own other columns because the measures are taken beside them, in one struct.
     """
-    columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    columns = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.col("text").isNull().alias("_"), *[F.col(f"`{c}`") for c in columns])
     packed = docs.select(F.col("text"), row.alias("doc_id"))
-    judged = measure(packed, rules).where("kept")
+    # Written before the filter: pushed below the measures, it would repeat all of them.
+    judged = measure(packed, rules).select("doc_id", "clean_text", "kept")
+    judged = materialise(judged, "judged").where("kept")
     fields = {c: F.col("doc_id")[c].alias(c) for c in columns}
     fields["text"] = F.col("clean_text").alias("text")
     if "n_chars" in fields:
         kind = docs.schema["n_chars"].dataType
         fields["n_chars"] = F.char_length("clean_text").cast(kind).alias("n_chars")
-    return judged.select(*fields.values())
+    return judged.select(*[fields[c] for c in docs.columns])

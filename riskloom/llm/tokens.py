@@ -24,7 +24,7 @@ _WHOLE = re.compile(
     rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|"
 )
 #: Pieces that a task remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Bytes of text per step; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
