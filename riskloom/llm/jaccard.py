@@ -10,7 +10,7 @@ For sizes a and b that needs an overlap of at least ``need(a, b) = ceil(num (a +
   must hit; a light set joins the lists if its size can match a heavy one. Rarity is a count over
   all documents, kept in a fixed number of hashed counters: any order is right, a good one
   keeps passages that many documents share out of the lists.
-- The boundary is the one that makes keys plus postings fewest, from the counts of set sizes.
+- The boundary is the one that makes keys and (dearer) postings cheapest, from the counts of sizes.
 
 Lists are read in the order of size. Each member is first compared with the hub of its stretch (the
 first set whose size still fits), which connects groups of near copies with one comparison a member.
@@ -45,6 +45,8 @@ CHUNK = 1 << 12
 #: Largest boundary that is considered; subsets of larger sets are never fewer than their postings.
 MAX_LIGHT = 24
 PARITIES = 8
+#: What a list entry costs beside a subset key: it meets hubs, and pairs of other sets.
+POSTING_COST = 4
 POSTING_ROWS = 1 << 19
 STEP_BYTES = 1 << 20
 
@@ -184,7 +186,7 @@ def light_sizes(n: int, light: int, sim: Similarity) -> list[tuple[int, int]]:
 
 
 def boundary(counts: dict[int, int], sim: Similarity) -> int:
-    """The boundary for which light keys and heavy postings together are fewest."""
+    """The boundary for which light keys and heavy postings together cost least."""
 
     def cost(light: int) -> int:
         keys = sum(
@@ -193,9 +195,9 @@ def boundary(counts: dict[int, int], sim: Similarity) -> int:
             if 0 < n <= light
         )
         least = sim.smallest_partner(light + 1)
-        return keys + sum(c * sim.prefix(n) for n, c in counts.items() if n >= least)
+        return keys + POSTING_COST * sum(c * sim.prefix(n) for n, c in counts.items() if n >= least)
 
-    return min(range(MAX_LIGHT + 1), key=cost)
+    return min(range(MAX_LIGHT + 1), key=lambda light: (cost(light), -light))
 
 
 def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray) -> DataFrame:
