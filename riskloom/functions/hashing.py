@@ -9,7 +9,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = 2.0**32
+#: 13 hex digits: exact in a double, and enough for draws below any table size.
+_DIGITS, _WORD = 13, 2.0**52
 
 
 def digest(seed: int, tag: str, key: Column) -> Column:
@@ -18,11 +19,11 @@ def digest(seed: int, tag: str, key: Column) -> Column:
 
 
 def _word(hexdigits: Column, start: int) -> Column:
-    return F.conv(F.substring(hexdigits, start, 8), 16, 10).cast("double")
+    return F.conv(F.substring(hexdigits, start, _DIGITS), 16, 10).cast("double")
 
 
 def uniform(seed: int, tag: str, key: Column) -> Column:
-    """U[0, 1) from the first 32 bits of the digest."""
+    """U[0, 1) from the first 52 bits of the digest."""
     return _word(digest(seed, tag, key), 1) / F.lit(_WORD)
 
 
@@ -40,7 +41,7 @@ def gaussian(seed: int, tag: str, key: Column) -> Column:
     """N(0, 1) by Box-Muller from two words of one digest."""
     hexdigits = digest(seed, tag, key)
     radius = F.sqrt(F.lit(-2.0) * F.ln((_word(hexdigits, 1) + 1.0) / F.lit(_WORD)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * (_word(hexdigits, 9) / F.lit(_WORD)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * (_word(hexdigits, 1 + _DIGITS) / F.lit(_WORD)))
 
 
 def gaussian_constant(seed: int, tag: str) -> float:
@@ -48,6 +49,6 @@ def gaussian_constant(seed: int, tag: str) -> float:
     import hashlib
 
     hexdigits = hashlib.md5(f"{seed}|{tag}|constant".encode()).hexdigest()
-    u1 = (int(hexdigits[:8], 16) + 1.0) / _WORD
-    u2 = int(hexdigits[8:16], 16) / _WORD
+    u1 = (int(hexdigits[:_DIGITS], 16) + 1.0) / _WORD
+    u2 = int(hexdigits[_DIGITS : 2 * _DIGITS], 16) / _WORD
     return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)

@@ -70,10 +70,10 @@ def align(df: DataFrame, keep=(KEY, LABEL)) -> DataFrame:
     return df.select(*extra, *[_aligned(df, name) for name in FEATURES])
 
 
-def unparsable_columns(df: DataFrame) -> Column:
-    """Names of the text features in a row that hold something other than a number."""
+def unparsable_columns(df: DataFrame, names=FEATURES) -> Column:
+    """Which of these text columns hold something other than a number in a row."""
     text = [
-        c for c in FEATURES
+        c for c in names
         if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)
     ]
     hits = [F.when(is_unparsable_text(F.col(c)), c) for c in text]

@@ -8,7 +8,7 @@ from riskloom.plans.recipes import RECIPES
 from riskloom.plans.registry import LOGITS, SEED, SMOTE_RATIO
 from riskloom.schema import BANDS, FEATURES, LOWEST_BAND, RISK_BINS, V_COLUMNS
 
-_WORD = "4294967296::DOUBLE"
+_WORD = "4503599627370496::DOUBLE"
 
 
 # -- building blocks -------------------------------------------------------------------------
@@ -19,7 +19,7 @@ def _digest(tag: str, key: str) -> str:
 
 
 def _word(digest: str, start: int) -> str:
-    return f"(('0x' || substr({digest}, {start}, 8))::BIGINT)"
+    return f"(('0x' || substr({digest}, {start}, 13))::BIGINT)"
 
 
 def _uniform(tag: str, key: str) -> str:
@@ -30,7 +30,7 @@ def _gaussian(tag: str, key: str) -> str:
     d = _digest(tag, key)
     return (
         f"(sqrt(-2 * ln(({_word(d, 1)} + 1) / {_WORD}))"
-        f" * cos(2 * pi() * ({_word(d, 9)} / {_WORD})))"
+        f" * cos(2 * pi() * ({_word(d, 14)} / {_WORD})))"
     )
 
 

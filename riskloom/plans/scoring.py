@@ -12,6 +12,7 @@ from riskloom.operators.cleaning import (
     reject_reason,
     require_columns,
     validate,
+    unparsable_columns,
 )
 from riskloom.operators.medians import batch_medians, impute
 from riskloom.operators.ordering import with_row
@@ -56,13 +57,16 @@ def judge(df: DataFrame, medians: dict[str, float] | None = None) -> DataFrame:
     """Aligned rows with gaps filled, and ``reject_reason`` on those that cannot be scored.
 
     Gaps take the given medians, else those of the batch. A feature that still has no value would
-    give no probability, so such rows are rejected like those with a negative amount.
+    give no probability, so such rows are rejected like those with a negative amount, and text that
+    is no number is rejected, not filled.
     """
-    aligned = _with_echo(align(df))
+    text = df.withColumn("_unparsable", unparsable_columns(df))
+    aligned = _with_echo(align(text, keep=(KEY, LABEL, "_unparsable")))
     if medians is None:
-        medians = batch_medians(validate(aligned)[0])
-    reason = F.coalesce(reject_reason(), gap_reason())
-    return impute(aligned, medians).withColumn("reject_reason", reason)
+        medians = batch_medians(validate(aligned.where("_unparsable = ''"))[0])
+    bad = F.when(F.col("_unparsable") != "", F.concat(F.lit("not a number: "), "_unparsable"))
+    reason = F.coalesce(bad, reject_reason(), gap_reason())
+    return impute(aligned, medians).withColumn("reject_reason", reason).drop("_unparsable")
 
 
 def prepare(df: DataFrame, medians: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -73,7 +73,7 @@ def read_transactions(
     """
     raw = read_csv_text(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
     fields = [c for c in raw.columns if c != _BROKEN]
-    unparsable = unparsable_columns(raw)
+    unparsable = unparsable_columns(raw, (*FEATURES, LABEL, KEY))
     reason = F.when(unparsable != "", F.concat(F.lit("not a number: "), unparsable))
     record = F.to_csv(F.struct(*[F.col(c).cast("string") for c in fields]))
     if _BROKEN in raw.columns:

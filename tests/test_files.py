@@ -141,3 +141,18 @@ def test_indented_report_file(spark, tmp_path):
     (tmp_path / "metrics.json").write_text(json.dumps(report, indent=2))
     row = read_report(spark, str(tmp_path / "metrics.json")).first()
     assert row.asDict(recursive=True) == report
+
+
+def test_bad_label_is_quarantined(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Amount,V1,Class\n1,2,banana\n3,4,1\n")
+    good, bad = files.read_transactions(spark, str(tmp_path))
+    assert [r["Amount"] for r in good.collect()] == [3.0]
+    assert "Class" in bad.first()["reason"]
+
+
+def test_text_that_is_no_number_is_not_scored(spark):
+    from riskloom.plans.scoring import judge
+
+    df = spark.createDataFrame([(1, "5", "oops"), (2, "6", "1.5")], "tx_id long, Amount string, V1 string")
+    reasons = {r["tx_id"]: r["reject_reason"] for r in judge(df).collect()}
+    assert reasons == {1: "not a number: V1", 2: None}

@@ -102,3 +102,10 @@ def test_balanced_weights(spark):
     assert got == {0: 70 / (2 * 60), 1: 70 / (2 * 10)}
     total = with_balanced_weight(df).agg(F.sum("weight")).first()[0]
     assert math.isclose(total, 70)
+
+
+def test_draws_reach_every_row_of_a_large_table(spark):
+    from riskloom.functions.hashing import integer_below
+
+    drawn = spark.range(20_000).select(integer_below(2**40, 1, "t", F.col("id")).alias("i"))
+    assert drawn.select((F.col("i") % 16).alias("r")).distinct().count() == 16
