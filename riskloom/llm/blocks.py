@@ -93,6 +93,15 @@ def bucketed(docs: DataFrame, copies_together: bool = False) -> tuple[DataFrame,
     return spark.table(name), max(1, -(-size // PART_BYTES))
 
 
+def by_key(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """``rows`` written as a table bucketed by ``key``: joins on it leave them where they are."""
+    parts = min(max(parts, 12), 20_000)
+    name = f"keyed_{uuid.uuid4().hex}"
+    dealt = rows.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
+    dealt.option("compression", "zstd").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """Ids and texts of a block in an order that every round repeats: by id, then text."""
     ids = table.column("id").to_numpy()

@@ -13,8 +13,8 @@ For sizes a and b that needs an overlap of at least ``need(a, b) = ceil(num (a +
 - The boundary is the one that makes keys and (dearer) postings cheapest, from the counts of sizes.
 
 Lists are read in the order of size. Each member is first compared with the hub of its stretch (the
-first set whose size still fits), which connects groups of near copies with one comparison a member.
-Then, exactly, every pair of a list whose members are still in different components and whose sizes,
+first set whose size still fits), which connects groups of near copies with one comparison a member;
+a few more rounds draw other hubs for the lists that still hold several components. Then, exactly, every pair of a list whose members are still in different components and whose sizes,
 places and parities allow the overlap is compared. (A set's parities are 512 bits, each flipped by
 the shingles of one hash class: two sets differ in at least as many shingles as parities.) Sets of a
 pair are built again from the whole texts, so hashes of lists never decide a link.
@@ -48,6 +48,8 @@ PARITIES = 8
 #: What a list entry costs beside a subset key: it meets hubs, and pairs of other sets.
 POSTING_COST = 4
 POSTING_ROWS = 1 << 19
+#: Further rounds of hubs, drawn anew, before all pairs that are still apart are compared.
+HUB_ROUNDS = 2
 STEP_BYTES = 1 << 20
 
 
@@ -313,7 +315,10 @@ def _near(a: str, b: str, sim: Similarity) -> str:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets, built from the texts (fp, text), are similar enough."""
+    """The pairs (a, b) whose sets, built from the texts (fp, text), are similar enough.
+
+    ``texts`` is bucketed by fp: only the pairs, and the text of one side, are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,6 +340,57 @@ def _verify(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     return materialise(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"), "links")
 
 
+def _hub_pairs(lists: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of a member and a hub that sizes and parities allow; written.
+
+    This only saves comparisons, so places need not rule a pair out where parities can: a hub whose
+    shingle comes late in its own order still connects the group. Where sets are so large that
+    unlike ones pass the parities, places decide.
+    """
+    both = "(hub_n + n)"
+    clear = f"4 * ({both} - 2 * ceil({sim.num} * {both} / {sim.num + sim.den})) < {64 * PARITIES}"
+    fits = f"{sim.den} * hub_n >= {sim.num} * n"
+    places = _possible("hub_n", "hub_place", "n", "place", sim)
+    met = lists.where(f"{fits} AND ({clear} OR {places})").select("hub", "fp").distinct()
+    x = nodes.select("fp", "n", *_PARITY)
+    near = (
+        met.select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+        .join(x.withColumnRenamed("fp", "a").alias("s"), "a")
+        .join(x.withColumnRenamed("fp", "b").alias("t"), "b")
+        .where(_near("s", "t", sim))
+    )
+    order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return materialise(near.select(*order).distinct(), "pairs")
+
+
+def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component's label, of the lists that hold more than one component."""
+    labelled = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "label", F.coalesce("label", "fp")
+    )
+    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    return labelled.join(apart.where("x <> y").select("key"), "key", "left_semi")
+
+
+def _other_hubs(open_lists: DataFrame, turn: int, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of a member and the hub that this turn draws among a list's sets of its size.
+
+    Lists draw apart, so a member meets as many hubs as it has lists.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(sim.den / sim.num)) + F.lit(turn / HUB_ROUNDS))
+    rows = open_lists.withColumn("band", band)
+    hub = F.min(F.struct(F.xxhash64("fp", "key", F.lit(turn)).alias("draw"), "fp", "n", "label", *_PARITY))
+    hubs = rows.groupBy("key", "band").agg(hub.alias("hub")).select("key", "band", "hub.*")
+    met = rows.alias("s").join(
+        hubs.alias("t"),
+        F.expr(
+            "s.key = t.key AND s.band = t.band AND s.label <> t.label AND s.fp <> t.fp AND "
+            f"{sim.den} * least(s.n, t.n) >= {sim.num} * greatest(s.n, t.n) AND " + _near("s", "t", sim)
+        ),
+    )
+    return met.select(F.least("s.fp", "t.fp").alias("a"), F.greatest("s.fp", "t.fp").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
     """Per row: id, tag, n and ``component``, the smallest id that links reach (NO_ID for null)."""
     rows = _rows(docs)
@@ -350,40 +406,40 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
     nodes = materialise(
         signed.where("n > 0")
         .groupBy("fp")
-        .agg(F.min(F.struct("id", "tag")).alias("first"), *[F.max(c).alias(c) for c in _PARITY]),
+        .agg(
+            F.min(F.struct("id", "tag")).alias("first"),
+            F.max("n").alias("n"),
+            *[F.max(c).alias(c) for c in _PARITY],
+        ),
         "nodes",
     )
     inside = lists.select("fp").union(lists.select("hub")).distinct()
     wanted = nodes.join(inside, "fp", "left_semi").select("fp", "first.id", "first.tag")
     wanted = materialise(wanted, "wanted")
-    texts = materialise(
-        rows.join(wanted, ["id", "tag"]).dropDuplicates(["fp", "id", "tag"]).select("fp", "text"), "texts"
+    texts = B.by_key(
+        rows.join(wanted, ["id", "tag"]).dropDuplicates(["fp", "id", "tag"]).select("fp", "text"), "fp", parts
     )
     B.release(docs.sparkSession)
 
-    order = [F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")]
-    tested = materialise(
-        lists.where(_possible("hub_n", "hub_place", "n", "place", sim)).select(*order).distinct(), "pairs"
-    )
+    tested = _hub_pairs(lists, nodes, sim)
     links = _verify(tested, texts, sim)
     labels = components(links)
 
-    # Every pair of a list that is still apart.
     members = lists.select("key", "fp", "n", "place").union(
         lists.select("key", "hub", "hub_n", "hub_place")
     )
-    labelled = (
-        members.distinct()
-        .join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("label", F.coalesce("label", "fp"))
-    )
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    open_lists = materialise(
-        labelled.join(apart.where("x <> y").select("key"), "key", "left_semi").join(
-            nodes.select("fp", *_PARITY), "fp"
-        ),
-        "open_lists",
-    )
+    members = materialise(members.distinct().join(nodes.select("fp", *_PARITY), "fp"), "members")
+    for turn in range(HUB_ROUNDS):
+        met = _other_hubs(_open_lists(members, labels), turn, sim)
+        met = materialise(met.join(tested, ["a", "b"], "left_anti"), "hub_pairs")
+        if met.isEmpty():
+            break
+        tested, links = tested.union(met), links.union(_verify(met, texts, sim))
+        labels = components(links)
+        B.release(docs.sparkSession)
+
+    # Every pair of a list that is still apart.
+    open_lists = materialise(_open_lists(members, labels), "open_lists")
     one, two = open_lists.alias("s"), open_lists.alias("t")
     close = F.expr(
         "s.key = t.key AND s.label <> t.label AND (s.n < t.n OR s.n = t.n AND s.fp < t.fp) AND "
