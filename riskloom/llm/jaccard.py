@@ -253,7 +253,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
 
 
 def _lists(postings: DataFrame, sim: Similarity, parts: int) -> DataFrame:
-    """Members of lists of two sets or more, each with the hub of its stretch; written.
+    """Members of lists of two sets or more whose sizes fit, each with the hub of its stretch; written.
 
     A task reads its lists in order and holds one hub, so a list may have any length.
     """
@@ -275,8 +275,9 @@ def _lists(postings: DataFrame, sim: Similarity, parts: int) -> DataFrame:
             for x in zip(key[at].tolist(), fp[at].tolist(), n[at].tolist(), place[at].tolist()):
                 if last is not None and x[:2] == last[:2]:
                     continue  # the same set, from another task
-                last = x
-                if hub is None or x[0] != hub[0]:
+                before, last = last, x
+                # Sizes grow along a list: a set too large for the one before fits none before it.
+                if before is None or x[0] != before[0] or not sim.fits(before[2], x[2]):
                     hub = x
                     continue
                 out.append((*x, *hub[1:]))
