@@ -50,6 +50,8 @@ POSTING_COST = 4
 POSTING_ROWS = 1 << 19
 #: Further rounds of hubs, drawn anew, before all pairs that are still apart are compared.
 HUB_ROUNDS = 2
+#: Most bits of the bitmap that keeps the texts of lone sets out of a shuffle (8 MB).
+MARKS = 1 << 26
 STEP_BYTES = 1 << 20
 
 
@@ -295,6 +297,31 @@ def _lists(postings: DataFrame, sim: Similarity, parts: int) -> DataFrame:
     return materialise(dealt.mapInArrow(run, schema), "lists")
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose (id, tag) is ``wanted``, and a few others, so that most texts stay in place.
+
+    A bitmap of hashes, of a bounded size: the fuller it is, the more other rows pass, and the join
+    that follows drops them.
+    """
+    bits = min(MARKS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id", "tag"), F.lit(bits))
+    bucket = F.bitmap_bucket_number(place + 1).alias("bucket")
+    marks = F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("marks")
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for number, part in wanted.groupBy(bucket).agg(marks).collect():
+        bitmap[(number - 1) * len(part) : number * len(part)] = np.frombuffer(part, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            keep = (held[at >> 3] >> (at & 7) & 1).astype(bool)
+            yield batch.select(["id", "tag", "text"]).filter(pa.array(keep))
+
+    return rows.withColumn("place", place).mapInArrow(run, "id long, tag long, text binary")
+
+
 def _possible(a_n: str, a_place: str, b_n: str, b_place: str, sim: Similarity) -> str:
     """SQL: sizes fit (a <= b), and from these places on there is room for the overlap.
 
@@ -418,7 +445,12 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
     wanted = nodes.join(inside, "fp", "left_semi").select("fp", "first.id", "first.tag")
     wanted = materialise(wanted, "wanted")
     texts = B.by_key(
-        rows.join(wanted, ["id", "tag"]).dropDuplicates(["fp", "id", "tag"]).select("fp", "text"), "fp", parts
+        _marked(rows, wanted)
+        .join(wanted, ["id", "tag"])
+        .dropDuplicates(["fp", "id", "tag"])
+        .select("fp", "text"),
+        "fp",
+        parts,
     )
     B.release(docs.sparkSession)
 
