@@ -36,18 +36,30 @@ ASSIGN = (
     r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 
+_KEY_NAME = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A key runs to its END line. If the next PEM line is another one, or none follows, it runs over the
+#: header fields and the base64 lines; a last line under 16 characters must stand alone. Possessive
+#: loops take no stack, so a key of any length matches, and no text is passed twice.
+PRIVATE_KEY = (
+    rf"-----BEGIN {_KEY_NAME}"
+    rf"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_KEY_NAME}"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\n]*+)*+"
+    r"""(?:(?:[\s"',>|#*]*+[A-Za-z0-9+/=\\]{16,}+)++"""
+    r"""(?:[\s"',>|#*]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\s"',]*?(?:\n|\z)))?+)?+)"""
+)
+
 #: Maximal runs of the access and hex alphabets below their minimum fail as a whole, so the minimum
 #: is part of the pattern; a failing assignment still takes its text, so its minimum is not.
 RULES = (
     Rule("assign", ASSIGN, group=2, min_length=6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 BASE_KINDS = ("assign", "access", "hex")
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"

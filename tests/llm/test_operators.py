@@ -145,6 +145,38 @@ def test_secrets(spark, sf_dir, documents, odd, empty, tmp_path):
     assert clean[16] == ODD[-2][1] and clean[17] == "[REMOVED]"
 
 
+def test_redact_leaves_no_line_of_a_key(spark):
+    def pem(lines, name="RSA PRIVATE KEY", joint="\n", fields=(), end=True):
+        last = [f"-----END {name}-----"] * end
+        return joint.join([f"-----BEGIN {name}-----", *fields, *lines, *last])
+
+    body = [f"MIIE{i:02}/+" + "Ab1z" * 14 for i in range(8)] + ["Qx9Yw=="]
+    fields = ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C3D", "")
+    keys = [
+        pem(body),
+        pem(body, "OPENSSH PRIVATE KEY", fields=fields),
+        pem(body, "PGP PRIVATE KEY BLOCK"),
+        pem(body, "PRIVATE KEY", joint="\\n"),
+        pem(body, "EC PRIVATE KEY", joint="\r\n  "),
+        pem(body, end=False),
+        pem(body, fields=fields, end=False),
+        pem(body, joint="\n> ", end=False),
+        pem(body[:-1] * 20_000 + body[-1:]),
+        pem(body[:-1] * 20_000 + body[-1:], end=False),
+    ]
+    cert = pem(["MIICert" * 9], "CERTIFICATE")
+    texts = [f"Before.\n{k}\nAfter it, prose." for k in keys]
+    texts += [f"Before.\n{keys[5]}\n{keys[0]}\nAfter it, prose.", f"Before.\n{keys[5]}\n{cert}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i in range(len(keys)):
+        assert clean[i] == "Before.\n[REMOVED]\nAfter it, prose.", (i, clean[i][:300])
+    assert clean[len(keys)] == "Before.\n[REMOVED]\n[REMOVED]\nAfter it, prose."
+    assert clean[len(keys) + 1] == f"Before.\n[REMOVED]\n{cert}"
+    spans = {r.doc_id: r.spans for r in secret_scan.report(df).collect()}
+    assert f"private_key:8:{8 + len(keys[0])}" in spans[0].split(",")
+
+
 def test_quality(odd, empty):
     rows = {r.doc_id: r for r in quality.measure(odd).collect() if r.doc_id}
     assert rows[1].n_words == rows[2].n_words == rows[3].n_words == 0 and rows[1].base_failed
