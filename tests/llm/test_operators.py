@@ -291,6 +291,33 @@ def test_sharding(spark, sf_dir, documents, odd, empty):
     assert sharding.assign(odd).count() == len(ODD) and sharding.assign(empty).count() == 0
 
 
+def test_sharding_keeps_groups_whole(spark, sf_dir, documents):
+    texts = dict(documents)
+    shards_of = defaultdict(set)
+    for r in QUERIES["op7_sharding"](spark, sf_dir).collect():
+        shards_of[texts[r.doc_id] or ""].add(r.shard)
+    group = defaultdict(lambda: np.zeros(3))
+    for text in (t or "" for t in texts.values()):
+        group[text] += (len(text.encode()) + 8, len(re.findall(r"[^\x20\x09-\x0D]+", text)), 1)
+    quarter = sum(group.values()) / 24 / 4
+    whole = [t for t, v in group.items() if v[2] > 1 and (v <= quarter).all()]
+    assert whole and all(len(shards_of[t]) == 1 for t in whole)
+
+    # Copies of a short text: groups below a quarter of a shard stay whole, a huge one is spread out.
+    copies = [(i, f"copy of {i % 200}") for i in range(1_200)] + [(i, "hot") for i in range(1_200, 2_400)]
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(4)
+    rows = sharding.assign(df, shards=8).collect()
+    name = dict(copies)
+    used = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        used[name[r.doc_id]][r.shard] += 1
+    hot = used.pop("hot")
+    assert len(used) == 200 and all(len(s) == 1 for s in used.values())
+    sizes = [sum(u[k] for u in used.values()) + hot[k] for k in range(8)]
+    assert len(hot) == 8 and max(hot.values()) < 1_200 / 3
+    assert max(sizes) < 1.15 * len(rows) / 8
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage on what its predecessor kept, against plain versions."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
