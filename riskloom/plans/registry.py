@@ -35,7 +35,6 @@ from riskloom.operators.models import (
     MODEL_NAMES,
     FixedLogit,
     assembler,
-    candidates,
     compare,
     fit_boosted,
     fit_forest,
@@ -81,8 +80,6 @@ from riskloom.streaming import live
 
 SEED = 42
 SMOTE_RATIO = 0.5
-# Rounds of the registered boosting query; the library default is 300, one job chain per round.
-BOOST_ROUNDS = 20
 
 # Coefficients of the fixed scorers, first the one that single-model queries use.
 LOGITS = {
@@ -391,8 +388,7 @@ def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosting with 20 rounds instead of the default 300, which would run for minutes."""
-    return _one_model(spark, sf_dir, MODEL_NAMES[2], lambda df: fit_boosted(df, BOOST_ROUNDS))
+    return _one_model(spark, sf_dir, MODEL_NAMES[2], fit_boosted)
 
 
 def feature_importance_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +399,7 @@ def feature_importance_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_and_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train all three, save the champion, and show what the artifact folder then holds."""
     out = new_path(spark, "artifacts")
-    fits = candidates(rounds=BOOST_ROUNDS)
-    training.train(tx_embed(spark, sf_dir), out, fits, ratio=SMOTE_RATIO, seed=SEED)
+    training.train(tx_embed(spark, sf_dir), out, ratio=SMOTE_RATIO, seed=SEED)
     held = status(spark, out)
     return read_report(spark, f"{out}/report").select(
         *[held.select(c).scalar().alias(c) for c in held.columns], F.inline("all_metrics")

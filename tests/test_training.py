@@ -132,3 +132,19 @@ def test_rejected_rows_of_a_stream(spark):
     sink = new_path(spark, "test-rejected")
     live.to_parquet(live.rejected_stream(stream, {}).select(KEY, "reject_reason"), sink).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(sink).collect()] == [(2, "negative amount")]
+
+
+def test_registered_boosting_runs_all_rounds(spark, sf_dir, monkeypatch):
+    from riskloom.operators import models
+    from riskloom.plans.registry import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, frame):
+        raise Seen(self.getMaxIter())
+
+    monkeypatch.setattr(models.GBTClassifier, "fit", fit)
+    for name in ("train_gbt", "train_and_save"):
+        with pytest.raises(Seen, match="^300$"):
+            QUERIES[name](spark, sf_dir)
