@@ -51,7 +51,7 @@ from riskloom.operators.sampling import (
     stratified_split,
     with_part,
 )
-from riskloom.operators.scaling import apply_scaler, fit_scaler
+from riskloom.operators.scaling import Scaler, apply_scaler, fit_scaler
 from riskloom.operators.smote import smote, smote_count, synthesise
 from riskloom.operators.weights import balanced_weights, class_counts, with_positive_weight
 from riskloom.plans import training
@@ -478,7 +478,25 @@ def json_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = accounts.select(F.to_json(F.struct(*accounts.columns)).alias("value"))
     valid, rejected = files.parse_json_transactions(lines)
     passed = valid.withColumn("reject_reason", F.lit(None).cast("string"))
-    return stack(passed, rejected).select(KEY, "Time", "V1", "V2", "Amount", "reject_reason")
+    return stack(passed, rejected.drop("record")).select(KEY, "Time", "V1", "V2", "Amount", "reject_reason")
+
+
+def _live_json(spark: SparkSession, folder: str, out: str, scaler: Scaler) -> DataFrame:
+    """Score or reject all JSON lines of a folder in one query; its table, which holds both."""
+    arriving = files.judge_json(files.stream_json(spark, folder))
+    rows = live.score_and_reject(arriving, _logit(), scaler, {})
+    live.to_parquet(rows, out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _live_totals(spark: SparkSession, folder: str, out: str, scaler: Scaler) -> DataFrame:
+    """Score or reject all rows of a folder in one query, and keep totals over the stream of its table."""
+    rows = live.score_and_reject(files.stream_transactions(spark, folder), _logit(), scaler, {})
+    live.to_parquet(rows, out).awaitTermination()
+    view = f"totals_{uuid.uuid4().hex}"
+    scored = live.scored_rows(spark.readStream.schema(rows.schema).parquet(out))
+    live.totals_to_view(live.running_totals(scored), view).awaitTermination()
+    return spark.table(view)
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,21 +505,15 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out = new_path(spark, "incoming"), new_path(spark, "live-scores")
     fields = F.struct(*[c for c in events.columns if c != LABEL])
     events.select(F.to_json(fields).alias("value")).write.text(folder)
-    arriving, _ = files.parse_json_transactions(files.stream_json(spark, folder))
-    scored = live.score_stream(arriving, _logit(), fit_scaler(events), {})
-    live.to_parquet(scored.select(KEY, *EXPORT[1:]), out).awaitTermination()
-    return spark.read.parquet(out)
+    return live.scored_rows(_live_json(spark, folder, out, fit_scaler(events)))
 
 
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events arrive as parquet files; the totals are kept while they are scored."""
     events = _aligned_events(spark, sf_dir)
-    folder, view = new_path(spark, "incoming"), f"totals_{uuid.uuid4().hex}"
+    folder, out = new_path(spark, "incoming"), new_path(spark, "live-totals")
     events.drop(LABEL).write.parquet(folder)
-    arriving = files.stream_transactions(spark, folder)
-    scored = live.score_stream(arriving, _logit(), fit_scaler(events), {})
-    live.totals_to_view(live.running_totals(scored), view).awaitTermination()
-    return spark.table(view)
+    return _live_totals(spark, folder, out, fit_scaler(events))
 
 
 QUERIES = {

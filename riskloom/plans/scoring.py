@@ -58,15 +58,32 @@ def judge(df: DataFrame, medians: dict[str, float] | None = None) -> DataFrame:
 
     Gaps take the given medians, else those of the batch. A feature that still has no value would
     give no probability, so such rows are rejected like those with a negative amount, and text that
-    is no number is rejected, not filled.
+    is no number is rejected, not filled. Rows of ``files.judge_json`` keep their line and reason.
     """
     text = df.withColumn("_unparsable", unparsable_columns(df))
-    aligned = _with_echo(align(text, keep=(KEY, LABEL, "_unparsable")))
+    aligned = _with_echo(align(text, keep=(KEY, LABEL, "_unparsable", "_record", "_reason")))
+    told = F.col("_reason") if "_reason" in aligned.columns else F.lit(None).cast("string")
     if medians is None:
-        medians = batch_medians(validate(aligned.where("_unparsable = ''"))[0])
+        medians = batch_medians(validate(aligned.where((F.col("_unparsable") == "") & told.isNull()))[0])
     bad = F.when(F.col("_unparsable") != "", F.concat(F.lit("not a number: "), "_unparsable"))
-    reason = F.coalesce(bad, reject_reason(), gap_reason())
-    return impute(aligned, medians).withColumn("reject_reason", reason).drop("_unparsable")
+    reason = F.coalesce(told, bad, reject_reason(), gap_reason())
+    return impute(aligned, medians).withColumn("reject_reason", reason).drop("_unparsable", "_reason")
+
+
+def score_judged(
+    judged: DataFrame, scorer: Scorer, scaler: Scaler, bands=BANDS, lowest=LOWEST_BAND
+) -> DataFrame:
+    """One narrow pass over good and rejected rows: the latter go through the model as zeros, unseen,
+    and have no scores but a ``reject_reason``."""
+    kept = [c for c in (KEY, "_record") if c in judged.columns]
+    no_gaps = judged.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in FEATURES})
+    scored = scorer(apply_scaler(no_gaps, scaler)).select(
+        *kept,
+        F.col("_echo").alias("amount"),
+        F.when(F.col("reject_reason").isNull(), F.col("p")).alias("p"),
+        "reject_reason",
+    )
+    return add_risk(scored, bands, lowest).select(*kept, *EXPORT[1:], "reject_reason")
 
 
 def prepare(df: DataFrame, medians: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,15 +122,7 @@ def score_batch(
     table that does not run the model a second time.
     """
     judged = judge(require_columns(df, [KEY]), medians)
-    # one pass for good and rejected rows: the latter go through the model as zeros, unseen
-    no_gaps = judged.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in FEATURES})
-    scored = scorer(apply_scaler(no_gaps, scaler)).select(
-        KEY,
-        F.col("_echo").alias("amount"),
-        F.when(F.col("reject_reason").isNull(), F.col("p")).alias("p"),
-        "reject_reason",
-    )
-    narrow = add_risk(scored, bands, lowest).select(KEY, *EXPORT[1:], "reject_reason")
+    narrow = score_judged(judged, scorer, scaler, bands, lowest).drop("_record")
     everything = materialise(narrow, "scored")
     numbered = with_row(everything, KEY)
     is_scored = F.col("reject_reason").isNull()

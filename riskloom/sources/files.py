@@ -4,7 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.operators.cleaning import align, require_rows, unparsable_columns, validate
+from riskloom.functions.numeric import is_unparsable_text, number_from_text
+from riskloom.operators.cleaning import (
+    align,
+    gap_reason,
+    reject_reason,
+    require_rows,
+    unparsable_columns,
+)
 from riskloom.schema import EXPORT, EXPORT_SCHEMA, FEATURES, KEY, LABEL, TX
 from riskloom.storage import materialise
 
@@ -99,25 +106,49 @@ def stream_transactions(spark: SparkSession, path: str, schema=TX, fmt: str = "p
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
-def parse_json_transactions(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) from one JSON object per row; absent features are 0.0, Amount is required.
+def judge_json(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One JSON object per row as key and features, with ``_record`` (the line) and ``_reason``.
 
-    Works on a stream as well: there is no job and no state.
+    Values are read as text first: an absent feature is 0.0, a null one has no value, and one that is
+    no number is neither. ``_reason`` is NULL for a good row. Works on a stream as well: there is no
+    job and no state. A line that is no JSON object has no amount, and says so.
     """
     others = [c for c in lines.columns if c not in (column, KEY)]
-    parsed = lines.select(*others, F.from_json(column, TX).alias("tx"))
-    field = lambda c: F.col(f"tx.{c}")
+    parsed = lines.select(
+        *others, F.col(column).alias("_record"), F.from_json(column, "map<string,string>").alias("_tx")
+    )
+    raw = lambda c: F.try_element_at("_tx", F.lit(c))
+    absent = lambda c: ~F.coalesce(F.map_contains_key("_tx", F.lit(c)), F.lit(False))
+    key = F.trim(raw(KEY)).try_cast("long")
+    bad = [F.when(is_unparsable_text(raw(c)), c) for c in FEATURES]
+    bad.append(F.when(raw(KEY).isNotNull() & key.isNull(), KEY))
     rows = parsed.select(
         *others,
-        field(KEY),
-        *[F.coalesce(field(c), F.lit(0.0)).alias(c) for c in FEATURES if c != "Amount"],
-        field("Amount"),
+        key.alias(KEY),
+        *[
+            F.when(absent(c), F.lit(0.0)).otherwise(number_from_text(raw(c))).alias(c)
+            for c in FEATURES
+            if c != "Amount"
+        ],
+        number_from_text(raw("Amount")).alias("Amount"),
+        "_record",
+        F.concat_ws(",", *bad).alias("_bad"),
     )
-    return validate(rows, amount_required=True)
+    unparsable = F.when(F.col("_bad") != "", F.concat(F.lit("not a number: "), "_bad"))
+    reason = F.coalesce(unparsable, reject_reason(amount_required=True), gap_reason())
+    return rows.withColumn("_reason", reason).drop("_bad")
+
+
+def parse_json_transactions(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) of ``judge_json``; rejected rows have ``reject_reason`` and their ``record``."""
+    judged = judge_json(lines, column)
+    is_good = F.col("_reason").isNull()
+    rejected = judged.filter(~is_good).withColumnsRenamed({"_reason": "reject_reason", "_record": "record"})
+    return judged.filter(is_good).drop("_reason", "_record"), rejected
 
 
 def stream_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Stream of text lines, one JSON transaction each; feed it to ``parse_json_transactions``."""
+    """Stream of text lines, one JSON transaction each; feed it to ``judge_json``."""
     return spark.readStream.options(**options).text(path)
 
 

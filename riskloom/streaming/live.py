@@ -3,12 +3,13 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.reporting import summary
 from riskloom.operators.scaling import Scaler
-from riskloom.plans.scoring import prepare, score_rows
-from riskloom.schema import BANDS, LOWEST_BAND
+from riskloom.plans.scoring import judge, prepare, score_judged, score_rows
+from riskloom.schema import BANDS, EXPORT, LOWEST_BAND
 from riskloom.storage import new_path
 
 
@@ -26,6 +27,35 @@ def score_stream(
     return score_rows(ready, scorer, scaler, bands, lowest)
 
 
+def score_and_reject(
+    stream: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    scaler: Scaler,
+    medians: dict[str, float],
+    bands=BANDS,
+    lowest=LOWEST_BAND,
+) -> DataFrame:
+    """Every row of the stream for one sink: scored, or without scores and with a ``reject_reason``.
+
+    Rows of ``files.judge_json`` that are rejected keep their line as ``record``.
+    """
+    rows = score_judged(judge(stream, medians), scorer, scaler, bands, lowest)
+    if "_record" not in rows.columns:
+        return rows
+    record = F.when(F.col("reject_reason").isNotNull(), F.col("_record"))
+    return rows.withColumn("record", record).drop("_record")
+
+
+def scored_rows(rows: DataFrame) -> DataFrame:
+    """The scored ones among the rows of ``score_and_reject``."""
+    return rows.filter("reject_reason IS NULL").drop("reject_reason", "record")
+
+
+def rejected_rows(rows: DataFrame) -> DataFrame:
+    """The rejected ones: key, amount, reason, and the line if there is one."""
+    return rows.filter("reject_reason IS NOT NULL").drop(*EXPORT[2:])
+
+
 def rejected_stream(stream: DataFrame, medians: dict[str, float]) -> DataFrame:
     """The rows that ``score_stream`` leaves out, with the reason."""
     return prepare(stream, medians)[1]

@@ -127,6 +127,49 @@ def test_json_defaults_and_rejects(spark):
     assert reasons == ["amount missing", "amount missing", "negative amount"]
 
 
+JSON_LINES = {
+    '{"tx_id": 1, "Amount": 3.5, "V2": 1}': None,
+    '{"tx_id": 2, "Amount": 3.5, "V2": null}': "no value for V2",
+    '{"tx_id": 3, "Amount": 3.5, "V2": "oops", "V3": true}': "not a number: V2,V3",
+    '{"tx_id": 4, "Amount": "much"}': "not a number: Amount",
+    '{"tx_id": 5, "Amount": null}': "amount missing",
+    '{"tx_id": 6, "Amount": -2}': "negative amount",
+    '{"tx_id": 7, "Amount": 1, "V4": {"a": 1}}': "not a number: V4",
+    '{"tx_id": 8, "V1": 1}': "amount missing",
+    '{"tx_id": "x", "Amount": 1}': "not a number: tx_id",
+    "not json": "amount missing",
+}
+
+
+def test_json_gaps_and_wrong_types_are_rejected_with_their_line(spark):
+    lines = spark.createDataFrame([(x,) for x in JSON_LINES], "value string")
+    valid, rejected = files.parse_json_transactions(lines)
+    assert [(r["tx_id"], r["V2"], r["V3"]) for r in valid.collect()] == [(1, 1.0, 0.0)]
+    got = {r["record"]: r["reject_reason"] for r in rejected.collect()}
+    assert got == {k: v for k, v in JSON_LINES.items() if v}
+
+
+def test_stream_keeps_scored_and_rejected_rows(spark, tmp_path):
+    from riskloom.plans import registry
+    from riskloom.streaming import live
+
+    lines = spark.createDataFrame([(x,) for x in JSON_LINES], "value string")
+    lines.write.text(str(tmp_path / "json"))
+    unit = Scaler({"Amount": 0.0, "Time": 0.0}, {"Amount": 1.0, "Time": 1.0})
+    rows = registry._live_json(spark, str(tmp_path / "json"), str(tmp_path / "rows"), unit)
+    assert [r["tx_id"] for r in live.scored_rows(rows).collect()] == [1]
+    got = {r["record"]: r["reject_reason"] for r in live.rejected_rows(rows).collect()}
+    assert got == {k: v for k, v in JSON_LINES.items() if v}
+
+    columns = f"tx_id long, {', '.join(f'{c} double' for c in FEATURES)}"
+    made = [(i, *[0.0] * 29, a) for i, a in ((1, 2.0), (2, -1.0), (3, None))]
+    spark.createDataFrame(made, columns).write.parquet(str(tmp_path / "in"))
+    totals = registry._live_totals(spark, str(tmp_path / "in"), str(tmp_path / "all"), unit)
+    assert totals.first()["total_rows"] == 1
+    left_out = live.rejected_rows(spark.read.parquet(str(tmp_path / "all"))).collect()
+    assert {r["tx_id"]: r["reject_reason"] for r in left_out} == {2: "negative amount", 3: "no value for Amount"}
+
+
 def test_no_artifacts(spark, tmp_path):
     assert read_report(spark, str(tmp_path / "none")).count() == 0
     row = status(spark, str(tmp_path / "none")).first()
