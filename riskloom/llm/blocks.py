@@ -3,6 +3,7 @@
 Documents are written once, bucketed by a block number, so that later rounds read a block without a
 shuffle. A round sends, for each (block, part), one row with an array of 64-bit keys; the task of a
 part sees all its keys together and answers each row with one bit per key. Only keys and bits move.
+A block sends a key once, however often it holds it, so a part gets a hot key once per block.
 Blocks hold a few megabytes of text by hashing id and text, so neither a hot source nor a group of
 copies fills one; a part holds the keys of a range of key hashes.
 """
@@ -120,6 +121,20 @@ def split_keys(hashes: np.ndarray, parts: int, turn: int = 0) -> Iterator[tuple[
             yield turn * parts + p, order[bounds[p] : bounds[p + 1]]
 
 
+class Distinct:
+    """The distinct keys of a block, for ``repeated``."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.first, self._place, counts = np.unique(
+            keys, return_index=True, return_inverse=True, return_counts=True
+        )
+        self._twice = counts > 1
+
+    def spread(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Per key of the block: whether it occurs twice, here or with what other blocks hold."""
+        return (self._twice | elsewhere)[self._place]
+
+
 def payload_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     block, part, payload = zip(*rows) if rows else ((), (), ())
     return pa.table(
@@ -150,7 +165,9 @@ def answer(payloads: DataFrame, judge: Callable[[list[bytes]], list[bytes]], nam
 
 
 def repeated(payloads: list[bytes]) -> list[bytes]:
-    """For arrays of 64-bit keys: one bit per key, set if the key occurs at least twice in all."""
+    """For arrays of 64-bit keys: one bit per key, set if the key occurs at least twice in all.
+
+    Arrays are those of ``Distinct``, so a bit tells whether a key is in two blocks."""
     sizes = [len(x) // 8 for x in payloads]
     keys = np.frombuffer(b"".join(payloads), np.uint64)
     _, place, counts = np.unique(keys, return_inverse=True, return_counts=True)

@@ -13,7 +13,7 @@ range of words that its existence depends on is known, and wherever these words
    runs) are verified: their own hashes are exchanged, and those that occur twice are repeats.
 3. Each word in a repeated window is removed.
 
-Window hashes have 64 bits plus those of the part they meet in. Names and hashes are exchanged as
+Window hashes have 64 bits; between blocks, also those of the part they meet in. Names and hashes are exchanged as
 packed arrays between blocks of documents (see ``blocks``), three reads of a bucketed table in all.
 
 Defined cases: a null or empty text has no words and the digest of the empty string; fewer words
@@ -172,19 +172,22 @@ def remove_repeats(
 
     def symbols(words: Words):
         name, low, high = _voters(words, width, levels)
-        return name, low, high, list(B.split_keys(name, parts))
+        distinct = B.Distinct(name)
+        return low, high, distinct, list(B.split_keys(distinct.keys, parts))
 
     def asked_windows(words: Words, found: dict[int, np.ndarray]):
-        """Windows to verify, and the parts that their hashes go to."""
-        name, low, high, placed = symbols(words)
-        asked = _candidates(words, low, high, B.bits_of(len(name), placed, found), width)
-        other = rolling(words.names, width, _R2)[asked]
-        return asked, list(B.split_keys(other, parts, turn=1))
+        """Windows to verify, their distinct hashes, and the parts that these go to."""
+        low, high, distinct, placed = symbols(words)
+        shared = distinct.spread(B.bits_of(len(distinct.keys), placed, found))
+        asked = _candidates(words, low, high, shared, width)
+        distinct = B.Distinct(rolling(words.names, width, _R1)[asked])
+        other = rolling(words.names, width, _R2)[asked][distinct.first]
+        return asked, distinct, list(B.split_keys(other, parts, turn=1))
 
     def send_symbols(block: pa.Table) -> pa.Table:
         key = block.column("block")[0].as_py()
-        name, _, _, placed = symbols(Words(B.ordered(block)[1]))
-        return B.payload_table([(key, p, name[at].tobytes()) for p, at in placed])
+        _, _, distinct, placed = symbols(Words(B.ordered(block)[1]))
+        return B.payload_table([(key, p, distinct.keys[at].tobytes()) for p, at in placed])
 
     shared = B.answer(grouped.applyInArrow(send_symbols, B.PAYLOAD), B.repeated, "symbols")
 
@@ -193,9 +196,8 @@ def remove_repeats(
             return B.payload_table([])
         key = block.column("block")[0].as_py()
         words = Words(B.ordered(block)[1])
-        asked, placed = asked_windows(words, B.unpack(replies))
-        hashes = rolling(words.names, width, _R1)[asked]
-        return B.payload_table([(key, p, hashes[at].tobytes()) for p, at in placed])
+        _, distinct, placed = asked_windows(words, B.unpack(replies))
+        return B.payload_table([(key, p, distinct.keys[at].tobytes()) for p, at in placed])
 
     sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(send_windows, B.PAYLOAD)
     replies = shared.unionByName(B.answer(sent, B.repeated, "repeats"))
@@ -204,9 +206,9 @@ def remove_repeats(
         ids, texts = B.ordered(block) if block.num_rows else (np.zeros(0, np.int64), [])
         words = Words(texts)
         found = B.unpack(replies)
-        asked, placed = asked_windows(words, found)
+        asked, distinct, placed = asked_windows(words, found)
         at = np.flatnonzero(asked)
-        at = at[B.bits_of(len(at), placed, found)]
+        at = at[distinct.spread(B.bits_of(len(distinct.keys), placed, found))]
         change = np.zeros(len(words.names) + width + 1, np.int64)
         change[at] += 1
         change[at + width] -= 1

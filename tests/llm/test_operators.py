@@ -97,6 +97,29 @@ def test_suffix_dedup(spark, sf_dir, documents, odd, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("operator", [recompression, suffixes])
+def test_a_block_sends_a_key_once(spark, monkeypatch, operator):
+    """Copies and near copies of one text: a hot key does not grow with their number."""
+    rows = [(i, NEAR[:300] + (f" end{i}" if i % 2 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, most = operator.B.answer, []
+
+    def answer(payloads, judge, name):
+        for r in payloads.collect():
+            keys = operator.B.np.frombuffer(r.payload, np.uint64)
+            if operator is suffixes:
+                keys = suffixes._receive([bytes(r.payload)])[0]
+            most.append(np.unique(keys, return_counts=True)[1].max())
+        return plain(payloads, judge, name)
+
+    monkeypatch.setattr(operator.B, "answer", answer)
+    if operator is suffixes:
+        same(suffixes.remove_repeats(docs), SUFFIX, brute.suffix_dedup(rows))
+    else:
+        same(recompression.remove_repeats(docs), SUBSTRING, brute.substring_dedup(rows))
+    assert most and max(most) <= (2 if operator is suffixes else 1)
+
+
 def test_suffix_array_order():
     raw = np.frombuffer(b"banana" * 20 + b"band" + b"banana" * 9, np.uint8)
     order = suffixes.suffix_array(raw, 64)
