@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import (
     codes,
     decontamination,
+    infilling,
     jaccard,
     packing,
     quality,
@@ -113,6 +114,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.report(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
@@ -124,4 +129,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_codes": op9_token_codes,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op13_infilling": op13_infilling,
 }

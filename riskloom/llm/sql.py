@@ -104,4 +104,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLES = {"op1_decontamination": OP1, "op2_url_filters": OP2, "op4_quality_rules": OP4}
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents
+), x AS (
+  SELECT doc_id, text, u, len(u) AS n,
+    ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS p,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS q,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), parts AS (
+  SELECT doc_id, text, n, form,
+    array_to_string(u[1:least(p, q)], '') AS prefix,
+    array_to_string(u[least(p, q) + 1:greatest(p, q)], '') AS middle,
+    array_to_string(u[greatest(p, q) + 1:], '') AS suffix
+  FROM x
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op2_url_filters": OP2, "op4_quality_rules": OP4, "op13_infilling": OP13}
