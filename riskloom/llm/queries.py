@@ -11,6 +11,7 @@ from riskloom.llm import (
     decontamination,
     infilling,
     jaccard,
+    merkle,
     packing,
     quality,
     recompression,
@@ -114,6 +115,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.report(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
 
@@ -129,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_codes": op9_token_codes,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_infilling": op13_infilling,
 }

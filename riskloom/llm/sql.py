@@ -104,6 +104,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+
+#: CRC-32 of a string of ASCII letters: one byte after the other, eight shifts a byte.
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''),"
+    " lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b),"
+    " [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))))"
+)
+
+OP12 = rf"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, lang, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+    {_LEAF.format(_FIELD.format(_LOWER.format("text")))} AS lowered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER () AS k, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaf
+), nodes AS (
+  SELECT lang, 0 AS l, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, l + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY lang, l, pos // 8, n
+), subs AS (
+  SELECT lang, h, count(*) OVER () AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos
+  FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS l, pos, n, h FROM subs
+  UNION ALL
+  SELECT l + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tops WHERE n > 1 GROUP BY l, pos // 8, n
+), siblings AS (
+  SELECT k, l, s.pos, s.h FROM placed p JOIN nodes s ON s.n > 1
+    AND s.lang IS NOT DISTINCT FROM p.lang AND s.pos // 8 = p.pos // (8 ** (s.l + 1))::BIGINT
+    AND s.pos <> p.pos // (8 ** s.l)::BIGINT
+  UNION ALL
+  SELECT k, 100 + l, s.pos, s.h FROM placed p JOIN subs b ON b.lang IS NOT DISTINCT FROM p.lang
+    JOIN tops s ON s.n > 1 AND s.pos // 8 = b.pos // (8 ** (s.l + 1))::BIGINT
+    AND s.pos <> b.pos // (8 ** s.l)::BIGINT
+), proofs AS (
+  SELECT k, sha256(string_agg(h, '' ORDER BY l, pos)) AS proof FROM siblings GROUP BY k
+), folded AS (
+  SELECT k, lang, 0 AS l, pos, n,
+    CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN lowered ELSE leaf END AS cur FROM placed
+  UNION ALL
+  SELECT f.k, f.lang, f.l + 1, f.pos // 8, (f.n + 7) // 8,
+    sha256(string_agg(CASE WHEN s.pos = f.pos THEN cur ELSE h END, '' ORDER BY s.pos))
+  FROM folded f JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.l = f.l AND s.pos // 8 = f.pos // 8
+  WHERE f.n > 1 GROUP BY f.k, f.lang, f.l, f.pos, f.n
+), folded_top AS (
+  SELECT k, 0 AS l, b.pos, b.n, cur FROM folded f JOIN subs b ON b.lang IS NOT DISTINCT FROM f.lang
+  WHERE f.n = 1
+  UNION ALL
+  SELECT f.k, f.l + 1, f.pos // 8, (f.n + 7) // 8,
+    sha256(string_agg(CASE WHEN s.pos = f.pos THEN cur ELSE h END, '' ORDER BY s.pos))
+  FROM folded_top f JOIN tops s ON s.l = f.l AND s.pos // 8 = f.pos // 8
+  WHERE f.n > 1 GROUP BY f.k, f.l, f.pos, f.n
+)
+SELECT doc_id, leaf, subs.h AS subroot, tops.h AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  cur AS folded_root, cur = tops.h AS verified
+FROM placed JOIN subs ON subs.lang IS NOT DISTINCT FROM placed.lang
+JOIN tops ON tops.n = 1 JOIN folded_top t ON t.k = placed.k AND t.n = 1
+LEFT JOIN proofs ON proofs.k = placed.k
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -134,4 +200,4 @@ SELECT doc_id, n::BIGINT AS n, form,
 FROM parts
 """
 
-ORACLES = {"op1_decontamination": OP1, "op2_url_filters": OP2, "op4_quality_rules": OP4, "op13_infilling": OP13}
+ORACLES = {"op1_decontamination": OP1, "op2_url_filters": OP2, "op4_quality_rules": OP4, "op12_merkle_manifest": OP12, "op13_infilling": OP13}
