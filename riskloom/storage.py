@@ -3,7 +3,8 @@
 Results that must not change between two reads (row positions, neighbour lists) are written as
 parquet to the folder the cluster names in ``spark.checkpoint.dir``. A written table survives the
 loss of executors and, unlike a checkpointed RDD, keeps column pruning for the reads that follow.
-Tables go when the ``scratch`` block that made them ends, or else when the driver's process ends.
+Tables go when the ``scratch`` block that made them ends, or else when the driver's process ends. Bucketed
+ones are external tables in the same folder, so nothing stays in the warehouse or its catalog.
 """
 
 import atexit
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_made: list[str] = []
+#: (name, path, catalog table or None) of what was made and not dropped yet.
+_made: list[tuple[str, str, str | None]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,15 +40,26 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def _drop(spark: SparkSession, entries: list[tuple[str, str, str | None]]) -> None:
+    for _, _, table in entries:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_paths(spark, [path for _, path, _ in entries])
+
+
 @contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """Drop every intermediate table made inside the block when it ends. For work that ends in files."""
+def scratch(spark: SparkSession, keep: tuple[str, ...] = ()):
+    """Drop every intermediate table made inside the block when it ends, but for the names to keep.
+
+    For work that ends in files: frames that leave the block may only read the kept tables.
+    """
     start = len(_made)
     try:
         yield
     finally:
-        drop_paths(spark, _made[start:])
-        del _made[start:]
+        inside = _made[start:]
+        _made[start:] = [entry for entry in inside if entry[0] in keep]
+        _drop(spark, [entry for entry in inside if entry[0] not in keep])
 
 
 @atexit.register
@@ -54,7 +67,7 @@ def _drop_at_end() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and _made:
         with contextlib.suppress(Exception):  # the session may have gone with its cluster
-            drop_paths(spark, _made)
+            _drop(spark, _made)
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
@@ -74,7 +87,7 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
     path = f"{shared_root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.append((name, path, None))
     return path
 
 
@@ -83,3 +96,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int, sort: bool = False) -> DataFrame:
+    """``df`` written bucketed by ``key``: joins and groups on it leave the rows where they are."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_root(df.sparkSession)}/riskloom/{table}"
+    _made.append((name, path, table))
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+    writer = writer.sortBy(key) if sort else writer
+    writer.option("compression", "zstd").option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
