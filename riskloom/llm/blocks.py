@@ -9,7 +9,6 @@ copies fills one; a part holds the keys of a range of key hashes.
 """
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.storage import materialise
+from riskloom.llm.names import mixed
+from riskloom.storage import materialise, materialise_bucketed
 
 BLOCK_BYTES = 2 << 20
 #: Bytes of text per part of a key exchange.
@@ -29,16 +29,6 @@ NO_ID = 2**63 - 1
 PAYLOAD = "block long, part int, payload binary"
 REPLY = "block long, part int, reply binary"
 
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished rounds now, not at some later GC."""
     gc.collect()
@@ -82,25 +72,15 @@ def bucketed(docs: DataFrame, copies_together: bool = False) -> tuple[DataFrame,
     )
     rows = _salted(rows) if copies_together else rows.withColumn("mark", F.xxhash64("id", "text"))
     rows = rows.select(F.pmod("mark", F.lit(n_blocks)).alias("block"), "id", "text")
-    name = f"blocks_{uuid.uuid4().hex}"
-    (
-        rows.repartition(n_buckets, "block")
-        .write.bucketBy(n_buckets, "block")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
+    table = materialise_bucketed(rows, "blocks", "block", n_buckets)
     del rows
     release(spark)
-    return spark.table(name), max(1, -(-size // PART_BYTES))
+    return table, max(1, -(-size // PART_BYTES))
 
 
 def by_key(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """``rows`` written as a table bucketed by ``key``: joins on it leave them where they are."""
-    parts = min(max(parts, 12), 20_000)
-    name = f"keyed_{uuid.uuid4().hex}"
-    dealt = rows.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
-    dealt.option("compression", "zstd").saveAsTable(name)
-    return rows.sparkSession.table(name)
+    return materialise_bucketed(rows, "keyed", key, min(max(parts, 12), 20_000), sort=True)
 
 
 def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:

@@ -25,105 +25,36 @@ id. Extra columns are not read.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import blocks as B
 from riskloom.llm.graph import components
-from riskloom.llm.recompression import _R1, _R2, _R3, Words, rolling
-from riskloom.storage import materialise
+from riskloom.llm.names import R2, R3, mixed
+from riskloom.llm.sets import PARITIES, PARITY, Similarity, marked, near, parities, pieces, shingle_sets, verify
+from riskloom.llm.sets import rows as rows_of
+from riskloom.storage import materialise, scratch
 
 COUNTERS = 1 << 20
 CHUNK = 1 << 12
 #: Largest boundary that is considered; subsets of larger sets are never fewer than their postings.
 MAX_LIGHT = 24
-PARITIES = 8
 #: What a list entry costs beside a subset key: it meets hubs, and pairs of other sets.
 POSTING_COST = 4
 POSTING_ROWS = 1 << 19
 #: Further rounds of hubs, drawn anew, before all pairs that are still apart are compared.
 HUB_ROUNDS = 2
-#: Most bits of the bitmap that keeps the texts of lone sets out of a shuffle (8 MB).
-MARKS = 1 << 26
-STEP_BYTES = 1 << 20
-
-
-@dataclass(frozen=True)
-class Similarity:
-    """Word shingles of ``k`` words; a link needs a Jaccard similarity of ``num / den``."""
-
-    k: int = 5
-    num: int = 80
-    den: int = 100
-
-    def need(self, a, b):
-        """Smallest overlap of linked sets of these sizes."""
-        return -(-self.num * (a + b) // (self.num + self.den))
-
-    def fits(self, a, b):
-        """Whether sets of sizes a <= b can link."""
-        return self.den * a >= self.num * b
-
-    def prefix(self, n: int) -> int:
-        """So many shingles of a set, first in any order, hit every set that it links with."""
-        return n - -(-self.num * n // self.den) + 1
-
-    def smallest_partner(self, n: int) -> int:
-        return -(-self.num * n // self.den)
-
-
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, with A-Z in lower case."""
-    words = Words([t.lower() for t in texts])
-    grams = rolling(words.names, k, _R1)
-    out = []
-    for a, b in zip(words.docs[:-1].tolist(), words.docs[1:].tolist()):
-        if b - a >= k:
-            out.append(np.unique(grams[a : b - k + 1]))
-        elif b > a:
-            out.append(rolling(words.names[a:b], b - a, _R2)[:1] + np.uint64(b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
 
 
 def signature(shingles: np.ndarray) -> int:
     """A hash of a set; its size is kept beside it."""
     with np.errstate(over="ignore"):
-        return int(B.mixed(B.mixed(shingles ^ _R3).sum(dtype=np.uint64).reshape(1)).astype(np.int64)[0])
-
-
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """PARITIES longs of 64 bits; each shingle flips one bit."""
-    flips = np.bincount(
-        ((shingles >> np.uint64(20)) & np.uint64(64 * PARITIES - 1)).astype(np.int64),
-        minlength=64 * PARITIES,
-    )
-    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about STEP_BYTES of text."""
-    total = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-    step = max(1, batch.num_rows * STEP_BYTES // max(total, 1))
-    for a in range(0, batch.num_rows, step):
-        yield batch.slice(a, step)
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(B.NO_ID)).alias("id"),
-        F.xxhash64(text).alias("tag"),
-        text.cast("binary").alias("text"),
-    )
+        return int(mixed(mixed(shingles ^ R3).sum(dtype=np.uint64).reshape(1)).astype(np.int64)[0])
 
 
 def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +63,7 @@ def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in _pieces(batch):
+            for part in pieces(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 if sets:
                     low = np.concatenate(sets) & np.uint64(COUNTERS - 1)
@@ -213,7 +144,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
         counts = shared.value
         seen: set[int] = set()
         for batch in batches:
-            for part in _pieces(batch):
+            for part in pieces(batch):
                 keys, fps, sizes, places = [], [], [], []
 
                 def post(values: np.ndarray, fp: int, n: int, place: np.ndarray) -> None:
@@ -238,7 +169,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
                             subsets = np.array(list(combinations(shingles.tolist(), sim.need(a, b))), np.uint64)
                             key = np.full(len(subsets), 64 * a + b, np.uint64)
                             for column in subsets.T:
-                                key = B.mixed(key * _R2 + column)
+                                key = mixed(key * R2 + column)
                             post(key, fp, n, np.full(len(key), -1, np.int32))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
@@ -297,31 +228,6 @@ def _lists(postings: DataFrame, sim: Similarity, parts: int) -> DataFrame:
     return materialise(dealt.mapInArrow(run, schema), "lists")
 
 
-def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ``rows`` whose (id, tag) is ``wanted``, and a few others, so that most texts stay in place.
-
-    A bitmap of hashes, of a bounded size: the fuller it is, the more other rows pass, and the join
-    that follows drops them.
-    """
-    bits = min(MARKS, 1 << max(15, (16 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64("id", "tag"), F.lit(bits))
-    bucket = F.bitmap_bucket_number(place + 1).alias("bucket")
-    marks = F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("marks")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for number, part in wanted.groupBy(bucket).agg(marks).collect():
-        bitmap[(number - 1) * len(part) : number * len(part)] = np.frombuffer(part, np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for batch in batches:
-            at = batch.column("place").to_numpy()
-            keep = (held[at >> 3] >> (at & 7) & 1).astype(bool)
-            yield batch.select(["id", "tag", "text"]).filter(pa.array(keep))
-
-    return rows.withColumn("place", place).mapInArrow(run, "id long, tag long, text binary")
-
-
 def _possible(a_n: str, a_place: str, b_n: str, b_place: str, sim: Similarity) -> str:
     """SQL: sizes fit (a <= b), and from these places on there is room for the overlap.
 
@@ -332,42 +238,6 @@ def _possible(a_n: str, a_place: str, b_n: str, b_place: str, sim: Similarity) -
     return f"{sim.den} * {a_n} >= {sim.num} * {b_n} AND {room}"
 
 
-_PARITY = [f"p{i}" for i in range(PARITIES)]
-
-
-def _near(a: str, b: str, sim: Similarity) -> str:
-    """SQL: no more parities differ than shingles of a linked pair can."""
-    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _PARITY)
-    both = f"({a}.n + {b}.n)"
-    return f"{differ} <= {both} - 2 * ceil({sim.num} * {both} / {sim.num + sim.den})"
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets, built from the texts (fp, text), are similar enough.
-
-    ``texts`` is bucketed by fp: only the pairs, and the text of one side, are shuffled.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _pieces(batch):
-                left = shingle_sets(part.column("text").to_pylist(), sim.k)
-                right = shingle_sets(part.column("other").to_pylist(), sim.k)
-                ok = []
-                for x, y in zip(left, right):
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    ok.append(sim.den * both >= sim.num * (len(x) + len(y) - both))
-                keep = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"]
-                )
-
-    one = texts.select(F.col("fp").alias("a"), "text")
-    other = texts.select(F.col("fp").alias("b"), F.col("text").alias("other"))
-    both = pairs.join(one, "a").join(other, "b")
-    return materialise(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"), "links")
-
-
 def _hub_pairs(lists: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of a member and a hub that sizes and parities allow; written.
 
@@ -380,12 +250,12 @@ def _hub_pairs(lists: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame
     fits = f"{sim.den} * hub_n >= {sim.num} * n"
     places = _possible("hub_n", "hub_place", "n", "place", sim)
     met = lists.where(f"{fits} AND ({clear} OR {places})").select("hub", "fp").distinct()
-    x = nodes.select("fp", "n", *_PARITY)
+    x = nodes.select("fp", "n", *PARITY)
     near = (
         met.select(F.col("hub").alias("a"), F.col("fp").alias("b"))
         .join(x.withColumnRenamed("fp", "a").alias("s"), "a")
         .join(x.withColumnRenamed("fp", "b").alias("t"), "b")
-        .where(_near("s", "t", sim))
+        .where(near("s", "t", sim))
     )
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     return materialise(near.select(*order).distinct(), "pairs")
@@ -407,28 +277,40 @@ def _other_hubs(open_lists: DataFrame, turn: int, sim: Similarity) -> DataFrame:
     """
     band = F.floor(F.log("n") / F.log(F.lit(sim.den / sim.num)) + F.lit(turn / HUB_ROUNDS))
     rows = open_lists.withColumn("band", band)
-    hub = F.min(F.struct(F.xxhash64("fp", "key", F.lit(turn)).alias("draw"), "fp", "n", "label", *_PARITY))
+    hub = F.min(F.struct(F.xxhash64("fp", "key", F.lit(turn)).alias("draw"), "fp", "n", "label", *PARITY))
     hubs = rows.groupBy("key", "band").agg(hub.alias("hub")).select("key", "band", "hub.*")
     met = rows.alias("s").join(
         hubs.alias("t"),
         F.expr(
             "s.key = t.key AND s.band = t.band AND s.label <> t.label AND s.fp <> t.fp AND "
-            f"{sim.den} * least(s.n, t.n) >= {sim.num} * greatest(s.n, t.n) AND " + _near("s", "t", sim)
+            f"{sim.den} * least(s.n, t.n) >= {sim.num} * greatest(s.n, t.n) AND " + near("s", "t", sim)
         ),
     )
     return met.select(F.least("s.fp", "t.fp").alias("a"), F.greatest("s.fp", "t.fp").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Per row: id, tag, n and ``component``, the smallest id that links reach (NO_ID for null)."""
-    rows = _rows(docs)
+    """Per row: id, tag, n and ``least``, the smallest (id, tag) that links reach (NO_ID for null)."""
+    with scratch(docs.sparkSession, keep=("signatures", "least_rows")):
+        signed, of_node = _least_rows(rows_of(docs), sim)
+    return signed.join(of_node, "fp", "left").select(
+        "id",
+        "tag",
+        "n",
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.struct("id", "tag")).alias("least"),
+    )
+
+
+def _least_rows(rows: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (fp, least) of all sets."""
+    spark = rows.sparkSession
     signed, chunks = _signatures(rows, sim.k)
     total = signed.agg(F.sum("n")).first()[0] or 0
     counts = signed.where(F.col("n").between(1, 2 * MAX_LIGHT)).groupBy("n").count().collect()
     light = boundary({n: c for n, c in counts}, sim)
     parts = max(1, -(-total // (4 * POSTING_ROWS)))
     lists = _lists(_postings(rows, sim, light, _counters(chunks)), sim, parts)
-    B.release(docs.sparkSession)
+    B.release(spark)
 
     # The texts of all sets in lists, one for each set.
     nodes = materialise(
@@ -437,7 +319,7 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
         .agg(
             F.min(F.struct("id", "tag")).alias("first"),
             F.max("n").alias("n"),
-            *[F.max(c).alias(c) for c in _PARITY],
+            *[F.max(c).alias(c) for c in PARITY],
         ),
         "nodes",
     )
@@ -445,31 +327,31 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
     wanted = nodes.join(inside, "fp", "left_semi").select("fp", "first.id", "first.tag")
     wanted = materialise(wanted, "wanted")
     texts = B.by_key(
-        _marked(rows, wanted)
+        marked(rows, wanted)
         .join(wanted, ["id", "tag"])
         .dropDuplicates(["fp", "id", "tag"])
         .select("fp", "text"),
         "fp",
         parts,
     )
-    B.release(docs.sparkSession)
+    B.release(spark)
 
     tested = _hub_pairs(lists, nodes, sim)
-    links = _verify(tested, texts, sim)
+    links = verify(tested, texts, sim)
     labels = components(links)
 
     members = lists.select("key", "fp", "n", "place").union(
         lists.select("key", "hub", "hub_n", "hub_place")
     )
-    members = materialise(members.distinct().join(nodes.select("fp", *_PARITY), "fp"), "members")
+    members = materialise(members.distinct().join(nodes.select("fp", *PARITY), "fp"), "members")
     for turn in range(HUB_ROUNDS):
         met = _other_hubs(_open_lists(members, labels), turn, sim)
         met = materialise(met.join(tested, ["a", "b"], "left_anti"), "hub_pairs")
         if met.isEmpty():
             break
-        tested, links = tested.union(met), links.union(_verify(met, texts, sim))
+        tested, links = tested.union(met), links.union(verify(met, texts, sim))
         labels = components(links)
-        B.release(docs.sparkSession)
+        B.release(spark)
 
     # Every pair of a list that is still apart.
     open_lists = materialise(_open_lists(members, labels), "open_lists")
@@ -478,28 +360,22 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
         "s.key = t.key AND s.label <> t.label AND (s.n < t.n OR s.n = t.n AND s.fp < t.fp) AND "
         + _possible("s.n", "s.place", "t.n", "t.place", sim)
         + " AND "
-        + _near("s", "t", sim)
+        + near("s", "t", sim)
     )
     more = one.join(two, close).select(
         F.least("s.fp", "t.fp").alias("a"), F.greatest("s.fp", "t.fp").alias("b")
     )
     more = materialise(more.distinct().join(tested, ["a", "b"], "left_anti"), "more_pairs")
-    found = _verify(more, texts, sim)
+    found = verify(more, texts, sim)
     if not found.isEmpty():
         labels = components(links.union(found))
-    B.release(docs.sparkSession)
+    B.release(spark)
 
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")
     )
     smallest = grouped.groupBy("label").agg(F.min("first").alias("least"))
-    of_node = materialise(grouped.join(smallest, "label").select("fp", "least"), "components")
-    return signed.join(of_node, "fp", "left").select(
-        "id",
-        "tag",
-        "n",
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.struct("id", "tag")).alias("least"),
-    )
+    return signed, materialise(grouped.join(smallest, "label").select("fp", "least"), "least_rows")
 
 
 def report(docs: DataFrame, sim: Similarity) -> DataFrame:

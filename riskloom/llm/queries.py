@@ -12,10 +12,12 @@ from riskloom.llm import (
     infilling,
     jaccard,
     merkle,
+    minhash,
     packing,
     quality,
     recompression,
     secret_scan,
+    sets,
     sharding,
     suffixes,
     url_filters,
@@ -99,7 +101,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.report(_table(spark, sf_dir, "documents"), jaccard.Similarity(k=4, num=85))
+    return jaccard.report(_table(spark, sf_dir, "documents"), sets.Similarity(k=4, num=85))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +117,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(_table(spark, sf_dir, "documents"), sets.Similarity(k=5, num=85))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(_table(spark, sf_dir, "documents"))
 
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_codes": op9_token_codes,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op11_minhash": op11_minhash,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_infilling": op13_infilling,
 }

@@ -28,19 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from riskloom.llm import blocks as B
+from riskloom.llm.names import R1, R2, mixed, names_of
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Odd multipliers for polynomial hashes.
-_R1, _R2, _R3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_BYTE = B.mixed(np.arange(1, 257, dtype=np.uint64) * _R3)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
 
 class Words:
     """The words of several texts, one after the other."""
@@ -58,19 +49,7 @@ class Words:
         edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
         #: Word range of each text.
         self.docs = np.searchsorted(self.starts, edges)
-        self.names = self._names(raw)
-
-    def _names(self, raw: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        sizes = self.ends - self.starts
-        inside = np.repeat(self.starts - np.cumsum(sizes) + sizes, sizes)
-        place = np.arange(len(inside)) + inside  # bytes of words only
-        step = place - np.repeat(self.starts, sizes)
-        powers = _powers(_R1, int(sizes.max()))
-        value = _BYTE[raw[place]] * powers[step]
-        heads = np.cumsum(sizes) - sizes
-        return B.mixed(np.add.reduceat(value, heads) + sizes.astype(np.uint64) * _R2)
+        self.names = names_of(self.data, self.starts, self.ends - self.starts)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.docs) - 1), np.diff(self.docs))
@@ -83,15 +62,29 @@ class Words:
         return ok
 
 
+def _joined(a: np.ndarray, b: np.ndarray, base: np.uint64) -> np.ndarray:
+    return mixed(a * base + mixed(b ^ base))
+
+
 def rolling(names: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """A hash of each run of ``width`` names; the last places have none and get 0."""
+    """A hash of each run of ``width`` names; the last places have none and get 0.
+
+    Runs of 1, 2, 4 ... names are joined; those that add up to the width give the hash.
+    """
     n = len(names) - width + 1
     out = np.zeros(len(names), np.uint64)
     if n > 0:
-        acc = np.zeros(n, np.uint64)
-        for j in range(width):
-            acc = acc * base + names[j : j + n]
-        out[:n] = B.mixed(acc)
+        run, size, done, acc = names, 1, 0, None
+        while True:
+            if width & size:
+                part = run[done : done + n]
+                acc = mixed(part + base) if acc is None else _joined(acc, part, base)
+                done += size
+            if 2 * size > width:
+                break
+            run = _joined(run[:-size], run[size:], base)
+            size *= 2
+        out[:n] = acc
     return out
 
 
@@ -126,10 +119,10 @@ def recompress(words: Words, levels: int) -> tuple[np.ndarray, np.ndarray, np.nd
         run = (tails - heads + 1).astype(np.uint64)
         low, high = np.minimum(low[heads], left[heads]), np.maximum(high[tails], right[tails])
         name, first = name[heads], first[heads]
-        name = np.where(run > 1, B.mixed(name * _R2 + run), name)
+        name = np.where(run > 1, mixed(name * R2 + run), name)
         # Pairs.
         left, right = neighbours()
-        side = (B.mixed(name + np.uint64(level + 1)) >> np.uint64(63)).astype(bool)
+        side = (mixed(name + np.uint64(level + 1)) >> np.uint64(63)).astype(bool)
         opens = np.zeros(len(name), bool)
         opens[:-1] = ~side[:-1] & side[1:] & ~first[1:]
         closes = np.concatenate([[False], opens[:-1]])
@@ -137,7 +130,7 @@ def recompress(words: Words, levels: int) -> tuple[np.ndarray, np.ndarray, np.nd
         ends = np.concatenate([high[1:], high[:1]])
         new_low = np.where(side & ~closes, np.minimum(low, left), low)
         new_high = np.where(opens, ends, np.where(~side, np.maximum(high, right), high))
-        new_name = np.where(opens, B.mixed(name * _R1 + B.mixed(paired * _R2)), name)
+        new_name = np.where(opens, mixed(name * R1 + mixed(paired * R2)), name)
         keep = ~closes
         name, low, high, first = new_name[keep], new_low[keep], new_high[keep], first[keep]
     return name, low, high
@@ -180,8 +173,8 @@ def remove_repeats(
         low, high, distinct, placed = symbols(words)
         shared = distinct.spread(B.bits_of(len(distinct.keys), placed, found))
         asked = _candidates(words, low, high, shared, width)
-        distinct = B.Distinct(rolling(words.names, width, _R1)[asked])
-        other = rolling(words.names, width, _R2)[asked][distinct.first]
+        distinct = B.Distinct(rolling(words.names, width, R1)[asked])
+        other = rolling(words.names, width, R2)[asked][distinct.first]
         return asked, distinct, list(B.split_keys(other, parts, turn=1))
 
     def send_symbols(block: pa.Table) -> pa.Table:

@@ -12,8 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from riskloom.llm import blocks as B
-from riskloom.llm.recompression import _BYTE, _R1, _R2, _SPACE, _powers
+from riskloom.llm.names import names_of
+from riskloom.llm.recompression import _SPACE
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -43,14 +43,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, self.kind)
         self.used = 0
         self.heads = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
 
-    def _learn(self, names: list[int], pieces: list[str]) -> None:
+    def _learn(self, names: list[bytes]) -> None:
         """Remember the ids of new pieces; many are encoded in one call, a separator between."""
+        pieces = [name.decode() for name in names]
         plain = [i for i, p in enumerate(pieces) if "<|" not in p and len(p) < 200]
         found: list = [None] * len(pieces)
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
@@ -91,17 +92,14 @@ class Encoder:
         cut[edges[:-1][np.diff(edges) > 0]] = True
         starts = np.flatnonzero(cut)
         sizes = np.diff(np.concatenate([starts, [len(raw)]]))
-        step = np.arange(len(raw)) - np.repeat(starts, sizes)
-        value = _BYTE[raw] * _powers(_R1, int(sizes.max()))[step]
-        names = B.mixed(np.add.reduceat(value, starts) + sizes.astype(np.uint64) * _R2)
-        distinct, first, back = np.unique(names, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        _, first, back = np.unique(names_of(data, starts, sizes), return_index=True, return_inverse=True)
+        heads = starts[first].tolist()
+        keys = [data[a : a + n] for a, n in zip(heads, sizes[first].tolist())]
         if len(self.place) + len(keys) > REMEMBERED:
             self._forget()
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
-            spans = [(int(starts[first[i]]), int(sizes[first[i]])) for i in new]
-            self._learn([keys[i] for i in new], [data[a : a + n].decode() for a, n in spans])
+            self._learn([keys[i] for i in new])
         code = np.array([self.place[k] for k in keys], np.int64)[back]
         counts = self.sizes[code]
         ends = np.cumsum(counts)
