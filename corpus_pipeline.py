@@ -7,7 +7,7 @@ of the packed sequences. Stages are written as Parquet, so a lost executor costs
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontamination, jaccard, packing, quality, secret_scan
+from riskloom.llm import decontamination, jaccard, packing, quality, secret_scan, sets
 from riskloom.storage import materialise
 
 
@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
-    return jaccard.keep_one(docs, jaccard.Similarity(k=5, num=80, den=100))
+    return jaccard.keep_one(docs, sets.Similarity(k=5, num=80, den=100))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
