@@ -11,7 +11,8 @@ from riskloom.operators.models import scorer_for
 from riskloom.operators.ordering import thin
 from riskloom.plans import training
 from riskloom.plans.recipes import PLAIN_RECIPES, RECIPES, scenario
-from riskloom.plans.scoring import score_batch, score_single
+from riskloom.plans.scoring import score_batch
+from riskloom.plans.serving import load_local
 from riskloom.schema import FEATURES
 from riskloom.sources import files
 from riskloom.sources.artifacts import load_artifacts, read_report, status
@@ -43,9 +44,7 @@ def _score(spark: SparkSession, args) -> None:
 
 
 def _one(spark: SparkSession, args) -> None:
-    artifacts = load_artifacts(spark, args.artifacts)
-    scorer = scorer_for(artifacts.model)
-    print(json.dumps(score_single(spark, json.loads(args.transaction), scorer, artifacts.scaler)))
+    print(json.dumps(load_local(spark, args.artifacts)(json.loads(args.transaction))))
 
 
 def _report(spark: SparkSession, args) -> None:

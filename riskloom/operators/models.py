@@ -5,7 +5,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassifier,
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.risk import hard_class, logistic
+from riskloom.operators.boosting import BoostedTrees, Boosting, fit_trees
 from riskloom.operators.weights import with_balanced_weight, with_positive_weight
 from riskloom.schema import FEATURES, KEY, LABEL
 from riskloom.storage import small_frame
@@ -28,7 +28,7 @@ MODEL_NAMES = [LOGISTIC, FOREST, BOOSTED]
 # Training settings.
 MAX_ITER = 1000
 TREES, FOREST_DEPTH = 200, 12
-ROUNDS, BOOST_DEPTH, LEARNING_RATE, ROW_SHARE, COLUMN_SHARE = 300, 6, 0.05, 0.8, "0.8"
+ROUNDS, BOOST_DEPTH, LEARNING_RATE, ROW_SHARE, COLUMN_SHARE = 300, 6, 0.05, 0.8, 0.8
 POSITIVE_WEIGHT = 100.0
 SEED = 42
 
@@ -54,18 +54,10 @@ def fit_forest(train: DataFrame, trees: int = TREES):
     ).fit(with_balanced_weight(train))
 
 
-def fit_boosted(train: DataFrame, rounds: int = ROUNDS):
-    return GBTClassifier(
-        maxIter=rounds,
-        maxDepth=BOOST_DEPTH,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=COLUMN_SHARE,
-        seed=SEED,
-        cacheNodeIds=True,
-        checkpointInterval=10,
-        **_COMMON,
-    ).fit(with_positive_weight(train, POSITIVE_WEIGHT))
+def fit_boosted(train: DataFrame, rounds: int = ROUNDS) -> BoostedTrees:
+    """Second-order boosting, columns drawn per tree, positives weighted."""
+    settings = Boosting(rounds, BOOST_DEPTH, LEARNING_RATE, ROW_SHARE, COLUMN_SHARE, seed=SEED)
+    return fit_trees(with_positive_weight(train, POSITIVE_WEIGHT), settings)
 
 
 def candidates(trees: int = TREES, rounds: int = ROUNDS) -> dict:
@@ -112,8 +104,10 @@ class FixedLogit:
         return scaled.withColumn("p", logistic(z)).withColumn("prediction", hard_class(F.col("p")))
 
 
-def scorer_for(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+def scorer_for(model: PipelineModel | BoostedTrees) -> Callable[[DataFrame], DataFrame]:
     """The cheapest scorer with the model's probabilities: a logistic model needs no vectors."""
+    if isinstance(model, BoostedTrees):
+        return model
     last = model.stages[-1]
     if isinstance(last, LogisticRegressionModel):
         return FixedLogit(last.intercept, dict(zip(FEATURES, map(float, last.coefficients))))
@@ -136,5 +130,6 @@ def compare(scaled: DataFrame, scorers: dict[str, Callable]) -> DataFrame:
     return wide.select(*kept, F.inline(F.array(*results))).select("model", *kept, "p", "prediction")
 
 
-def as_pipeline(model) -> PipelineModel:
-    return PipelineModel([assembler(), model])
+def as_pipeline(model) -> PipelineModel | BoostedTrees:
+    """What is saved and scored with: boosted trees take the features as they are."""
+    return model if isinstance(model, BoostedTrees) else PipelineModel([assembler(), model])

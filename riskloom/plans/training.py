@@ -87,6 +87,7 @@ def fit_all(prepared: Prepared, fits: dict | None = None) -> Trained:
 def train(raw: DataFrame, out: str, fits: dict | None = None, **options) -> Trained:
     """The whole of it: prepare, fit, save champion, scaler, medians and report under ``out``."""
     trained = fit_all(prepare(raw, **options), fits)
-    save_artifacts(raw.sparkSession, out, trained.artifacts)
-    write_report(trained.report, out)
+    found = materialise(trained.report, "report")
+    save_artifacts(raw.sparkSession, out, trained.artifacts, found)
+    write_report(found, out)
     return trained
