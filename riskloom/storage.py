@@ -62,6 +62,19 @@ def scratch(spark: SparkSession, keep: tuple[str, ...] = ()):
         _drop(spark, [entry for entry in inside if entry[0] not in keep])
 
 
+def drop_made(spark: SparkSession, entries: list[tuple[str, str, str | None]]) -> None:
+    """Drop some of what ``made_since`` lists."""
+    left = [entry for entry in entries if entry in _made]
+    for entry in left:
+        _made.remove(entry)
+    _drop(spark, left)
+
+
+def made_since(mark: int = 0) -> list[tuple[str, str, str | None]]:
+    """What was made after the first ``mark`` tables and not dropped yet."""
+    return _made[mark:]
+
+
 @atexit.register
 def _drop_at_end() -> None:
     spark = SparkSession.getActiveSession()

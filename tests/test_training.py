@@ -141,10 +141,10 @@ def test_registered_boosting_runs_all_rounds(spark, sf_dir, monkeypatch):
     class Seen(Exception):
         pass
 
-    def fit(self, frame):
-        raise Seen(self.getMaxIter())
+    def fit(frame, settings):
+        raise Seen(settings.rounds)
 
-    monkeypatch.setattr(models.GBTClassifier, "fit", fit)
+    monkeypatch.setattr(models, "fit_trees", fit)
     for name in ("train_gbt", "train_and_save"):
         with pytest.raises(Seen, match="^300$"):
             QUERIES[name](spark, sf_dir)
