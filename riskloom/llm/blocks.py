@@ -4,8 +4,8 @@ Documents are written once, bucketed by a block number, so that later rounds rea
 shuffle. A round sends, for each (block, part), one row with an array of 64-bit keys; the task of a
 part sees all its keys together and answers each row with one bit per key. Only keys and bits move.
 A block sends a key once, however often it holds it, so a part gets a hot key once per block.
-Blocks hold a few megabytes of text by hashing id and text, so neither a hot source nor a group of
-copies fills one; a part holds the keys of a range of key hashes.
+Blocks hold a few megabytes of text by hashing a row number, so neither a hot source nor a group of
+copies nor equal rows fill one; a part holds the keys of a range of key hashes.
 """
 
 import gc
@@ -20,6 +20,8 @@ from riskloom.llm.names import mixed
 from riskloom.storage import materialise, materialise_bucketed
 
 BLOCK_BYTES = 2 << 20
+#: What a row counts beside its text, so that many empty texts are many blocks.
+ROW_BYTES = 64
 #: Bytes of text per part of a key exchange.
 PART_BYTES = 24 << 20
 #: Exact and near copies mostly agree in this many first bytes.
@@ -51,7 +53,7 @@ def _salted(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("name", name)
         .join(large, "name", "left")
-        .withColumn("mark", F.xxhash64("name", F.pmod(F.xxhash64("id"), pieces)))
+        .withColumn("mark", F.xxhash64("name", F.pmod(F.xxhash64("row"), pieces)))
         .drop("name", "pieces")
     )
 
@@ -63,14 +65,16 @@ def bucketed(docs: DataFrame, copies_together: bool = False) -> tuple[DataFrame,
     ``copies_together``, texts with the same first bytes share a block as far as they fit.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    size = (size or 0) + ROW_BYTES * n
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     n_buckets = min(n_blocks, 20_000)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = _salted(rows) if copies_together else rows.withColumn("mark", F.xxhash64("id", "text"))
+    rows = _salted(rows) if copies_together else rows.withColumn("mark", F.xxhash64("row"))
     rows = rows.select(F.pmod("mark", F.lit(n_blocks)).alias("block"), "id", "text")
     table = materialise_bucketed(rows, "blocks", "block", n_buckets)
     del rows

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import blocks as B
 from riskloom.llm.encoded import encode, id_width, parts_of
-from riskloom.storage import new_path
+from riskloom.llm.tokens import forget
+from riskloom.storage import new_path, small_frame
 
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 18
@@ -87,6 +88,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     parts = parts_of(tokens, PART_TOKENS)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part, first = TaskContext.get().partitionId(), 0
         group: list[bytes] = []
         names: list[int] = []
@@ -134,13 +136,10 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     The tokens before each part are summed on the driver: one number per written part.
     """
     table = spark.read.schema(SEGMENTS).parquet(path)
-    sizes = sorted(table.groupBy("part").agg(F.sum("n")).collect())
-    base, offsets = 0, {}
-    for part, n in sizes:
-        offsets[part] = base
-        base += n
+    offsets = _starts(table)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -165,6 +164,48 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     return table.select(*needed).mapInArrow(rows, schema + (", ids array<int>" if with_ids else ""))
 
 
+def _starts(table: DataFrame) -> dict[int, int]:
+    """Tokens before each part: one number per written part."""
+    sizes = sorted(table.groupBy("part").agg(F.sum("n")).collect())
+    out, base = {}, 0
+    for part, n in sizes:
+        out[part], base = base, base + n
+    return out
+
+
+def lookup(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """(place, token) for any places (column ``place``) among all tokens of the files, from 0.
+
+    A place is matched with its segment by ranges of SEGMENT_TOKENS places, and read there through the
+    rank directories; no segment is decoded. Places outside the files have no row.
+    """
+    table = spark.read.schema(SEGMENTS).parquet(path)
+    offsets = small_frame(spark, list(_starts(table).items()), "part int, base long")
+    segments = table.select("part", "first", "n").join(F.broadcast(offsets), "part")
+    start = F.col("base") + F.col("first")
+    span = F.sequence(F.floor(start / SEGMENT_TOKENS), F.floor((start + F.col("n") - 1) / SEGMENT_TOKENS))
+    ranges = segments.select("part", "first", start.alias("start"), "n", F.explode(span).alias("cell"))
+    wanted = places.select(F.col("place").cast("long").alias("place")).where("place IS NOT NULL").distinct()
+    wanted = wanted.withColumn("cell", F.floor(F.col("place") / SEGMENT_TOKENS))
+    inside = (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n"))
+    asked = wanted.join(ranges, "cell").where(inside)
+    asked = asked.groupBy("part", "first", "start").agg(F.collect_list("place").alias("places"))  # <= n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                codes = row["levels"], row["bitmaps"], row["ranks"]
+                found = [token_at(*codes, p - row["start"]) for p in row["places"]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["places"], pa.int64()), pa.array(found, pa.int64())], ["place", "token"]
+                )
+
+    both = asked.join(table.select("part", "first", "levels", "bitmaps", "ranks"), ["part", "first"])
+    needed = both.select("start", "places", "levels", "bitmaps", "ranks")
+    return needed.mapInArrow(run, "place long, token long")
+
+
 def report(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the files to the shared folder and read them back."""
     path = new_path(docs.sparkSession, "codes")

@@ -8,8 +8,8 @@ For sizes a and b that needs an overlap of at least ``need(a, b) = ceil(num (a +
   partner size b; two light sets link if and only if they share one.
 - *Heavy* sets post their shingles to inverted lists, rarest first and only as many as any partner
   must hit; a light set joins the lists if its size can match a heavy one. Rarity is a count over
-  all documents, kept in a fixed number of hashed counters: any order is right, a good one
-  keeps passages that many documents share out of the lists.
+  all documents, kept in hashed counters whose number grows with the text up to a bound: any order
+  is right, a good one keeps passages that many documents share out of the lists.
 - The boundary is the one that makes keys and (dearer) postings cheapest, from the counts of sizes.
 
 Lists are read in the order of size. Each member is first compared with the hub of its stretch (the
@@ -24,6 +24,7 @@ one shingle; equal rows and null ids are rows of their own, a component of null
 id. Extra columns are not read.
 """
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -40,8 +41,9 @@ from riskloom.llm.sets import PARITIES, PARITY, Similarity, marked, near, pariti
 from riskloom.llm.sets import rows as rows_of
 from riskloom.storage import materialise, scratch
 
-COUNTERS = 1 << 20
-CHUNK = 1 << 12
+#: Counters per byte of text, the fewest and the most (32 MB to every task).
+COUNTERS_PER_BYTE, FEWEST, MOST = 1 / 64, 1 << 20, 1 << 24
+CHUNK = 1 << 14
 #: Largest boundary that is considered; subsets of larger sets are never fewer than their postings.
 MAX_LIGHT = 24
 #: What a list entry costs beside a subset key: it meets hubs, and pairs of other sets.
@@ -57,17 +59,23 @@ def signature(shingles: np.ndarray) -> int:
         return int(mixed(mixed(shingles ^ R3).sum(dtype=np.uint64).reshape(1)).astype(np.int64)[0])
 
 
-def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def counters_for(size: int) -> int:
+    """How many counters suit so many bytes of text: a power of two."""
+    return min(MOST, max(FEWEST, 1 << int(size * COUNTERS_PER_BYTE).bit_length()))
+
+
+def _signatures(rows: DataFrame, k: int, counters: int) -> tuple[DataFrame, DataFrame]:
     """(id, tag, n, fp, p0, p1 ...) of each row, and counters (chunk, counts) of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(counters, np.uint32)
         for batch in batches:
             for part in pieces(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 if sets:
-                    low = np.concatenate(sets) & np.uint64(COUNTERS - 1)
-                    counts += np.bincount(low.astype(np.int64), minlength=COUNTERS)
+                    low = np.concatenate(sets) & np.uint64(counters - 1)
+                    held, many = np.unique(low.astype(np.uint32), return_counts=True)
+                    counts[held] += many.astype(np.uint32)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -81,16 +89,15 @@ def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                     ],
                     _SIGNED,
                 )
-        chunks = [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
-        n = len(chunks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * (4 + PARITIES)
-            + [
-                pa.array(chunks, pa.int32()),
-                pa.array([counts[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in chunks], pa.binary()),
-            ],
-            _SIGNED,
-        )
+        chunks = np.minimum(counts, 2**16 - 1).astype(np.uint16).reshape(-1, CHUNK)
+        held = np.flatnonzero(chunks.any(axis=1))
+        for some in np.array_split(held, max(1, len(held) // 64)):
+            n = len(some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64())] * (4 + PARITIES)
+                + [pa.array(some, pa.int32()), pa.array([_squeezed(chunks[c]) for c in some], pa.binary())],
+                _SIGNED,
+            )
 
     schema = ", ".join(f"{c} long" for c in _SIGNED[:-2]) + ", chunk int, counts binary"
     table = materialise(rows.mapInArrow(run, schema), "signatures")
@@ -100,17 +107,24 @@ def _signatures(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 _SIGNED = ["id", "tag", "n", "fp", *(f"p{i}" for i in range(PARITIES)), "chunk", "counts"]
 
 
-def _counters(chunks: DataFrame) -> np.ndarray:
-    """The summed counters: a fixed number, whatever the input."""
+def _squeezed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _counters(chunks: DataFrame, counters: int) -> np.ndarray:
+    """The summed counters, up to 65,535 each. A task adds up those of one chunk, one after the other."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table({"chunk": table.column("chunk")[:1], "counts": [total.tobytes()]})
+        total = np.zeros(CHUNK, np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
+        small = np.minimum(total, 2**16 - 1).astype(np.uint16)
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": [_squeezed(small)]})
 
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(counters, np.uint16)
     summed = chunks.select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     for chunk, counts in summed.collect():
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.int64)
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(counts), np.uint16)
     return out
 
 
@@ -137,11 +151,12 @@ def boundary(counts: dict[int, int], sim: Similarity) -> int:
 
 def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray) -> DataFrame:
     """(key, fp, n, place): list entries of heavy sets and subset keys of light ones (place -1)."""
-    shared = rows.sparkSession.sparkContext.broadcast(counters.astype(np.uint32))
+    shared = rows.sparkSession.sparkContext.broadcast(counters)
     least = sim.smallest_partner(light + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
+        last = np.uint64(len(counts) - 1)
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
@@ -161,7 +176,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
                         seen.clear()
                     seen.add(fp)
                     if n >= least:
-                        df = counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                        df = counts[(shingles & last).astype(np.int64)]
                         first = np.lexsort((shingles, df))[: sim.prefix(n)]
                         post(shingles[first], fp, n, np.arange(len(first), dtype=np.int32))
                     if n <= light:
@@ -251,14 +266,14 @@ def _hub_pairs(lists: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame
     places = _possible("hub_n", "hub_place", "n", "place", sim)
     met = lists.where(f"{fits} AND ({clear} OR {places})").select("hub", "fp").distinct()
     x = nodes.select("fp", "n", *PARITY)
-    near = (
+    allowed = (
         met.select(F.col("hub").alias("a"), F.col("fp").alias("b"))
         .join(x.withColumnRenamed("fp", "a").alias("s"), "a")
         .join(x.withColumnRenamed("fp", "b").alias("t"), "b")
         .where(near("s", "t", sim))
     )
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    return materialise(near.select(*order).distinct(), "pairs")
+    return materialise(allowed.select(*order).distinct(), "pairs")
 
 
 def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,12 +319,13 @@ def linked(docs: DataFrame, sim: Similarity) -> DataFrame:
 def _least_rows(rows: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows, and (fp, least) of all sets."""
     spark = rows.sparkSession
-    signed, chunks = _signatures(rows, sim.k)
+    counters = counters_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    signed, chunks = _signatures(rows, sim.k, counters)
     total = signed.agg(F.sum("n")).first()[0] or 0
     counts = signed.where(F.col("n").between(1, 2 * MAX_LIGHT)).groupBy("n").count().collect()
     light = boundary({n: c for n, c in counts}, sim)
     parts = max(1, -(-total // (4 * POSTING_ROWS)))
-    lists = _lists(_postings(rows, sim, light, _counters(chunks)), sim, parts)
+    lists = _lists(_postings(rows, sim, light, _counters(chunks, counters)), sim, parts)
     B.release(spark)
 
     # The texts of all sets in lists, one for each set.
@@ -394,7 +410,8 @@ def report(docs: DataFrame, sim: Similarity) -> DataFrame:
 def keep_one(docs: DataFrame, sim: Similarity) -> DataFrame:
     """The documents without near copies: of each component the row of the smallest id stays.
 
-    Rows of equal id and text are one document. Documents without words all stay.
+    Rows of equal id and text are one document; the one whose columns have the smallest hash stays.
+    Documents without words all stay.
     """
     found = linked(docs.select("doc_id", "text"), sim)
     gone = found.where("least.id <> id OR least.tag <> tag").select("id", "tag").distinct()
@@ -409,5 +426,6 @@ def keep_one(docs: DataFrame, sim: Similarity) -> DataFrame:
     twice = found.groupBy("id", "tag").count().where("count > 1").select("id", "tag")
     twice = materialise(twice, "repeated_rows")
     once = kept.join(twice, ["id", "tag"], "left_anti")
-    again = kept.join(twice, ["id", "tag"], "left_semi").groupBy("id", "tag").agg(F.first("row").alias("row"))
+    again = kept.join(twice, ["id", "tag"], "left_semi").withColumn("at", F.xxhash64("row"))
+    again = again.groupBy("id", "tag").agg(F.min_by("row", "at").alias("row"))
     return once.unionByName(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])

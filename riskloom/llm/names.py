@@ -25,9 +25,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def names_of(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A name for each of the non-empty strings ``data[start : start + size]``."""
-    name = mixed(sizes.astype(np.uint64) * R3)
+def names_of(data: bytes, starts: np.ndarray, sizes: np.ndarray, turn: int = 0) -> np.ndarray:
+    """A name for each of the non-empty strings ``data[start : start + size]``.
+
+    Names of another ``turn`` are independent.
+    """
+    name = mixed((sizes.astype(np.uint64) + np.uint64(turn << 48)) * R3)
     if not len(starts):
         return name
     words = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
@@ -40,5 +43,6 @@ def names_of(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         name[at] = mixed((name[at] ^ chunk) * R1 + R2)
     for i in np.flatnonzero(sizes > SHORT).tolist():
         text = data[int(starts[i]) : int(starts[i] + sizes[i])]
-        name[i] = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+        digest = hashlib.blake2b(text, digest_size=8, salt=bytes([turn])).digest()
+        name[i] = int.from_bytes(digest, "little")
     return name

@@ -1,67 +1,113 @@
 r"""Lexical retrieval packing: windows filled with documents that BM25 finds for a seed document.
 
-Documents are encoded once, ordered by a min-hash of their ids, so that texts of like words meet,
-and cut into shards of bounded size. Each shard has an inverted index of its ids with BM25 weights.
-A seed document opens a window; the unused neighbours that its strongest terms retrieve fill it, best
+Documents are encoded once, ordered by two min-hashes of their ids, so that texts of like words meet
+and near copies stand side by side, and cut into shards of bounded size. Each shard has an inverted
+index of its ids with BM25 weights. The statistics in the weights (number of documents, their mean
+length, how many hold each id) are counted over all documents, whole texts, so a pair of documents
+has the same score in any shard.
+A seed document opens a window; the unused neighbours that its ids retrieve, all of them, fill it, best
 first, and when none is left the next unused document does. The last one is cut at the window's end
 and its rest opens the next window. What exceeds a window in a long document fills windows of its
 own. A shard's open window goes on into the next shard of the task; at the end of a task the open
-window is cut into lengths that are powers of two, which need no padding.
+window is cut into lengths that are powers of two, which need no padding. A search sees its own shard:
+over all documents and all ids it would take time in the square of their number.
 
 Range partitions split any run of equal signs, so copies cannot fill one task.
 
-Defined cases: a null or empty text is its end id alone; rows with equal or null ids are documents
+Ties of score go to the document that comes first in the order. Defined cases: a null or empty text is its end id alone; rows with equal or null ids are documents
 of their own; an empty table gives no sequences. Extra columns are not read.
 """
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.llm import blocks as B
-from riskloom.llm.encoded import encode, id_width, parts_of
+from riskloom.llm.encoded import SIGNS, encode, id_width, parts_of
+from riskloom.llm.tokens import forget
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 PART_TOKENS = 1 << 24
-QUERY_TERMS = 24
+#: Ids held by this share of a shard's documents are added up by rows, others by postings.
+DENSE = 1 / 8
+#: Neighbours that are put in order at a time.
+AT_ONCE = 256
 K1, LENGTH_SHARE = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all documents: how many there are, their mean length, and how many hold each id."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, ids: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - self.df[ids] + 0.5) / (self.df[ids] + 0.5))
+
+
 class Index:
-    """BM25 over the documents of one shard; postings are sorted by term."""
+    """BM25 postings of the documents of one shard, with the statistics of all."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], stats: Statistics):
         self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
         doc = np.repeat(np.arange(self.n, dtype=np.uint64), sizes)
         keys = np.concatenate(docs).astype(np.uint64) * np.uint64(self.n) + doc
         keys, tf = np.unique(keys, return_counts=True)
-        term, self.doc = np.divmod(keys, np.uint64(self.n))
-        self.doc = self.doc.astype(np.int64)
-        new = np.concatenate([[True], term[1:] != term[:-1]])
-        self.heads = np.concatenate([np.flatnonzero(new), [len(term)]])
+        self.doc = (keys % np.uint64(self.n)).astype(np.int64)
+        ids = (keys // np.uint64(self.n)).astype(np.int64)
+        new = np.ones(len(ids), bool)
+        new[1:] = ids[1:] != ids[:-1]
+        self.heads = np.append(np.flatnonzero(new), len(ids))
         number = np.cumsum(new) - 1
-        df = np.diff(self.heads)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * sizes / max(sizes.mean(), 1))
-        self.weight = idf[number] * tf * (K1 + 1) / (tf + norm[self.doc])
-        by_doc = np.lexsort((-self.weight, self.doc))
+        norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * sizes / max(stats.mean, 1))
+        self.weight = stats.idf(ids) * tf * (K1 + 1) / (tf + norm[self.doc])
+        by_doc = np.argsort(self.doc, kind="stable")
         self.terms = number[by_doc]
         self.own = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
+        # Rows of weights, one value per document, for ids that many documents hold.
+        counts = np.diff(self.heads)
+        often = np.flatnonzero(counts > max(self.n * DENSE, 1))
+        self.row = np.full(len(counts), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n))
+        at = self.row[number] >= 0
+        self.dense[self.row[number[at]], self.doc[at]] = self.weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The score of every document for the distinct ids of ``seed``."""
+        terms = self.terms[self.own[seed] : self.own[seed + 1]]
+        rows = self.row[terms]
+        out = self.dense[rows[rows >= 0]].sum(axis=0)
+        rest = terms[rows < 0]
+        sizes = self.heads[rest + 1] - self.heads[rest]
+        if len(rest):
+            ends = np.cumsum(sizes)
+            at = np.arange(int(ends[-1])) + np.repeat(self.heads[rest] - ends + sizes, sizes)
+            out = out + np.bincount(self.doc[at], self.weight[at], self.n)
+        return out
 
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Free documents that share a strong term with ``seed``, best first."""
-        score = np.zeros(self.n)
-        for t in self.terms[self.own[seed] : self.own[seed + 1]][:QUERY_TERMS]:
-            at = slice(self.heads[t], self.heads[t + 1])
-            score[self.doc[at]] += self.weight[at]
-        found = np.flatnonzero(free & (score > 0))
-        return found[np.argsort(-score[found], kind="stable")]
+    def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
+        """Free documents that share an id with ``seed``, best first."""
+        score = np.where(free, self.scores(seed), 0.0)
+        score[seed] = 0.0
+        left = np.flatnonzero(score > 0)
+        while len(left):
+            best = left
+            if len(left) > AT_ONCE:
+                least = np.partition(score[left], len(left) - AT_ONCE)[len(left) - AT_ONCE]
+                best = left[score[left] >= least]
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+            left = left[score[left] < score[best].min()]
 
 
 class Packer:
@@ -114,7 +160,7 @@ class Packer:
         self.used = 0
 
 
-def pack_shard(packer: Packer, shard: list[tuple[int, np.ndarray]]) -> None:
+def pack_shard(packer: Packer, shard: list[tuple[int, np.ndarray]], stats: Statistics) -> None:
     """Pack all documents (doc_id, ids) of a shard."""
     rest = []
     for name, ids in shard:
@@ -125,7 +171,7 @@ def pack_shard(packer: Packer, shard: list[tuple[int, np.ndarray]]) -> None:
             rest.append((name, ids[whole:], whole, len(ids)))
     if not rest:
         return
-    index = Index([ids for _, ids, _, _ in rest])
+    index = Index([ids for _, ids, _, _ in rest], stats)
     free = np.ones(len(rest), bool)
     order = iter(range(len(rest)))
 
@@ -152,22 +198,50 @@ def pack_shard(packer: Packer, shard: list[tuple[int, np.ndarray]]) -> None:
                 continue
         opened = packer.next_id
         carried = None
-        for i in index.neighbours(seed, free).tolist():
+        for i in index.neighbours(seed, free):
             carried = place(i)
             if packer.next_id != opened:
                 break
         seed = carried
 
 
+def statistics(tokens: DataFrame, kind: np.dtype) -> Statistics:
+    """Counted over all documents; as many numbers as the vocabulary has ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        df = np.zeros(256, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                for x in batch.column("ids").slice(start, 256).to_pylist():
+                    ids = np.sort(np.frombuffer(x, kind), kind="stable")
+                    ids = ids[np.append(True, ids[1:] != ids[:-1])].astype(np.int64)
+                    if ids[-1] >= len(df):
+                        df = np.concatenate([df, np.zeros(2 * int(ids[-1]), np.int64)])
+                    df[ids] += 1
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(df[held])], ["term", "df"])
+
+    counted = tokens.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    rows = counted.collect()
+    df = np.zeros(max((r["term"] for r in rows), default=0) + 1, np.int64)
+    for r in rows:
+        df[r["term"]] = r["df"]
+    n, mean = tokens.agg(F.count("*"), F.avg("n")).first()
+    return Statistics(n, mean or 0.0, df)
+
+
 def pack(
     docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens = encode(docs, tokenizer, end_id)
+    tokens = encode(docs, tokenizer, end_id, signs=True)
     kind = id_width(tokenizer)
     parts = parts_of(tokens, PART_TOKENS)
+    shared = docs.sparkSession.sparkContext.broadcast(statistics(tokens, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         packer = Packer(TaskContext.get().partitionId(), window)
         shard: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -182,15 +256,16 @@ def pack(
                 shard.append((name, np.frombuffer(ids, kind)))
                 size += len(shard[-1][1])
                 if size >= SHARD_TOKENS:
-                    pack_shard(packer, shard)
+                    pack_shard(packer, shard, shared.value)
                     shard, size = [], 0
                     yield rows()
-        pack_shard(packer, shard)
+        pack_shard(packer, shard, shared.value)
         packer.finish()
         yield rows()
 
-    ranged = tokens.select("sign", "id", "tag", "ids").repartitionByRange(parts, "sign", "id", "tag")
-    ordered = ranged.sortWithinPartitions("sign", "id", "tag").select("id", "ids")
+    order = [*SIGNS, "id", "tag"]
+    ranged = tokens.select(*order, "ids").repartitionByRange(parts, *order)
+    ordered = ranged.sortWithinPartitions(*order).select("id", "ids")
     return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in _FIELDS))
 
 

@@ -32,8 +32,9 @@ class QualityRules:
     #: More than this share of symbols makes a line noise.
     symbols: str = r"[#*$%&|<>]"
     max_symbol_pct: int = 10
-    #: A menu: three or more short items between separators.
-    navigation: str = r"^[^.!?]{0,40}([|»›>•·/][^.!?|»›>•·/]{1,30}){2,}$"
+    #: A menu: three or more short items between separators. Items hold no separator, so possessive
+    #: loops match the same lines, and take no stack: a line may have any number of items.
+    navigation: str = r"^[^.!?]{0,40}(?:[|»›>•·/][^.!?|»›>•·/]{1,30}+){2,}+$"
     boilerplate: str = (
         r"(?i)all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)"
         r"|accept (all )?cookies|subscribe to our|sign up for our|javascript is (disabled|required)"

@@ -6,7 +6,9 @@ the ledger has, appends the rest, and joins findings back to every document that
 History is free: any number of document versions can be passed, each distinct text is scanned once.
 
 Offsets are code points, end exclusive. ``regexp_extract_all`` gives the matches of a rule and
-``split`` the text between them; their lengths add up to the places of the matches.
+``split`` the text between them; as rows of a window per blob and rule, their lengths add up to the places
+of the matches, in time that grows with the matches. Findings are written before the pairs that say
+so, and read once per pair: a run that is cut anywhere is made good by the next.
 
 Defined cases: a null text is the empty text and has no findings; each input row gives one output
 row, repeated rows and null ids included; an empty table gives an empty result. A blob that
@@ -16,7 +18,7 @@ Spark can split. Extra columns are not read.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.storage import materialise, new_path
@@ -59,52 +61,64 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 BASE_KINDS = ("assign", "access", "hex")
 
-_SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: A span, and the largest end of those that start before it.
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,reach:int>>"
+#: Code points per piece of a text that is redacted.
+PIECE = 4096
 
 
-def _spans(text: Column, rank: int, rule: Rule) -> Column:
-    """Spans of one rule in one text, in order."""
+def _matches(text: Column, rank: int, rule: Rule) -> Column:
+    """Per match of one rule, and once more for the rest of the text: rank, number, and the lengths of
+    the text before the match, of the match, and of its value."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(
-        F.zip_with(between, found, lambda b, f: F.struct(b.alias("b"), f.alias("f"))),
-        value,
+    both = F.zip_with(
+        F.transform(between, lambda b, i: F.struct(F.char_length(b).alias("b"), i.alias("i"))),
+        F.transform(found, lambda f: F.char_length(f)),
+        lambda x, f: F.struct(x["b"].alias("b"), x["i"].alias("i"), f.alias("f")),
+    )
+    numbered = F.zip_with(
+        both,
+        F.transform(value, lambda v: F.char_length(v)),
         lambda x, v: F.struct(
-            F.char_length(x["b"]).alias("b"),
-            F.char_length(x["f"]).alias("f"),
-            F.char_length(v).alias("v"),
+            F.lit(rank).alias("rank"),
+            x["i"].alias("i"),
+            x["b"].alias("b"),
+            x["f"].alias("f"),
+            v.alias("v"),
         ),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["b"]
-        span = F.struct(
-            start.alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(rule.kind).alias("kind"),
-            (start + x["f"]).alias("end"),
-        )
-        ok = x["f"].isNotNull() & (x["v"] >= rule.min_length)
-        return F.struct(
-            (start + F.coalesce(x["f"], F.lit(0))).alias("at"),
-            F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    walked = F.aggregate(lengths, empty, add, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast("array<struct<rank:int,i:int,b:int,f:int,v:int>>")
+    return F.when(text.rlike(rule.pattern), numbered).otherwise(none)
 
 
 def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob`` and the sorted ``spans`` of every text that has a finding."""
-    parts = [_spans(F.col("text"), rank, rule) for rank, rule in enumerate(rules)]
-    return blobs.select("blob", F.sort_array(F.concat(*parts)).alias("spans")).where(
-        F.size("spans") > 0
+    """``blob`` and the sorted ``spans`` of every text that has a finding; blobs must be distinct."""
+    every = F.concat(*[_matches(F.col("text"), rank, rule) for rank, rule in enumerate(rules)])
+    rows = blobs.select("blob", F.inline(every)).repartition("blob")
+    upto = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.sum(F.col("b") + F.coalesce("f", F.lit(0))).over(upto)
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    least = F.array(*[F.lit(r.min_length) for r in rules])
+    placed = rows.select("blob", "rank", "f", "v", passed.alias("to"))
+    placed = placed.where(F.col("f").isNotNull() & (F.col("v") >= F.get(least, F.col("rank"))))
+    spans = placed.select(
+        "blob",
+        (F.col("to") - F.col("f")).cast("int").alias("start"),
+        "rank",
+        F.get(kinds, F.col("rank")).alias("kind"),
+        F.col("to").cast("int").alias("end"),
     )
+    order = ["start", "rank", "kind", "end"]
+    before = Window.partitionBy("blob").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("end").over(before), F.lit(0)).alias("reach")
+    spans = spans.select("blob", F.struct(*order, reach).alias("span"))
+    # The spans of one text.
+    return spans.groupBy("blob").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 @dataclass(frozen=True)
@@ -124,7 +138,9 @@ class Ledger:
         return self._read(spark, "scanned", "blob binary, version string")
 
     def findings(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "findings", f"blob binary, spans {_SPAN}, version string")
+        """The findings of each pair, once: a scan that was cut may have written some before."""
+        rows = self._read(spark, "findings", f"blob binary, spans {_SPAN}, version string")
+        return rows.dropDuplicates(["blob", "version"])
 
     def update(
         self, named: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION
@@ -198,32 +214,31 @@ def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     )
 
 
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text that is cut into pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    head = F.substring(F.get(pieces, first), start % PIECE + 1, F.lit(PIECE))
+    middle = F.array_join(F.slice(pieces, first + 2, last - first - 1), "")
+    tail = F.substring(F.get(pieces, last), F.lit(1), (end - 1) % PIECE + 1)
+    inside = F.substring(F.get(pieces, first), start % PIECE + 1, end - start)
+    return F.when(end <= start, "").when(first == last, inside).otherwise(F.concat(head, middle, tail))
+
+
 def redact(docs: DataFrame, mark: str = "[REMOVED]", ledger: Ledger | None = None) -> DataFrame:
     """The documents with every finding replaced by ``mark``; other columns unchanged."""
-    found = scan(docs, ledger)
+    # The text in pieces, as a column: a span reads only the pieces that it touches.
     text = F.coalesce(F.col("row")["text"], F.lit(""))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        # A span that lies in an earlier one only moves the end.
-        gap = s["start"] + 1 - acc["at"]
-        piece = F.when(gap >= 0, F.concat(F.substring(text, acc["at"], gap), F.lit(mark)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"] + 1).alias("at"),
-            F.when(gap >= 0, F.concat(acc["parts"], F.array(piece)))
-            .otherwise(acc["parts"])
-            .alias("parts"),
-        )
-
-    rest = F.aggregate(
-        F.col("spans"),
-        start,
-        step,
-        lambda acc: F.concat(
-            F.array_join(acc["parts"], ""), F.substring(text, acc["at"], F.char_length(text))
-        ),
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    found = scan(docs, ledger).withColumn(
+        "pieces", F.when(F.size("spans") > 0, cut).otherwise(F.array().cast("array<string>"))
     )
-    clean = F.when(F.size("spans") > 0, rest).otherwise(F.col("row")["text"])
+    # A span that begins in an earlier one is covered by that one's mark.
+    opening = F.filter("spans", lambda s: s["start"] >= s["reach"])
+    kept = F.transform(opening, lambda s: F.concat(_part(F.col("pieces"), s["reach"], s["start"]), F.lit(mark)))
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    rest = _part(F.col("pieces"), last, F.char_length(text))
+    joined = F.concat(F.array_join(kept, ""), rest)
+    clean = F.when(F.size("spans") > 0, joined).otherwise(F.col("row")["text"])
     fields = {c: F.col("row")[c].alias(c) for c in docs.columns}
     fields["text"] = F.col("clean").alias("text")
     if "n_chars" in fields:

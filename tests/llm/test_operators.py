@@ -122,7 +122,7 @@ def test_a_block_sends_a_key_once(spark, monkeypatch, operator):
 
 def test_suffix_array_order():
     raw = np.frombuffer(b"banana" * 20 + b"band" + b"banana" * 9, np.uint8)
-    order = suffixes.suffix_array(raw, 64)
+    order = suffixes.suffix_array(suffixes.packed(raw), 64)
     wanted = sorted(range(len(raw)), key=lambda i: raw[i : i + 64].tobytes())
     assert [raw[i : i + 64].tobytes() for i in order] == [raw[i : i + 64].tobytes() for i in wanted]
 
