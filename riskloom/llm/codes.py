@@ -119,7 +119,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
             yield flush()
 
     ranged = tokens.select("id", "tag", "ids").repartitionByRange(parts, "id", "tag")
-    ranged.sortWithinPartitions("id", "tag").mapInArrow(segments, SEGMENTS).write.parquet(path)
+    made = ranged.sortWithinPartitions("id", "tag").mapInArrow(segments, SEGMENTS)
+    made.write.parquet(path, compression="zstd")
     B.release(docs.sparkSession)
 
 

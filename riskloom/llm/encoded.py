@@ -64,7 +64,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, signs: bool = False) ->
         text.cast("binary").alias("text"),
     )
     schema = SCHEMA + "".join(f", {c} long" for c in SIGNS if signs)
-    return materialise(rows.mapInArrow(run, schema), "tokens")
+    return materialise(rows.mapInArrow(run, schema), "tokens", codec="zstd")
 
 
 def id_width(tokenizer: str) -> np.dtype:
