@@ -200,4 +200,96 @@ SELECT doc_id, n::BIGINT AS n, form,
 FROM parts
 """
 
-ORACLES = {"op1_decontamination": OP1, "op2_url_filters": OP2, "op4_quality_rules": OP4, "op12_merkle_manifest": OP12, "op13_infilling": OP13}
+OP6 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, count(*) OVER (PARTITION BY x) AS n
+  FROM (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d))
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM windows WHERE n > 1
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, c + s AS s, substr(part, 2 * s + 1, 100) AS x
+  FROM (SELECT doc_id, c, part, unnest(range(0, least(500, length(part) // 2 - 49))) AS s
+        FROM (SELECT doc_id, c, substr(h, 2 * c + 1, 1098) AS part
+              FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 500)) AS c FROM d)))
+), firsts AS (
+  SELECT x, min(doc_id) AS first FROM strings GROUP BY x HAVING count(*) > 1
+), starts AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before
+  FROM strings JOIN firsts USING (x) WHERE first < doc_id
+), runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT *, sum((before IS NULL OR s > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM starts)
+  GROUP BY doc_id, run
+), cuts AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM runs
+), kept AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS rest,
+    string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
+  coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _groups(k: int, num: int) -> str:
+    """Components of documents whose sets of k-word shingles have a similarity of num / 100."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + {k - 1}], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 2}, 2))) AS s FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * s.n >= {num} * (x.n + y.n - s.n)
+), reached AS (
+  SELECT a AS doc_id, b AS other FROM links UNION SELECT b, a FROM links
+  UNION
+  SELECT r.doc_id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END
+  FROM reached r JOIN links l ON r.other IN (l.a, l.b)
+), least AS (
+  SELECT doc_id, min(other) AS first FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(first, doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
+OP5 = _groups(4, 85)
+OP11 = f"SELECT *, doc_id = component_id AS kept FROM ({_groups(5, 85)})"
+
+ORACLES = {
+    "op1_decontamination": OP1,
+    "op2_url_filters": OP2,
+    "op4_quality_rules": OP4,
+    "op5_jaccard_join": OP5,
+    "op6_substring_dedup": OP6,
+    "op10_suffix_arrays": OP10,
+    "op11_minhash": OP11,
+    "op12_merkle_manifest": OP12,
+    "op13_infilling": OP13,
+}
