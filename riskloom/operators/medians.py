@@ -6,15 +6,26 @@ counts tell on which side of them the rank lies, and only that part goes on. Eac
 fraction of a percent of the rows. A value shared by a third of all rows is settled by its count.
 """
 
+import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import known
 from riskloom.operators.cleaning import unify_missing
+from riskloom.operators.sketches import Sketch, column_sketches
 from riskloom.schema import FEATURES
+from riskloom.storage import materialise
+
+# The task functions travel with the plan, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SLACK = 0.001
 _ACCURACY = 10_000
@@ -143,6 +154,87 @@ def exact_medians(
     return {c: sum(middle) / len(middle) for c, middle in found.items()}
 
 
+def _bracket(sketch: Sketch, first: int, last: int) -> tuple[float, float]:
+    """(low, high]: holds the values at the 0-based ranks ``first`` to ``last`` for certain."""
+    ends = np.cumsum(sketch.weights)
+    under = np.flatnonzero(ends + sketch.error <= first)
+    over = np.flatnonzero(ends - sketch.error >= last + 1)
+    low = sketch.values[under[-1]] if len(under) else -math.inf
+    return float(low), float(sketch.values[over[0]]) if len(over) else math.inf
+
+
+def _candidates(df: DataFrame, brackets: dict[str, tuple[float, float]], weight: str | None) -> DataFrame:
+    """(i, value, n) of the values inside the brackets; with a null value, the rows up to the low edge.
+
+    One scan; equal values of a batch are one row.
+    """
+    names = list(brackets)
+    edges = [brackets[c] for c in names]
+    numbers = [known(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(names)]
+    weights = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            parts = []
+            for i, (low, high) in enumerate(edges):
+                x = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+                below = int(many[x <= low].sum())
+                inside = (x > low) & (x <= high)
+                values, place = np.unique(x[inside], return_inverse=True)
+                counts = np.bincount(place, many[inside], len(values)).astype(np.int64)
+                parts += [(i, None, below)] if below else []
+                parts += [(i, v, n) for v, n in zip(values.tolist(), counts.tolist())]
+            columns = list(zip(*parts)) or [(), (), ()]
+            kinds = (pa.int32(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["i", "value", "n"]
+            )
+
+    found = df.select(*numbers, weights.alias("n")).mapInArrow(read, "i int, value double, n long")
+    return materialise(found.groupBy("i", "value").agg(F.sum("n").alias("n")), "median_candidates")
+
+
+def medians_in_two_scans(
+    df: DataFrame, columns: list[str], sketches: dict[str, Sketch] | None = None, small: int = 500_000
+) -> dict[str, float]:
+    """Exact medians: one scan sketches all columns, one brings the values around the middle.
+
+    With ``sketches`` of all rows at hand (saved, and merged batch by batch) only the second scan is
+    left. What lies in the brackets, a share of the rows that the sketch's error bounds, is narrowed
+    down by sketches of its own while it is more than ``small`` distinct values.
+    """
+    sketches = sketches or column_sketches(df, columns)
+    ranks, brackets, found = {}, {}, {}
+    for c in columns:
+        n = int(round(sketches[c].total))
+        if n:
+            ranks[c] = ((n - 1) // 2, n // 2)
+            brackets[c] = _bracket(sketches[c], *ranks[c])
+    weight = None
+    while brackets:
+        names = list(brackets)
+        held = _candidates(df, brackets, weight)
+        below = {names[r["i"]]: r["n"] for r in held.where("value IS NULL").collect()}
+        ranks = {c: tuple(r - below.get(c, 0) for r in ranks[c]) for c in names}
+        inside = held.where("value IS NOT NULL")
+        sizes = {names[r["i"]]: r["count"] for r in inside.groupBy("i").count().collect()}
+        done = [i for i, c in enumerate(names) if sizes.get(c, 0) <= small]
+        values: dict[str, list] = {names[i]: [] for i in done}
+        for r in inside.where(F.col("i").isin(done)).collect() if done else []:
+            values[names[r["i"]]].append((r["value"], r["n"]))
+        for c, pairs in values.items():
+            pairs.sort()
+            ends = np.cumsum([n for _, n in pairs])
+            found[c] = sum(pairs[int(np.searchsorted(ends, r, side="right"))][0] for r in ranks[c]) / 2
+        wide = [(i, c) for i, c in enumerate(names) if i not in done]
+        df = inside.select("n", *[F.when(F.col("i") == i, F.col("value")).alias(c) for i, c in wide])
+        weight = "n"
+        nearer = column_sketches(df, [c for _, c in wide], "n") if wide else {}
+        brackets = {c: _bracket(nearer[c], *ranks[c]) for _, c in wide}
+    return found
+
+
 def approximate_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """One-pass medians with a rank error of 1/10,000."""
     row = df.agg(

@@ -18,7 +18,6 @@ from riskloom.schema import KEY
 from riskloom.storage import materialise, small_frame
 
 _BLOCK_BITS = 33
-_MAX_BLOCKS = 1_000_000
 _BUCKETS = 10_000
 _MAX_WANTED = 10_000
 
@@ -39,17 +38,11 @@ def in_order(df: DataFrame, order: list) -> DataFrame:
     )
 
 
-def _bounded(rows: list) -> list:
-    if len(rows) > _MAX_BLOCKS:
-        raise ValueError("Too many blocks; lower spark.sql.shuffle.partitions.")
-    return rows
-
-
 def with_row(df: DataFrame, *order, row: str = "row") -> DataFrame:
     """Add the exact 1-based place of each row. The order must be total for a stable answer."""
     order = list(order) or [KEY]
     blocks = in_order(df, order)
-    sizes = _bounded(blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect())
+    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes.sort(key=lambda r: r["_block"])
     before = [0, *accumulate(r["n"] for r in sizes)]
     offsets = small_frame(
@@ -72,7 +65,7 @@ def running_sum(
     """
     groups = list(groups)
     blocks = in_order(df, [*groups, *order])
-    parts = _bounded(
+    parts = (
         blocks.groupBy("_block", *groups)
         .agg(
             *[F.sum(c).alias(f"{c}_total") for c in columns],
@@ -120,11 +113,13 @@ def rows_at(
     """Exactly the rows whose 1-based places in key order are ``wanted``, with ``row``.
 
     A large table is cut into buckets by approximate quantiles of a numeric key. Exact bucket counts show
-    which buckets hold a wanted place, and only those rows are sorted.
+    which buckets hold a wanted place, and only those rows are sorted. Of very many places every
+    bucket holds some, so all rows are numbered.
     """
     wanted = sorted(set(wanted))
     if len(wanted) > _MAX_WANTED:
-        raise ValueError("Too many places to look up; use with_row.")
+        places = small_frame(df.sparkSession, [(place,) for place in wanted], "row long")
+        return with_row(df, key).join(places, "row")
     total = df.count() if total is None else total
     moved = [(place, place) for place in wanted]
     if total > small and isinstance(df.schema[key].dataType, T.NumericType):
@@ -172,16 +167,14 @@ def places_of(df: DataFrame, few: DataFrame, key: str = KEY, row: str = "row") -
 
     The keys of the few rows cut the table into ranges; counting those ranges is one pass that
     combines on the map side. Keys must be unique. Numbers beyond 2**53 are not exact as doubles;
-    for those, and for keys that are no numbers, the keys of the whole table are put in order.
+    for those, for keys that are no numbers, and for more than 10,000 rows, the keys of the whole
+    table are put in order.
     """
     few = materialise(few, "few")
     keys = [r[key] for r in few.select(key).limit(_MAX_WANTED + 1).collect()]
-    if len(keys) > _MAX_WANTED:
-        raise ValueError("Too many rows to look up; use with_row.")
     numeric = isinstance(df.schema[key].dataType, T.IntegralType)
-    if not numeric or any(abs(k) > 2**53 for k in keys):
-        numbered = with_row(df.select(key), key, row=row)
-        return numbered.join(F.broadcast(few), key)
+    if len(keys) > _MAX_WANTED or not numeric or any(abs(k) > 2**53 for k in keys):
+        return with_row(df.select(key), key, row=row).join(few, key)
     keys.sort()
     sizes = _bucket_sizes(_bucketed(df, key, [float(k) for k in keys])) if keys else {}
     before = accumulate(sizes.get(i, 0) for i in range(len(keys)))
@@ -193,6 +186,8 @@ def thin(df: DataFrame, key: str = KEY, target: int = 200) -> DataFrame:
     """Every ``step``-th row from the first, ``step = max(1, floor(n / target))``: under 2*target rows."""
     total = df.count()
     step = max(1, total // target)
+    if total // step >= _MAX_WANTED:
+        return with_row(df, key).where((F.col("row") - 1) % step == 0)
     return rows_at(df, list(range(1, total + 1, step)), key, total)
 
 

@@ -36,7 +36,7 @@ def train_sizes(counts: dict, test_fraction: float) -> dict:
     n_train = total - math.ceil(total * test_fraction)
     shares = {c: n_train * n / total for c, n in counts.items()}
     sizes = {c: math.floor(share) for c, share in shares.items()}
-    by_remainder = sorted(shares, key=lambda c: (sizes[c] - shares[c], c))
+    by_remainder = sorted(shares, key=lambda c: (sizes[c] - shares[c], c is not None, c or 0))
     for c in by_remainder[: n_train - sum(sizes.values())]:
         sizes[c] += 1
     return sizes
@@ -67,7 +67,7 @@ def _find_cuts(df: DataFrame, cuts: list[_Cut], label: str) -> None:
         wide = [c for c in open_cuts if c.inside > _FEW and len(c.prefix) < 32]
         at = wide or open_cuts
         inside = df.filter(
-            reduce(or_, [(F.col(label) == c.label) & F.col("_draw").startswith(c.prefix) for c in at])
+            reduce(or_, [F.col(label).eqNullSafe(F.lit(c.label)) & F.col("_draw").startswith(c.prefix) for c in at])
         )
         if wide:
             longest = max(len(c.prefix) for c in wide)
@@ -107,7 +107,7 @@ def with_part(
     Each row has a draw that depends on its key alone, and a class gives the rows with its smallest
     draws to the test set. The driver learns only one cut per class: counts per leading hex digits
     of the draw lead to the digits that hold the cut, then to the cut itself. No row is shuffled.
-    Keys must be unique; classes must be few.
+    Keys must be unique; classes must be few. Rows without a label are a class of their own.
     """
     draw = digest(seed, "split", F.col(key))
     draws = df.select(label, draw.alias("_draw"))
@@ -119,7 +119,7 @@ def with_part(
         c.narrow(heads[c.label])
     _find_cuts(draws, cuts, label)
     in_test = reduce(
-        or_, [(F.col(label) == c.label) & (draw <= c.draw) for c in cuts], F.lit(False)
+        or_, [F.col(label).eqNullSafe(F.lit(c.label)) & (draw <= c.draw) for c in cuts], F.lit(False)
     )
     return df.withColumn("part", F.when(in_test, "test").otherwise("train"))
 

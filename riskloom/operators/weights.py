@@ -27,7 +27,7 @@ def with_balanced_weight(df: DataFrame, label: str = LABEL, column: str = "weigh
     """Add the balanced weight; the few weights become literals, so rows stay where they are."""
     weight = F.lit(None).cast("double")
     for r in balanced_weights(df, label).collect():
-        weight = F.when(F.col(label) == r[label], r["weight"]).otherwise(weight)
+        weight = F.when(F.col(label).eqNullSafe(F.lit(r[label])), r["weight"]).otherwise(weight)
     return df.withColumn(column, weight)
 
 

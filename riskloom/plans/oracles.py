@@ -450,4 +450,50 @@ ORACLES = {
     c_acctbal AS Amount, CASE WHEN c_acctbal < 0 THEN 'negative amount' END AS reject_reason FROM customer""",
     "stream_scores": _scored(EVENTS) + f"SELECT tx_id, {_PREDICTION} FROM scored",
 }
+
+
+def _permuted(source: str) -> str:
+    """One pass of the keyed network over ``x``; the halves have a and b bits."""
+    inner = f"(SELECT *, x >> b AS l0, x & ((1::BIGINT << b) - 1) AS r0 FROM {source})"
+    for i in range(4):
+        word = f"('0x' || substr(md5(concat('{SEED}|feistel|{i}|', r{i})), 1, 13))::BIGINT"
+        width = "ab"[i % 2]
+        inner = (
+            f"(SELECT *, r{i} AS l{i + 1}, xor(l{i}, {word} & ((1::BIGINT << {width}) - 1)) AS r{i + 1} FROM {inner})"
+        )
+    return f"SELECT tx_id, row, n, a, b, (l4 << b) | r4 AS x FROM {inner}"
+
+
+ORACLES["feistel_shuffle"] = f"""WITH RECURSIVE rows AS (
+  SELECT event_id AS tx_id, row_number() OVER (ORDER BY event_id) AS row, count(*) OVER () AS n FROM events
+), sized AS (
+  SELECT *, greatest(2, length(bin(n - 1))) AS bits FROM rows
+), numbered AS (
+  SELECT tx_id, row, n, (bits // 2)::BIGINT AS a, (bits - bits // 2)::BIGINT AS b, (row - 1)::BIGINT AS x FROM sized
+), walk AS (
+  {_permuted("numbered")}
+  UNION ALL
+  {_permuted("(SELECT * FROM walk WHERE x >= n)")}
+) SELECT tx_id, row, x + 1 AS place FROM walk WHERE x < n"""
+ORACLES["medians_two_scans"] = ORACLES["column_medians"]
+ORACLES["dedup_batches"] = _with(LINES) + 'SELECT DISTINCT "Time", V1, V2, Amount, Class FROM tx'
+ORACLES["auc_from_histograms"] = (
+    _THREE
+    + """SELECT model, round(won / pairs, 6) AS auc, round(ties / pairs, 6) AS error,
+    round((won - ties) / pairs, 6) AS low, round((won + ties) / pairs, 6) AS high FROM (
+      SELECT model, sum(pos * (below + neg / 2)) AS won, sum(pos * neg / 2) AS ties,
+        sum(pos)::DOUBLE * sum(neg) AS pairs
+      FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY bin
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+            FROM (SELECT model, least(floor(p * 10000), 9999) AS bin, count(*) FILTER (Class = 1) AS pos,
+                    count(*) FILTER (Class = 0) AS neg FROM judged GROUP BY ALL))
+      GROUP BY model)"""
+)
+ORACLES["hourly_totals"] = (
+    _scored(EVENTS)
+    + """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS total_rows,
+    count(*) FILTER (label = 'FRAUD') AS fraud_count, count(*) FILTER (label <> 'FRAUD') AS legit_count,
+    round(count(*) FILTER (label = 'FRAUD') / count(*) * 100, 4) AS fraud_rate
+    FROM scored JOIN events ON event_id = tx_id GROUP BY 1"""
+)
 ORACLES["stream_totals"] = ORACLES["batch_summary"]

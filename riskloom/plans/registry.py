@@ -20,6 +20,7 @@ from riskloom.operators.cleaning import (
     quality_gates,
     validate,
 )
+from riskloom.operators.draws import feistel_shuffled, multinomial_draws
 from riskloom.operators.evaluation import (
     binary_metrics,
     chance_line,
@@ -30,7 +31,14 @@ from riskloom.operators.evaluation import (
     roc_auc,
     roc_points,
 )
-from riskloom.operators.medians import batch_medians, fit_medians, impute, impute_from_batch
+from riskloom.operators.ledger import DigestLedger
+from riskloom.operators.medians import (
+    batch_medians,
+    fit_medians,
+    impute,
+    impute_from_batch,
+    medians_in_two_scans,
+)
 from riskloom.operators.models import (
     MODEL_NAMES,
     FixedLogit,
@@ -52,6 +60,8 @@ from riskloom.operators.sampling import (
     with_part,
 )
 from riskloom.operators.scaling import Scaler, apply_scaler, fit_scaler
+from riskloom.operators.score_histogram import auc_bounds, merge_histograms, score_histogram
+from riskloom.operators.sketches import column_sketches
 from riskloom.operators.smote import smote, smote_count, synthesise
 from riskloom.operators.weights import balanced_weights, class_counts, with_positive_weight
 from riskloom.plans import training
@@ -67,6 +77,7 @@ from riskloom.sources.artifacts import (
     write_report,
 )
 from riskloom.sources.tables import (
+    table,
     tx_accounts,
     tx_embed,
     tx_events,
@@ -200,6 +211,25 @@ def column_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(frame, "median")
 
 
+def medians_two_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two batches are merged, then one scan finds the exact medians."""
+    rows = tx_embed(spark, sf_dir)
+    odd, even = (column_sketches(rows.where(f"{KEY} % 2 = {i}"), FEATURES) for i in (1, 0))
+    both = {c: odd[c].merge(even[c]) for c in FEATURES}
+    medians = medians_in_two_scans(rows, FEATURES, both)
+    frame = small_frame(spark, list(medians.items()), "name string, median double")
+    return _rounded(frame, "median")
+
+
+def dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines arrive in three batches; a ledger of digests keeps each content once."""
+    lines = materialise(tx_lineitem(spark, sf_dir).withColumn("part", F.monotonically_increasing_id() % 3), "lines")
+    ledger = DigestLedger(spark, new_path(spark, "ledger"))
+    for i in range(3):
+        ledger.add(lines.where(f"part = {i}").drop("part"))
+    return ledger.rows(lines.drop("part").schema)
+
+
 def align_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned_events(spark, sf_dir)
 
@@ -303,6 +333,18 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled(tx_events(spark, sf_dir).select(KEY), SEED)
 
 
+def feistel_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in their order, with their places in a keyed permutation."""
+    numbered = materialise(with_row(tx_events(spark, sf_dir).select(KEY)), "numbered")
+    return feistel_shuffled(numbered, numbered.count(), "row", SEED)
+
+
+def draws_by_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many draws as there are events, without ordering them."""
+    events = materialise(tx_events(spark, sf_dir).select(KEY, "Amount"), "events")
+    return multinomial_draws(events, events.count(), SEED, written=True)
+
+
 def _scaled_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tx_embed(spark, sf_dir)
     return apply_scaler(rows, fit_scaler(rows))
@@ -350,6 +392,13 @@ def roc_auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(roc_auc(_three_models(spark, sf_dir)), "roc_auc")
 
 
+def auc_from_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of three batches of scores are merged; the bound holds for all rows."""
+    scored = materialise(_three_models(spark, sf_dir), "three_models")
+    parts = [score_histogram(scored.where(f"{KEY} % 3 = {i}")) for i in range(3)]
+    return _rounded(auc_bounds(merge_histograms(*parts)), "auc", "error", "low", "high")
+
+
 def roc_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = roc_points(_three_models(spark, sf_dir))
     return _rounded(stack(chance_line(points), points), "threshold", "fpr", "tpr")
@@ -516,6 +565,18 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live_totals(spark, folder, out, fit_scaler(events))
 
 
+def hourly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, scored, as a stream of event time: totals per hour."""
+    times = table(spark, sf_dir, "events").select(F.col("event_id").alias(KEY), F.col("ts").cast("timestamp").alias("at"))
+    folder, out = new_path(spark, "timed"), new_path(spark, "hourly")
+    _scored(spark, sf_dir).select(KEY, "label").join(times, KEY).write.parquet(folder)
+    stream = spark.readStream.schema(f"{KEY} long, label string, at timestamp").parquet(folder)
+    live.totals_and_late(stream, KEY, "at", "1 hour", "10 minutes", out).awaitTermination()
+    totals = live.read_totals(spark, out)
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    return totals.select(start.alias("hour"), "total_rows", "fraud_count", "legit_count", "fraud_rate")
+
+
 QUERIES = {
     "score_fixed_logit": score_fixed_logit,
     "batch_summary": batch_summary,
@@ -533,6 +594,8 @@ QUERIES = {
     "dropna": dropna,
     "median_impute": median_impute,
     "column_medians": column_medians,
+    "medians_two_scans": medians_two_scans,
+    "dedup_batches": dedup_batches,
     "align_defaults": align_defaults,
     "amount_quarantine": amount_quarantine,
     "clip_round": clip_round,
@@ -554,6 +617,8 @@ QUERIES = {
     "scenario_with_noise": scenario_with_noise,
     "time_sorted": time_order,
     "seeded_shuffle": seeded_shuffle,
+    "feistel_shuffle": feistel_shuffle,
+    "draws_by_splitting": draws_by_splitting,
     "smote_neighbours": smote_neighbours,
     "all_neighbours": all_neighbours,
     "smote_synthetic": smote_synthetic,
@@ -561,6 +626,7 @@ QUERIES = {
     "confusion": confusion_cells,
     "binary_metrics": threshold_metrics,
     "roc_auc": roc_auc_exact,
+    "auc_from_histograms": auc_from_histograms,
     "roc_points": roc_curve_points,
     "champion_select": champion_select,
     "metrics_report": metrics_report,
@@ -581,4 +647,5 @@ QUERIES = {
     "json_transactions": json_transactions,
     "stream_scores": stream_scores,
     "stream_totals": stream_totals,
+    "hourly_totals": hourly_totals,
 }
