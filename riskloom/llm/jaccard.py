@@ -41,8 +41,8 @@ from riskloom.llm.sets import PARITIES, PARITY, Similarity, marked, near, pariti
 from riskloom.llm.sets import rows as rows_of
 from riskloom.storage import materialise, scratch
 
-#: Counters per byte of text, the fewest and the most (32 MB to every task).
-COUNTERS_PER_BYTE, FEWEST, MOST = 1 / 64, 1 << 20, 1 << 24
+#: Bytes of text per counter, the fewest and the most counters (a byte each: 32 MB to every task).
+BYTES_PER_COUNTER, FEWEST, MOST = 32, 1 << 20, 1 << 25
 CHUNK = 1 << 14
 #: Largest boundary that is considered; subsets of larger sets are never fewer than their postings.
 MAX_LIGHT = 24
@@ -60,22 +60,22 @@ def signature(shingles: np.ndarray) -> int:
 
 
 def counters_for(size: int) -> int:
-    """How many counters suit so many bytes of text: a power of two."""
-    return min(MOST, max(FEWEST, 1 << int(size * COUNTERS_PER_BYTE).bit_length()))
+    """How many counters suit so many bytes of text: whole chunks."""
+    return min(MOST, max(FEWEST, -(-size // BYTES_PER_COUNTER // CHUNK) * CHUNK))
 
 
 def _signatures(rows: DataFrame, k: int, counters: int) -> tuple[DataFrame, DataFrame]:
     """(id, tag, n, fp, p0, p1 ...) of each row, and counters (chunk, counts) of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, np.uint32)
+        counts = np.zeros(counters, np.uint16)
         for batch in batches:
             for part in pieces(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 if sets:
-                    low = np.concatenate(sets) & np.uint64(counters - 1)
-                    held, many = np.unique(low.astype(np.uint32), return_counts=True)
-                    counts[held] += many.astype(np.uint32)
+                    place = np.concatenate(sets) % np.uint64(counters)
+                    held, many = np.unique(place.astype(np.uint32), return_counts=True)
+                    counts[held] = np.minimum(counts[held] + many, 255)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -89,7 +89,7 @@ def _signatures(rows: DataFrame, k: int, counters: int) -> tuple[DataFrame, Data
                     ],
                     _SIGNED,
                 )
-        chunks = np.minimum(counts, 2**16 - 1).astype(np.uint16).reshape(-1, CHUNK)
+        chunks = counts.astype(np.uint8).reshape(-1, CHUNK)
         held = np.flatnonzero(chunks.any(axis=1))
         for some in np.array_split(held, max(1, len(held) // 64)):
             n = len(some)
@@ -112,19 +112,19 @@ def _squeezed(counts: np.ndarray) -> bytes:
 
 
 def _counters(chunks: DataFrame, counters: int) -> np.ndarray:
-    """The summed counters, up to 65,535 each. A task adds up those of one chunk, one after the other."""
+    """The summed counters, up to 255 each. A task adds up those of one chunk, one after the other."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.uint64)
         for x in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
-        small = np.minimum(total, 2**16 - 1).astype(np.uint16)
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        small = np.minimum(total, 255).astype(np.uint8)
         return pa.table({"chunk": table.column("chunk")[:1], "counts": [_squeezed(small)]})
 
-    out = np.zeros(counters, np.uint16)
+    out = np.zeros(counters, np.uint8)
     summed = chunks.select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     for chunk, counts in summed.collect():
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(counts), np.uint16)
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(counts), np.uint8)
     return out
 
 
@@ -156,7 +156,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        last = np.uint64(len(counts) - 1)
+        places = np.uint64(len(counts))
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
@@ -176,7 +176,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
                         seen.clear()
                     seen.add(fp)
                     if n >= least:
-                        df = counts[(shingles & last).astype(np.int64)]
+                        df = counts[(shingles % places).astype(np.int64)]
                         first = np.lexsort((shingles, df))[: sim.prefix(n)]
                         post(shingles[first], fp, n, np.arange(len(first), dtype=np.int32))
                     if n <= light:
