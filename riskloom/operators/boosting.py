@@ -296,14 +296,16 @@ def fit_trees(train: DataFrame, fit: Boosting, weight: str = "weight") -> Booste
     wide = rows.select(*[F.col("x")[i].alias(f"x{i}") for i in range(columns)], "weight")
     sketches = column_sketches(wide, [f"x{i}" for i in range(columns)], "weight")
     cuts = [sketches[f"x{i}"].cuts(fit.bins - 1) for i in range(columns)]
-    weights = rows.agg(F.sum("weight").alias("total"), F.max("weight").alias("most")).first()
+    weights = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("most")).first()
     if not weights["total"]:
         raise ValueError("Cannot fit: no rows with a weight.")
     # The unit is the finest for which all sums fit in 62 bits, and a page's in 53.
     spare = min(62 - np.log2(weights["total"]), 52 - np.log2(2 * PAGE_ROWS * weights["most"]))
     unit = float(2.0 ** min(30, np.floor(spare)))
     shared_root(spark)  # sets a checkpoint folder where a local session has none
-    pages = _pages(rows, cuts).rdd.map(lambda row: _page_of(row, columns))
+    # Partitions of less than a page only cost tasks; no row is shuffled for this.
+    packed = _pages(rows.coalesce(max(1, -(-weights["n"] // PAGE_ROWS))), cuts)
+    pages = packed.rdd.map(lambda row: _page_of(row, columns))
     return _finished(_grow(pages, columns, unit, fit), cuts, columns)
 
 
