@@ -156,7 +156,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        places = np.uint64(len(counts))
+        held = np.uint64(len(counts))
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
@@ -176,7 +176,7 @@ def _postings(rows: DataFrame, sim: Similarity, light: int, counters: np.ndarray
                         seen.clear()
                     seen.add(fp)
                     if n >= least:
-                        df = counts[(shingles % places).astype(np.int64)]
+                        df = counts[(shingles % held).astype(np.int64)]
                         first = np.lexsort((shingles, df))[: sim.prefix(n)]
                         post(shingles[first], fp, n, np.arange(len(first), dtype=np.int32))
                     if n <= light:
