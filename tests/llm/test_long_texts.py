@@ -190,3 +190,20 @@ def test_blocks_part_equal_and_empty_rows(spark):
         table, _ = blocks.bucketed(docs, copies_together=together)
         sizes = [r["count"] for r in table.groupBy("block").count().collect()]
         assert sum(sizes) == 63_000 and len(sizes) >= 2 and max(sizes) < 50_000
+
+
+def test_places_of_least_values():
+    from riskloom.llm import suffixes
+
+    draw = np.random.default_rng(8)
+    for high, n, width in ((3, 400, 7), (10**6, 3000, 33), (2, 50, 33), (9, 33, 33)):
+        values = draw.integers(0, high, n).astype(np.uint64)
+        least = suffixes.smallest(values, width)
+        wanted = draw.random(len(least)) < 0.8
+        plain = {
+            g
+            for s in np.flatnonzero(wanted).tolist()
+            for g in range(s, s + width)
+            if values[g] == values[s : s + width].min()
+        }
+        assert suffixes.least_places(values, least, wanted, width).tolist() == sorted(plain)
