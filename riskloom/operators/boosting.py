@@ -3,8 +3,9 @@
 1. Columns are cut at weighted quantiles (``sketches``), at most ``bins - 1`` cuts each.
 2. Rows are packed into pages of one byte per column and written once; no row leaves its page again.
 3. A tree grows level by level. Each task adds up gradients and second derivatives of its rows per
-   (node, column, bin); only these sums, of a fixed size whatever the number of rows, are combined
-   and reach the driver, which picks the best split of every node.
+   (node, column, bin). These sums, of a fixed size whatever the number of rows, move by groups of
+   columns to tasks that combine them and pick the best cut of every node among their columns. Only
+   these picks, a few numbers per node and group, reach the driver.
 4. After a tree each page's margins are moved on where they are. Pages are persisted, and every
    ``CHECKPOINT`` trees a checkpoint cuts their lineage, so a lost executor costs a few trees of work.
 
@@ -132,9 +133,11 @@ def page_sums(
     return out
 
 
-def split(tree: Tree, level: int, sums: np.ndarray, columns: np.ndarray, unit: float, fit: Boosting) -> bool:
-    """Set the splits of a level and the leaf values of their two sides; False if no node was split."""
-    first, found = 2**level - 1, False
+def best_cuts(sums: np.ndarray, columns: np.ndarray, unit: float, fit: Boosting) -> np.ndarray:
+    """The best cut per node among some columns, with their combined sums.
+
+    One row per node: gain, column, cut, first and second derivatives on the left, on the right and of all.
+    """
     left = np.cumsum(sums, axis=3)
     total = left[:, :, :1, -1:]
     gl, hl = left / unit
@@ -142,20 +145,30 @@ def split(tree: Tree, level: int, sums: np.ndarray, columns: np.ndarray, unit: f
     gr, hr = (total - left) / unit
     gains = (gl**2 / (hl + fit.penalty) + gr**2 / (hr + fit.penalty) - g**2 / (h + fit.penalty)) / 2
     gains = np.where((hl >= fit.min_child) & (hr >= fit.min_child), gains, -np.inf)
-    if level == 0:
-        tree.value[0] = -fit.rate * g[0, 0, 0] / (h[0, 0, 0] + fit.penalty)
+    node = np.arange(len(gains))
+    column, cut = np.divmod(gains.reshape(len(node), -1).argmax(axis=1), fit.bins)
+    sides = [x[node, column, cut] for x in (gl, hl, gr, hr)]
+    return np.column_stack([gains[node, column, cut], columns[column], cut, *sides, g[:, 0, 0], h[:, 0, 0]])
+
+
+def split(tree: Tree, level: int, picks: list[np.ndarray], fit: Boosting) -> bool:
+    """Set the splits of a level and the leaf values of their two sides; False if no node was split.
+
+    ``picks`` are the ``best_cuts`` of all groups of columns, in the order of the columns.
+    """
+    first, found = 2**level - 1, False
+    picks = np.stack(picks)
     for node in range(first + 1):
         at = first + node
+        gain, column, cut, gl, hl, gr, hr, g, h = picks[picks[:, node, 0].argmax(), node]
+        if level == 0:
+            tree.value[0] = -fit.rate * g / (h + fit.penalty)
         if at and tree.column[(at - 1) // 2] < 0:
             continue
-        best = int(np.argmax(gains[node]))
-        column, cut = divmod(best, fit.bins)
-        gain = gains[node, column, cut]
         if gain > LEAST_GAIN:
-            tree.column[at], tree.bin[at], tree.gain[at] = columns[column], cut, gain
+            tree.column[at], tree.bin[at], tree.gain[at] = int(column), int(cut), gain
             for side, gs, hs in ((1, gl, hl), (2, gr, hr)):
-                value = -fit.rate * gs[node, column, cut] / (hs[node, column, cut] + fit.penalty)
-                tree.value[2 * at + side] = value
+                tree.value[2 * at + side] = -fit.rate * gs / (hs + fit.penalty)
             found = True
     return found
 
@@ -312,25 +325,34 @@ def fit_trees(train: DataFrame, fit: Boosting, weight: str = "weight") -> Booste
 def _grow(pages: RDD, columns: int, unit: float, fit: Boosting) -> list[Tree]:
     """All trees, level by level; pages move their margins on after each."""
     state, before = pages.persist(StorageLevel.MEMORY_AND_DISK), None
-    steps = 1 if state.getNumPartitions() <= 64 else 2
+    groups = int(np.ceil(np.sqrt(state.getNumPartitions())))  # what one task combines grows with the root
     grown: list[Tree] = []
     for number in range(fit.rounds):
         tree, drawn = Tree.empty(fit.depth), fit.columns_of(number, columns)
+        parts = np.array_split(np.arange(len(drawn)), min(len(drawn), groups))
         for level in range(fit.depth):
 
-            def sums(found: Iterator[Page], tree=tree, number=number, level=level, drawn=drawn):
+            def sums(found: Iterator[Page], tree=tree, number=number, level=level, drawn=drawn, parts=parts):
                 total = None
                 for page in found:
                     one = page_sums(page, tree, number, level, drawn, unit, fit)
                     total = one if total is None else total + one
-                return [] if total is None else [total]
-
-            parts = state.mapPartitions(sums)
-            both = parts.treeReduce(np.add, steps) if steps > 1 else parts.reduce(np.add)
+                return [] if total is None else [(i, total[:, :, part]) for i, part in enumerate(parts)]
+
+            def picks(found: Iterator[tuple[int, np.ndarray]], drawn=drawn, parts=parts):
+                totals: dict[int, np.ndarray] = {}
+                for i, one in found:
+                    totals[i] = totals[i] + one if i in totals else one
+                return [(i, best_cuts(total, drawn[parts[i]], unit, fit)) for i, total in totals.items()]
+
+            summed = state.mapPartitions(sums)
+            if len(parts) > 1:
+                summed = summed.partitionBy(len(parts), int)
+            best = [pick for _, pick in sorted(summed.mapPartitions(picks).collect(), key=lambda x: x[0])]
             if before is not None:  # the first level has read the new state
                 before.unpersist()
                 before = None
-            if not split(tree, level, both, drawn, unit, fit):
+            if not split(tree, level, best, fit):
                 break
         grown.append(tree)
         moved = state.map(lambda page, tree=tree: _moved(page, tree, fit.depth))

@@ -136,6 +136,23 @@ def test_no_shuffle_of_rows_after_binning(spark, vectors, monkeypatch):
     assert len(seen) == 1 and sum(seen[0][1]) <= seen[0][0]
 
 
+def test_the_driver_gets_picks_not_sums(vectors, monkeypatch):
+    """What reaches the driver per level is a few numbers per node and group of columns, not a sum per bin."""
+    seen = []
+    plain = boosting.split
+
+    def split(tree, level, picks, fit):
+        seen.append((level, [p.shape for p in picks]))
+        return plain(tree, level, picks, fit)
+
+    monkeypatch.setattr(boosting, "split", split)
+    fit_trees(vectors.coalesce(1), FIT)
+    monkeypatch.setattr(boosting, "PAGE_ROWS", 400)  # several partitions: groups of columns
+    fit_trees(vectors.repartition(4, KEY), FIT)
+    assert seen and all(shape == (2**level, 9) for level, shapes in seen for shape in shapes)
+    assert {len(shapes) for _, shapes in seen} > {1}
+
+
 def test_boosting_learns_and_scores_alike(spark, learnable, vectors):
     model = fit_boosted(vectors.drop("weight"), rounds=15)
     rows = learnable.select(KEY, LABEL, *FEATURES)
