@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from riskloom.operators.cleaning import unify_missing
 from riskloom.schema import KEY
-from riskloom.storage import materialise
 
 #: Digits of a digest that name its folder: 256 folders.
 DIGITS = 2
+#: The column beside the kept rows that holds their digests as bytes.
+_DIGEST = "_digest_bytes"
 
 
 def content_digest(df: DataFrame, key: str = KEY) -> Column:
@@ -27,6 +28,10 @@ def content_digest(df: DataFrame, key: str = KEY) -> Column:
     return F.sha2(F.concat(F.lit(""), *parts), 256)
 
 
+def _head(digest: Column) -> Column:
+    return F.lower(F.substring(F.hex(digest), 1, DIGITS))
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -66,20 +71,25 @@ class DigestLedger:
         done = self.committed()
         number = done[-1] + 1 if done else 0
         plain = unify_missing(batch)
-        named = plain.withColumn("_digest", content_digest(plain, key))
+        # Digests move as bytes, half the size of their digits.
+        named = plain.withColumn(_DIGEST, F.unhex(content_digest(plain, key)))
         row = F.struct(*[F.col(f"`{c}`") for c in plain.columns])
         # Copies combine before they move.
         first = F.min_by(row, F.col(f"`{key}`")) if key in plain.columns else F.min(row)
-        fresh = named.groupBy("_digest").agg(first.alias("row"))
-        fresh = materialise(fresh.withColumn("head", F.substring("_digest", 1, DIGITS)), "fresh")
-        heads = sorted(r["head"] for r in fresh.select("head").distinct().collect())
+        fresh = named.groupBy(_DIGEST).agg(first.alias("row"))
+        heads = sorted(r["head"] for r in named.select(_head(F.col(_DIGEST)).alias("head")).distinct().collect())
         known = self._read("digests", done, "_digest string, head string").where(F.col("head").isin(heads))
-        new = fresh.join(known.select("_digest"), "_digest", "left_anti")
-        new = materialise(new, "new")
+        # Rows that are grouped by digest meet the known ones where they are, and are written once, with their digests.
+        new = fresh.join(known.select(F.unhex("_digest").alias(_DIGEST)), _DIGEST, "left_anti")
         out = f"{self.path}/rows/batch_number={number}"
-        new.select("row.*").write.mode("overwrite").parquet(out)
-        digests = new.select("_digest", "head").repartition("head")
-        digests.write.mode("overwrite").partitionBy("head").parquet(f"{self.path}/digests/batch_number={number}")
+        new.select("row.*", _DIGEST).write.mode("overwrite").parquet(out, compression="zstd")
+        written = self.spark.read.schema(f"{_DIGEST} binary").parquet(out)
+        head = _head(F.col(_DIGEST))
+        # Digits compress to the size of the bytes; they go to the tasks as bytes.
+        digests = written.repartition(head).select(F.lower(F.hex(_DIGEST)).alias("_digest"), head.alias("head"))
+        digests.write.mode("overwrite").partitionBy("head").parquet(
+            f"{self.path}/digests/batch_number={number}", compression="zstd"
+        )
         self._commit(number)
         return self.spark.read.schema(plain.schema).parquet(out)
 

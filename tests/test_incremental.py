@@ -11,7 +11,7 @@ from riskloom.operators import draws
 from riskloom.operators.cleaning import dedup
 from riskloom.operators.draws import feistel_place, multinomial_draws, split_draws
 from riskloom.operators.evaluation import roc_auc
-from riskloom.operators.ledger import DigestLedger
+from riskloom.operators.ledger import DigestLedger, content_digest
 from riskloom.operators.medians import exact_medians, medians_in_two_scans
 from riskloom.operators.ordering import places_of, rows_at, thin
 from riskloom.operators.sampling import stratified_split, train_sizes, with_part
@@ -19,7 +19,7 @@ from riskloom.operators.score_histogram import auc_bounds, merge_histograms, roc
 from riskloom.operators.sketches import Sketch, column_sketches
 from riskloom.operators.weights import balanced_weights, with_balanced_weight
 from riskloom.schema import KEY
-from riskloom.storage import materialise, new_path
+from riskloom.storage import made_since, materialise, new_path
 
 
 def times(df):
@@ -171,6 +171,20 @@ def test_a_batch_that_is_cut_counts_as_none(spark, monkeypatch, step):
     assert ledger.rows(SCHEMA).count() == before + 1
 
 
+def test_a_batch_is_written_once(spark):
+    """No table in between: kept rows stand once beside their digests, whose table keeps its form."""
+    ledger = DigestLedger(spark, new_path(spark, "digests"))
+    before = len(made_since())
+    for b in batches(spark):
+        ledger.add(b)
+    assert len(made_since()) == before
+    rows = ledger.rows(SCHEMA)
+    want = {r["d"] for r in rows.select(content_digest(rows).alias("d")).collect()}
+    held = spark.read.parquet(f"{ledger.path}/digests").select("_digest", F.col("head").cast("string")).collect()
+    assert {r["_digest"] for r in held} == want and len(held) == rows.count() == 6
+    assert all(r["_digest"].startswith(r["head"]) for r in held if not r["head"].isdigit())
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "model string, p double, Class int")
 
