@@ -97,8 +97,9 @@ def validate(df: DataFrame, amount_required: bool = False) -> tuple[DataFrame, D
 
 def gap_reason(columns=FEATURES) -> Column:
     """Names the features of a row that have no finite value; NULL for a complete row."""
-    bad = [F.col(c).isNull() | (F.abs(c) == math.inf) for c in columns]
-    gaps = F.concat_ws(",", *[F.when(b, c) for b, c in zip(bad, columns)])
+    named = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    bad = F.filter(named, lambda x: x["value"].isNull() | (F.abs(x["value"]) == math.inf))
+    gaps = F.array_join(F.transform(bad, lambda x: x["name"]), ",")
     return F.when(gaps != "", F.concat(F.lit("no value for "), gaps))
 
 

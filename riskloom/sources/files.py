@@ -117,22 +117,30 @@ def judge_json(lines: DataFrame, column: str = "value") -> DataFrame:
     parsed = lines.select(
         *others, F.col(column).alias("_record"), F.from_json(column, "map<string,string>").alias("_tx")
     )
-    raw = lambda c: F.try_element_at("_tx", F.lit(c))
-    absent = lambda c: ~F.coalesce(F.map_contains_key("_tx", F.lit(c)), F.lit(False))
-    key = F.trim(raw(KEY)).try_cast("long")
-    bad = [F.when(is_unparsable_text(raw(c)), c) for c in FEATURES]
-    bad.append(F.when(raw(KEY).isNotNull() & key.isNull(), KEY))
-    rows = parsed.select(
-        *others,
-        key.alias(KEY),
-        *[
-            F.when(absent(c), F.lit(0.0)).otherwise(number_from_text(raw(c))).alias(c)
-            for c in FEATURES
-            if c != "Amount"
-        ],
-        number_from_text(raw("Amount")).alias("Amount"),
-        "_record",
-        F.concat_ws(",", *bad).alias("_bad"),
+    # Features are read in one loop over their names: an expression for each would make a method that the JVM
+    # does not compile.
+    texts = F.transform(
+        F.array(*[F.lit(c) for c in FEATURES]),
+        lambda c: F.struct(
+            c.alias("name"),
+            F.try_element_at("_tx", c).alias("text"),
+            F.coalesce(F.map_contains_key("_tx", c), F.lit(False)).alias("present"),
+        ),
+    )
+    default = lambda x: F.when(~x["present"] & (x["name"] != "Amount"), 0.0)
+    numbers = F.transform("_texts", lambda x: default(x).otherwise(number_from_text(x["text"])))
+    unread = F.transform(F.filter("_texts", lambda x: is_unparsable_text(x["text"])), lambda x: x["name"])
+    key_text = F.try_element_at("_tx", F.lit(KEY))
+    rows = (
+        parsed.withColumns({"_texts": texts, "_key": key_text, KEY: F.trim(key_text).try_cast("long")})
+        .withColumns({"_numbers": numbers, "_unread": unread})
+        .select(
+            *others,
+            KEY,
+            *[F.get("_numbers", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)],
+            "_record",
+            F.concat_ws(",", "_unread", F.when(F.col("_key").isNotNull() & F.col(KEY).isNull(), KEY)).alias("_bad"),
+        )
     )
     unparsable = F.when(F.col("_bad") != "", F.concat(F.lit("not a number: "), "_bad"))
     reason = F.coalesce(unparsable, reject_reason(amount_required=True), gap_reason())

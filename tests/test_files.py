@@ -199,3 +199,16 @@ def test_text_that_is_no_number_is_not_scored(spark):
     df = spark.createDataFrame([(1, "5", "oops"), (2, "6", "1.5")], "tx_id long, Amount string, V1 string")
     reasons = {r["tx_id"]: r["reject_reason"] for r in judge(df).collect()}
     assert reasons == {1: "not a number: V1", 2: None}
+
+
+def test_scoring_json_compiles(spark, tmp_path):
+    """The JVM leaves methods of 8,000 bytes and more uncompiled: no expression per feature makes one."""
+    from riskloom.plans import registry
+    from riskloom.streaming import live
+
+    spark.createDataFrame([('{"Amount": 3.5}',)], "value string").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    scaler = Scaler({"Amount": 1.0, "Time": 1.0}, {"Amount": 2.0, "Time": 2.0})
+    scored = live.score_and_reject(files.judge_json(lines), registry._logit(), scaler, {})
+    code = scored._jdf.queryExecution().debug().codegenToSeq()
+    assert code.size() and all(code.apply(i)._3().maxMethodCodeSize() < 8_000 for i in range(code.size()))
