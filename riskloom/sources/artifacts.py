@@ -59,8 +59,9 @@ def base_of(spark: SparkSession, path: str, version: str | None = None) -> str:
 
 def write_version(spark: SparkSession, path: str, artifacts: Artifacts, report: DataFrame | None = None) -> str:
     """Write everything under a new version name, which no reader follows yet."""
-    last = current_version(spark, path)
-    number = int(last.split("-")[0][1:]) + 1 if last else 1
+    # Unfinished saves keep their numbers, so the next one stands after them.
+    found = [n for folder in ("current", "versions") for n in _names(spark, f"{path}/{folder}")]
+    number = int(max(found).split("-")[0][1:]) + 1 if found else 1
     version = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
     base = f"{path}/versions/{version}"
     artifacts.scaler.to_frame(spark).coalesce(1).write.parquet(f"{base}/scaler")
