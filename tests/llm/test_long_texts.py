@@ -207,3 +207,30 @@ def test_places_of_least_values():
             if values[g] == values[s : s + width].min()
         }
         assert suffixes.least_places(values, least, wanted, width).tolist() == sorted(plain)
+
+
+def test_what_a_shard_found_survives_packing():
+    """A shard's strings are sorted once: bits of places tell a later round which bytes go."""
+    import brute
+    import pyarrow as pa
+    from riskloom.llm import suffixes
+
+    rng = np.random.default_rng(12)
+    part = [bytes(rng.integers(97, 123, 120).astype(np.uint8)) for _ in range(4)]
+    texts = [part[0] + b"-" + part[0], part[1] + part[0], b"aaaa" * 40, b"b" + part[2] + b"aaaa" * 30, part[3], b"short"]
+    ids = [5, 9, 9, 2**40, 3, 1]
+    shard = suffixes.Shard(pa.table({"id": ids, "text": pa.array(texts, pa.binary())}), 50, 18)
+    places = np.flatnonzero(shard.starts)
+    found = suffixes.Found.of_classes(shard, places)
+    again = suffixes.Found.unpacked(found.packed())
+    for name in ("n", "repeat", "member", "again", "of"):
+        assert np.array_equal(getattr(found, name), getattr(again, name))
+    assert (np.diff(again.member) > 0).all() and len(again.again) > 50
+    one = {bytes(shard.raw[p : p + 50]) for p in again.member}
+    assert len(one) == len(again.member) == len({bytes(shard.raw[p : p + 50]) for p in places})
+    lost = again.gone(np.zeros(len(again.member), bool), 50)
+    plain = {r[0:2]: r[2] for r in brute.suffix_dedup([(i, t.decode()) for i, t in zip(ids, texts)])}
+    for row, head in zip(shard.rows, shard.heads):
+        size = len(shard.texts[row])
+        assert lost[head : head + size].sum() == plain[int(shard.ids[row]), size]
+    assert again.gone(np.ones(len(again.member), bool), 50).all()
