@@ -1,10 +1,13 @@
 """Exact k nearest neighbours of every point, by Euclidean distance with ties to the smaller id.
 
-Points are assigned to the nearest of a bounded number of pivots. Each point first searches its own
-cell, which gives it a distance bound; the triangle inequality then names the other cells that can
-still hold a closer point, and only those are searched. Cells are split into blocks of bounded size
-on both sides, and a task holds one pair of blocks, so a dense cell becomes many tasks. Tasks return
-the best k+1 of a block pair, never the pairs. Copies of one point are searched once.
+Points are assigned to the nearest of a bounded number of pivots, and cells side by side make regions
+of about as many points as a task holds. Each point first searches its own region, which gives it a
+distance bound; the triangle inequality then names the cells that can still hold a closer point, and
+only their regions are searched. Regions are split into bounded parts on both sides, and a task holds
+one pair of parts, so a dense cell becomes many tasks. A task halves its points into blocks and
+compares a block only with the queries whose bound reaches the block's bounding box; bounds shrink
+as it goes. Tasks return the best k+1 of a pair of parts, never the pairs. Copies of one point are
+searched once.
 
 Where points spread evenly in many dimensions no bound can rule out much, and the exact answer takes
 time in the square of the number of points; clustered points take far less.
@@ -12,6 +15,7 @@ time in the square of the number of points; clustered points take far less.
 
 import math
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CELLS_AT_ONCE = 500_000
 _ROUNDING = 1e-12
+#: Rows of each side that a task holds.
+TASK_ROWS = 16_384
+#: Most points of a block, and the coordinates that its bounding box looks at.
+MOST_IN_BLOCK, BOX_AXES = 512, 8
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,53 +88,136 @@ def _pair_distances(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarr
     return out
 
 
-def _best_in_block(n: int):
-    """Task function: the best ``n`` candidates of one block for each query of one block.
+def _blocks(points: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Places of the points in blocks of at most ``rows``, halved along the widest coordinate."""
+    parts, out = [np.arange(len(points))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= rows:
+            out.append(part)
+            continue
+        half = len(part) // 2
+        order = np.argpartition(points[part, points[part].var(axis=0).argmax()], half)
+        parts += [part[order[:half]], part[order[half:]]]
+    return out
 
-    A matrix product gives rough distances; pairs that could be among the best after allowing for
-    its rounding error get exact ones, and only those decide.
-    """
+
+class _Best:
+    """The best ``n`` candidates of each query so far, and the distance that a better one must keep."""
+
+    def __init__(self, points: np.ndarray, bounds: np.ndarray, n: int):
+        self.points, self.bounds, self.n = points, np.array(bounds), n
+        self.d2 = np.full((len(points), n), np.inf)
+        self.ids = np.full((len(points), n), np.iinfo(np.int64).max)
+
+    def meet(self, some: np.ndarray, ids: np.ndarray, others: np.ndarray, centre: np.ndarray) -> None:
+        """Compare the queries at ``some`` with a block of candidates.
+
+        A matrix product gives rough distances; pairs that could be among the best after allowing for
+        its rounding error get exact ones, and only those decide.
+        """
+        n = self.n
+        a, b = self.points[some] - centre, others - centre
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        rough = a @ (-2.0 * b.T)
+        rough += bb
+        slack = _ROUNDING * (aa + bb.max())
+        limit = self.bounds[some] + slack - aa
+        if len(ids) > n and not np.isfinite(limit).all():
+            nth = np.partition(rough, n - 1, axis=1)[:, n - 1]
+            limit = np.minimum(limit, nth + 2.0 * slack)
+        row, col = np.nonzero(rough <= limit[:, None])
+        d2 = _pair_distances(self.points[some], others, row, col)
+        near = d2 <= self.bounds[some][row]
+        row, col, d2 = row[near], col[near], d2[near]
+        order = np.lexsort((ids[col], d2, row))
+        row, col, d2 = row[order], col[order], d2[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < n
+        row, col, d2, place = row[best], col[best], d2[best], place[best]
+        hit, at = np.unique(row, return_inverse=True)
+        both_d2 = np.concatenate([self.d2[some[hit]], np.full((len(hit), n), np.inf)], axis=1)
+        both_ids = np.concatenate([self.ids[some[hit]], np.full((len(hit), n), np.iinfo(np.int64).max)], axis=1)
+        both_d2[at, n + place], both_ids[at, n + place] = d2, ids[col]
+        order = np.lexsort((both_ids, both_d2), axis=1)[:, :n]
+        self.d2[some[hit]] = np.take_along_axis(both_d2, order, axis=1)
+        self.ids[some[hit]] = np.take_along_axis(both_ids, order, axis=1)
+        self.bounds[some[hit]] = np.minimum(self.bounds[some[hit]], self.d2[some[hit], n - 1])
+
+
+def _best_in_part(n: int, block_rows: int):
+    """Task function: the best ``n`` candidates of one part for each query of one part."""
+    rows = max(2 * n, min(block_rows, MOST_IN_BLOCK))
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         ids = candidates.column("id").to_numpy()
         qids = queries.column("qid").to_numpy()
-        found = ([], [], [])
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if len(ids) and len(qids):
             points, others = _matrix(queries.column("v")), _matrix(candidates.column("point"))
-            bounds = queries.column("bound").to_numpy()
-            centre = others.mean(axis=0)
-            b = others - centre
-            bb = (b * b).sum(axis=1)
-            for some in _chunks(len(qids), len(ids)):
-                a = points[some] - centre
-                aa = (a * a).sum(axis=1)
-                rough = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
-                slack = _ROUNDING * (aa + bb.max())
-                limit = bounds[some] + slack
-                if len(ids) > n and not np.isfinite(limit).all():
-                    nth = np.partition(rough, n - 1, axis=1)[:, n - 1]
-                    limit = np.minimum(limit, nth + 2.0 * slack)
-                row, col = np.nonzero(rough <= limit[:, None])
-                d2 = _pair_distances(points[some], others, row, col)
-                near = d2 <= bounds[some][row]
-                row, col, d2 = row[near], col[near], d2[near]
-                order = np.lexsort((ids[col], d2, row))
-                row, col, d2 = row[order], col[order], d2[order]
-                best = np.arange(len(row)) - np.searchsorted(row, row) < n
-                for part, values in zip(found, (qids[some][row], ids[col], d2)):
-                    part.append(values[best])
-        joined = [np.concatenate(part) if part else np.empty(0) for part in found]
+            best = _Best(points, queries.column("bound").to_numpy(), n)
+            axes = np.argsort(-others.var(axis=0), kind="stable")[:BOX_AXES]
+            seen = np.ascontiguousarray(points[:, axes].T)
+            blocks = _blocks(others, rows)
+            boxes = [(others[at][:, axes].min(axis=0), others[at][:, axes].max(axis=0)) for at in blocks]
+
+            def apart(box) -> np.ndarray:
+                """No point of the box is closer to the query than the root of this."""
+                out = np.zeros(len(points))
+                for column, low, high in zip(seen, *box):
+                    gap = np.maximum(np.maximum(low - column, column - high), 0.0)
+                    out += gap * gap
+                return out
+
+            def meet(some: np.ndarray, at: np.ndarray) -> None:
+                block = others[at]
+                for part in _chunks(len(some), len(at)):
+                    best.meet(some[part], ids[at], block, block.mean(axis=0))
+
+            # A query without a bound starts with the block that is nearest to it.
+            first = np.full(len(points), -1)
+            if not np.isfinite(best.bounds).all():
+                least = np.full(len(points), np.inf)
+                for i, box in enumerate(boxes):
+                    gap = apart(box)
+                    closer = (gap < least) & ~np.isfinite(best.bounds)
+                    first[closer], least[closer] = i, gap[closer]
+                for i, at in enumerate(blocks):
+                    meet(np.flatnonzero(first == i), at)
+            for i, (at, box) in enumerate(zip(blocks, boxes)):
+                reach = best.bounds * (1 + 1e-9)
+                meet(np.flatnonzero((apart(box) <= reach) & (first != i)), at)
+            row, place = np.nonzero(np.isfinite(best.d2))
+            found = [qids[row], best.ids[row, place], best.d2[row, place]]
         return pa.table(
             {
-                "qid": pa.array(joined[0], pa.int64(), from_pandas=True),
-                "nn_id": pa.array(joined[1], pa.int64(), from_pandas=True),
-                "d2": pa.array(joined[2], pa.float64()),
+                "qid": pa.array(found[0], pa.int64()),
+                "nn_id": pa.array(found[1], pa.int64()),
+                "d2": pa.array(found[2], pa.float64()),
             }
         )
 
     return run
 
 
+def _regions(pivots: np.ndarray, sizes: dict[int, int], rows: int) -> dict[int, int]:
+    """The region of each cell: cells side by side that together hold at most ``rows``, or one cell."""
+    cells = np.array(sorted(sizes))
+    held = np.array([sizes[c] for c in cells.tolist()])
+    parts, out = [np.arange(len(cells))], []
+    while parts:
+        part = parts.pop()
+        if len(part) == 1 or held[part].sum() <= rows:
+            out.append(part)
+            continue
+        centres = pivots[cells[part]]
+        part = part[np.argsort(centres[:, centres.var(axis=0).argmax()], kind="stable")]
+        upto = np.cumsum(held[part])
+        half = int(np.clip(np.searchsorted(upto, upto[-1] / 2), 1, len(part) - 1))
+        parts += [part[:half], part[half:]]
+    return {c: i for i, part in enumerate(out) for c in cells[part].tolist()}
+
+
 def _search(
     queries: DataFrame,
     pool: DataFrame,
@@ -134,38 +225,39 @@ def _search(
     sizes: dict[int, int],
     n: int,
     block_rows: int,
+    task_rows: int,
 ) -> DataFrame:
-    """Best ``n`` candidates per query and block among the cell the query row names.
+    """Best ``n`` candidates per query and part of the region that the query row names.
 
-    ``visits`` and ``sizes`` are the query rows and the points of each cell.
+    ``visits`` and ``sizes`` are the query rows and the points of each region.
     """
     layout = [
-        (cell, math.ceil(sizes[cell] / block_rows), math.ceil(visits[cell] / block_rows))
-        for cell in visits
+        (region, math.ceil(sizes[region] / task_rows), math.ceil(visits[region] / task_rows))
+        for region in visits
     ]
     layout = F.broadcast(
-        small_frame(pool.sparkSession, layout, "cell int, pool_blocks int, query_blocks int")
+        small_frame(pool.sparkSession, layout, "region int, pool_parts int, query_parts int")
     )
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    task = ["cell", "pool_block", "query_block"]
+    task = ["region", "pool_part", "query_part"]
     left = (
-        queries.join(layout, "cell")
-        .withColumn("query_block", block("qid", "query_blocks"))
-        .withColumn("pool_block", every("pool_blocks"))
+        queries.join(layout, "region")
+        .withColumn("query_part", part("qid", "query_parts"))
+        .withColumn("pool_part", every("pool_parts"))
         .select(*task, "qid", "v", "bound")
     )
     right = (
-        pool.select("id", F.col("v").alias("point"), F.col("cell").alias("at_cell"))
-        .join(layout.withColumnRenamed("cell", "at_cell"), "at_cell")
-        .withColumn("pool_block", block("id", "pool_blocks"))
-        .withColumn("query_block", every("query_blocks"))
-        .select("at_cell", *task[1:], "id", "point")
+        pool.select("id", F.col("v").alias("point"), F.col("region").alias("at_region"))
+        .join(layout.withColumnRenamed("region", "at_region"), "at_region")
+        .withColumn("pool_part", part("id", "pool_parts"))
+        .withColumn("query_part", every("query_parts"))
+        .select("at_region", *task[1:], "id", "point")
     )
     return (
         left.groupBy(*task)
-        .cogroup(right.groupBy("at_cell", *task[1:]))
-        .applyInArrow(_best_in_block(n), "qid long, nn_id long, d2 double")
+        .cogroup(right.groupBy("at_region", *task[1:]))
+        .applyInArrow(_best_in_part(n, block_rows), "qid long, nn_id long, d2 double")
     )
 
 
@@ -174,13 +266,18 @@ def _best(lists: DataFrame, n: int) -> DataFrame:
     return lists.withColumn("place", place).filter(F.col("place") <= n).drop("place")
 
 
-def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict, n: int) -> DataFrame:
-    """Per query, the other cells that may hold a point within its bound.
+def _regions_in_reach(
+    queries: DataFrame, pivots: np.ndarray, spans: dict, regions: dict[int, int], n: int
+) -> DataFrame:
+    """Per query, the other regions with a cell that may hold a point within its bound.
 
     Pivots are points themselves, so the n-th nearest pivot bounds the search as well; that helps
-    queries whose own cell holds fewer than ``n`` points.
+    queries whose own region holds fewer than ``n`` points.
     """
-    cells = np.array(sorted(spans), dtype=np.int32)
+    cells = np.array(sorted(spans, key=lambda c: (regions[c], c)), dtype=np.int32)
+    region_of = np.full(len(pivots), -1, dtype=np.int32)
+    region_of[cells] = [regions[c] for c in cells.tolist()]
+    names, heads = np.unique(region_of[cells], return_index=True)
     inner = np.array([spans[c][0] for c in cells])
     outer = np.array([spans[c][1] for c in cells])
     centres = pivots[cells]
@@ -205,8 +302,9 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict, n: int)
                 least = np.maximum(d - outer, inner - d)
                 least = np.maximum(least, np.where(apart > 0, border, 0.0))
                 reach = np.sqrt(bound[some])[:, None] * (1 + 1e-9) + 1e-9
-                hits = (least <= reach) & (cells[None, :] != own[some, None])
-                reached += [cells[hit] for hit in hits]
+                hits = np.logical_or.reduceat(least <= reach, heads, axis=1)
+                hits &= names[None, :] != region_of[own[some], None]
+                reached += [names[hit] for hit in hits]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("qid"),
@@ -214,10 +312,10 @@ def _cells_in_reach(queries: DataFrame, pivots: np.ndarray, spans: dict, n: int)
                     pa.array(bound),
                     pa.array(reached, pa.list_(pa.int32())),
                 ],
-                ["qid", "v", "bound", "cells"],
+                ["qid", "v", "bound", "regions"],
             )
 
-    return queries.mapInArrow(run, "qid long, v array<double>, bound double, cells array<int>")
+    return queries.mapInArrow(run, "qid long, v array<double>, bound double, regions array<int>")
 
 
 def nearest_neighbours(
@@ -227,11 +325,13 @@ def nearest_neighbours(
     vector: str = "features",
     block_rows: int = 4_096,
     max_pivots: int = 32_768,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``id, nn_rank (1..k), nn_id, distance`` for every point; a point is not its own neighbour.
 
-    ``max_pivots`` bounds what tasks receive (pivots and cell radii); ``block_rows`` bounds what one
-    task holds. Neither changes the answer. ``points`` is read more than once: pass a table.
+    ``max_pivots`` bounds what tasks receive (pivots and cell radii), ``task_rows`` the rows of each
+    side that one holds. From ``block_rows`` points on there are pivots; a block that is compared at once
+    holds no more. None changes the answer. ``points`` is read more than once: pass a table.
     """
     n = k + 1
     vectors = F.col(vector).cast("array<double>")
@@ -257,32 +357,31 @@ def nearest_neighbours(
         )
         .collect()
     }
-    sizes = {c: r["size"] for c, r in stats.items()}
+    regions = _regions(pivots, {c: r["size"] for c, r in stats.items()}, task_rows)
+    sizes, own_visits = Counter(), Counter()
+    for c, r in stats.items():
+        sizes[regions[c]] += r["size"]
+        own_visits[regions[c]] += r["distinct"]
+    of_cell = small_frame(points.sparkSession, sorted(regions.items()), "cell int, region int")
+    cells = cells.join(F.broadcast(of_cell), "cell")
     queries = cells.filter(is_first).withColumnRenamed("id", "qid")
 
-    own = queries.select("qid", "v", F.lit(math.inf).alias("bound"), "cell")
-    own_visits = {c: r["distinct"] for c, r in stats.items()}
-    lists = _best(_search(own, cells, own_visits, sizes, n, block_rows), n)
-    if n_pivots > 1:
-        lists = materialise(lists, "own-cell")
+    own = queries.select("qid", "v", F.lit(math.inf).alias("bound"), "region")
+    own_visits = {r: v for r, v in own_visits.items() if v}
+    lists = _best(_search(own, cells, own_visits, sizes, n, block_rows, task_rows), n)
+    if len(sizes) > 1:
+        lists = materialise(lists, "own-region")
         reached = lists.groupBy("qid").agg(
             F.when(F.count(F.lit(1)) < n, F.lit(math.inf)).otherwise(F.max("d2")).alias("bound")
         )
         spans = {c: (r["inner"], r["outer"]) for c, r in stats.items()}
         further = materialise(
-            _cells_in_reach(queries.join(reached, "qid"), pivots, spans, n), "reach"
+            _regions_in_reach(queries.join(reached, "qid"), pivots, spans, regions, n), "reach"
         )
-        by_cell = further.select("qid", "v", "bound", F.explode("cells").alias("cell"))
-        visits = {r["cell"]: r["count"] for r in by_cell.groupBy("cell").count().collect()}
-        all_blocks = math.ceil(size / block_rows) + math.ceil(distinct / block_rows)
-        if sum(visits.values()) <= distinct * all_blocks:
-            more = _search(by_cell, cells, visits, sizes, n, block_rows)
-            lists = _best(lists.unionByName(more), n)
-        else:
-            # the bounds rule out too little: every pair of blocks moves fewer rows than the visits
-            one_cell = cells.withColumn("cell", F.lit(0))
-            everyone = further.select("qid", "v", "bound", F.lit(0).alias("cell"))
-            lists = _best(_search(everyone, one_cell, {0: distinct}, {0: size}, n, block_rows), n)
+        by_region = further.select("qid", "v", "bound", F.explode("regions").alias("region"))
+        visits = {r["region"]: r["count"] for r in by_region.groupBy("region").count().collect()}
+        more = _search(by_region, cells, visits, sizes, n, block_rows, task_rows)
+        lists = _best(lists.unionByName(more), n)
     near = lists.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("d2", "nn_id"))).alias("near")
     )

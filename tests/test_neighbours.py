@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from riskloom.operators import neighbours
 from riskloom.operators.joins import join_unique
 from riskloom.operators.neighbours import nearest_neighbours
 
@@ -72,6 +73,27 @@ def test_far_offset_does_not_hide_small_distances(spark):
         assert found(spark, ids, points, 5, **options) == brute_force(ids, points, 5)
 
 
+@pytest.mark.parametrize("task_rows", [40, 150])
+def test_many_regions_and_few_task_rows(spark, task_rows):
+    """Small blocks do not make more tasks: rows move once per part that a region's bound reaches."""
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.normal(size=(250, 4)), rng.normal(size=(150, 4)) + 30, np.ones((60, 4))])
+    ids = rng.permutation(len(points))
+    wanted = brute_force(ids, points, 5)
+    assert found(spark, ids, points, 5, block_rows=16, task_rows=task_rows) == wanted
+    assert found(spark, ids, points, 5, block_rows=16, task_rows=task_rows, max_pivots=3) == wanted
+
+
+def test_a_task_is_a_pair_of_parts_not_of_blocks(spark, monkeypatch):
+    layouts, plain = [], neighbours.small_frame
+    monkeypatch.setattr(neighbours, "small_frame", lambda s, rows, t: layouts.append((t, rows)) or plain(s, rows, t))
+    points = np.random.default_rng(12).normal(size=(600, 5))
+    ids = np.arange(600)
+    assert found(spark, ids, points, 5, block_rows=8, task_rows=200) == brute_force(ids, points, 5)
+    tasks = [sum(a * b for _, a, b in rows) for schema, rows in layouts if "query_parts" in schema]
+    assert len(tasks) == 2 and max(tasks) <= 60
+
+
 def test_fewer_points_than_neighbours(spark):
     points = np.array([[0.0], [1.0], [3.0]])
     assert found(spark, [1, 2, 3], points, 5) == {1: [2, 3], 2: [1, 3], 3: [2, 1]}
