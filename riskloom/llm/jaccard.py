@@ -276,13 +276,26 @@ def _hub_pairs(lists: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame
     return materialise(allowed.select(*order).distinct(), "pairs")
 
 
-def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component's label, of the lists that hold more than one component."""
-    labelled = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "label", F.coalesce("label", "fp")
+def _open_lists(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component's label and parities, of the lists that hold more than one; written.
+
+    Components only grow, so a list that is closed stays closed: ``members`` may be an earlier turn's.
+    Parities and labels travel with the members of open lists alone.
+    """
+    members = members.select("key", "fp", "n", "place")
+    named = labels.withColumnRenamed("node", "fp")
+    label = F.coalesce("label", "fp").alias("label")
+    apart = (
+        members.select("key", "fp")
+        .join(named, "fp", "left")
+        .select("key", label)
+        .groupBy("key")
+        .agg(F.min("label").alias("x"), F.max("label").alias("y"))
     )
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    return labelled.join(apart.where("x <> y").select("key"), "key", "left_semi")
+    keys = materialise(apart.where("x <> y").select("key"), "open_keys")
+    left = members.join(keys, "key", "left_semi").join(named, "fp", "left")
+    left = left.select("key", "fp", "n", "place", label).join(nodes.select("fp", *PARITY), "fp")
+    return materialise(left, "open_lists")
 
 
 def _other_hubs(open_lists: DataFrame, turn: int, sim: Similarity) -> DataFrame:
@@ -359,9 +372,10 @@ def _least_rows(rows: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]
     members = lists.select("key", "fp", "n", "place").union(
         lists.select("key", "hub", "hub_n", "hub_place")
     )
-    members = materialise(members.distinct().join(nodes.select("fp", *PARITY), "fp"), "members")
+    open_lists = materialise(members.distinct(), "members")
     for turn in range(HUB_ROUNDS):
-        met = _other_hubs(_open_lists(members, labels), turn, sim)
+        open_lists = _open_lists(open_lists, nodes, labels)
+        met = _other_hubs(open_lists, turn, sim)
         met = materialise(met.join(tested, ["a", "b"], "left_anti"), "hub_pairs")
         if met.isEmpty():
             break
@@ -370,7 +384,7 @@ def _least_rows(rows: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]
         B.release(spark)
 
     # Every pair of a list that is still apart.
-    open_lists = materialise(_open_lists(members, labels), "open_lists")
+    open_lists = _open_lists(open_lists, nodes, labels)
     one, two = open_lists.alias("s"), open_lists.alias("t")
     close = F.expr(
         "s.key = t.key AND s.label <> t.label AND (s.n < t.n OR s.n = t.n AND s.fp < t.fp) AND "

@@ -234,3 +234,22 @@ def test_what_a_shard_found_survives_packing():
         size = len(shard.texts[row])
         assert lost[head : head + size].sum() == plain[int(shard.ids[row]), size]
     assert again.gone(np.ones(len(again.member), bool), 50).all()
+
+
+def test_parities_travel_with_open_lists_alone(spark):
+    """Members of a list with one component stay behind; what is left carries labels and parities."""
+    from riskloom.llm import jaccard
+
+    kinds = "key long, fp long, n int, place int"
+    members = spark.createDataFrame([(1, 10, 5, 0), (1, 11, 5, 0), (2, 10, 5, 1), (2, 12, 6, 0), (3, 13, 7, 0)], kinds)
+    nodes = spark.createDataFrame(
+        [(fp, *range(fp, fp + 8)) for fp in (10, 11, 12, 13)], ", ".join(f"{c} long" for c in ["fp", *jaccard.PARITY])
+    )
+    labels = spark.createDataFrame([(10, 10), (11, 10)], "node long, label long")
+    first = jaccard._open_lists(members, nodes, labels)
+    columns = ["key", "fp", "n", "place", "label", "p0", "p7"]
+    assert sorted(map(tuple, first.select(columns).collect())) == [
+        (2, 10, 5, 1, 10, 10, 17), (2, 12, 6, 0, 12, 12, 19),
+    ]
+    more = labels.union(spark.createDataFrame([(12, 10)], labels.schema))
+    assert jaccard._open_lists(first, nodes, more).isEmpty()
