@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CELLS_AT_ONCE = 500_000
 _ROUNDING = 1e-12
+#: Stands for a null id: larger than any other.
+_NO_ID = np.iinfo(np.int64).max
 #: Rows of each side that a task holds.
 TASK_ROWS = 16_384
 #: Most points of a block, and the coordinates that its bounding box looks at.
@@ -108,7 +111,7 @@ class _Best:
     def __init__(self, points: np.ndarray, bounds: np.ndarray, n: int):
         self.points, self.bounds, self.n = points, np.array(bounds), n
         self.d2 = np.full((len(points), n), np.inf)
-        self.ids = np.full((len(points), n), np.iinfo(np.int64).max)
+        self.ids = np.full((len(points), n), _NO_ID)
 
     def meet(self, some: np.ndarray, ids: np.ndarray, others: np.ndarray, centre: np.ndarray) -> None:
         """Compare the queries at ``some`` with a block of candidates.
@@ -137,7 +140,7 @@ class _Best:
         row, col, d2, place = row[best], col[best], d2[best], place[best]
         hit, at = np.unique(row, return_inverse=True)
         both_d2 = np.concatenate([self.d2[some[hit]], np.full((len(hit), n), np.inf)], axis=1)
-        both_ids = np.concatenate([self.ids[some[hit]], np.full((len(hit), n), np.iinfo(np.int64).max)], axis=1)
+        both_ids = np.concatenate([self.ids[some[hit]], np.full((len(hit), n), _NO_ID)], axis=1)
         both_d2[at, n + place], both_ids[at, n + place] = d2, ids[col]
         order = np.lexsort((both_ids, both_d2), axis=1)[:, :n]
         self.d2[some[hit]] = np.take_along_axis(both_d2, order, axis=1)
@@ -150,8 +153,8 @@ def _best_in_part(n: int, block_rows: int):
     rows = max(2 * n, min(block_rows, MOST_IN_BLOCK))
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        ids = candidates.column("id").to_numpy()
-        qids = queries.column("qid").to_numpy()
+        ids = pc.fill_null(candidates.column("id"), _NO_ID).to_numpy()
+        qids = pc.fill_null(queries.column("qid"), _NO_ID).to_numpy()
         found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if len(ids) and len(qids):
             points, others = _matrix(queries.column("v")), _matrix(candidates.column("point"))
@@ -191,8 +194,8 @@ def _best_in_part(n: int, block_rows: int):
             found = [qids[row], best.ids[row, place], best.d2[row, place]]
         return pa.table(
             {
-                "qid": pa.array(found[0], pa.int64()),
-                "nn_id": pa.array(found[1], pa.int64()),
+                "qid": pa.array(found[0], pa.int64(), mask=found[0] == _NO_ID),
+                "nn_id": pa.array(found[1], pa.int64(), mask=found[1] == _NO_ID),
                 "d2": pa.array(found[2], pa.float64()),
             }
         )
@@ -331,11 +334,13 @@ def nearest_neighbours(
 
     ``max_pivots`` bounds what tasks receive (pivots and cell radii), ``task_rows`` the rows of each
     side that one holds. From ``block_rows`` points on there are pivots; a block that is compared at once
-    holds no more. None changes the answer. ``points`` is read more than once: pass a table.
+    holds no more. None changes the answer. A point with a missing coordinate has no distance: it has
+    no neighbours and is none. ``points`` is read more than once: pass a table.
     """
     n = k + 1
     vectors = F.col(vector).cast("array<double>")
-    points = points.select(F.col(key).alias("id"), vectors.alias("v"))
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    points = points.select(F.col(key).alias("id"), vectors.alias("v")).filter(whole)
     copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     pool = materialise(
         points.withColumn("copy", copy).filter(F.col("copy") <= n), "distinct-points"

@@ -94,6 +94,21 @@ def test_a_task_is_a_pair_of_parts_not_of_blocks(spark, monkeypatch):
     assert len(tasks) == 2 and max(tasks) <= 60
 
 
+def test_missing_coordinates_and_ids_leave_other_points_alone(spark):
+    rng = np.random.default_rng(13)
+    points = rng.normal(size=(200, 3))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    odd = [(1000 + i, [float(i), None, 0.5 if i % 2 else float("nan")]) for i in range(6)]
+    odd += [(2000, None), (None, [50.0, 50.0, 50.0])]
+    df = spark.createDataFrame(rows + odd, "tx_id long, features array<double>").repartition(4)
+    wanted = brute_force(np.arange(200), points, 4)
+    for options in ({}, {"block_rows": 12, "task_rows": 60}):
+        got = {}
+        for r in nearest_neighbours(df, 4, **options).orderBy("nn_rank").collect():
+            got.setdefault(r["id"], []).append(r["nn_id"])
+        assert got == wanted
+
+
 def test_fewer_points_than_neighbours(spark):
     points = np.array([[0.0], [1.0], [3.0]])
     assert found(spark, [1, 2, 3], points, 5) == {1: [2, 3], 2: [1, 3], 3: [2, 1]}
