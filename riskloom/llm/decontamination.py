@@ -9,7 +9,8 @@ within a number of words.
 
 Terms are compared as text when the index is built and by number afterwards. Tables of terms,
 windows and candidates are written, so Spark knows their sizes and broadcasts them only when
-they are below its threshold; otherwise both sides are shuffled on (term) or (document, position).
+they are below its threshold; otherwise both sides are shuffled on (term) or (document, position). Postings
+pass a bitmap of the wanted terms or texts first, so only a small share of them is ever shuffled.
 A hot term only ever meets the windows in which it is the rarest.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window;
@@ -21,6 +22,7 @@ with the same result. Extra columns are not read.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.blocks import release
 from riskloom.llm.text import lower_ascii, words_of
 from riskloom.storage import materialise
 
@@ -28,6 +30,8 @@ from riskloom.storage import materialise
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The closing posting's term; no word can be equal to it.
 END, END_TERM = "\x00", 0
+#: Bits of the bitmaps that keep postings out of a shuffle (at most 2^18 rows to every executor).
+MARKS = 1 << 24
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -77,6 +81,28 @@ def _same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tag"] == right["tag"])
 
 
+def marked(postings: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The ``postings`` whose ``name``, a hash, is among ``wanted``'s, and a few others.
+
+    So most postings stay where they are when the rest is shuffled. The bitmap, 64 bits a row, has a
+    bounded size: the fuller it is, the more others pass, and the join that follows drops them.
+    """
+    word = f"shiftright({name} & {MARKS - 1}, 6)"
+    bit = F.expr(f"shiftleft(1L, int({name} & 63))")
+    bits = wanted.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    held = postings.join(F.broadcast(bits), F.expr(f"{word} = _word"))
+    return held.where(f"bit_get(_bits, int({name} & 63)) = 1").select(*postings.columns)
+
+
+def _posted(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """The rows (doc_id, tag, p, t ...) that have a posting. Repeated postings repeat no row."""
+    there = postings.select(
+        F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("pos").alias("_pos"), F.col("term").alias("_term")
+    )
+    same = F.expr("doc_id <=> _doc AND tag = _tag AND p = _pos AND t = _term")
+    return wanted.join(there, same, "left_semi")
+
+
 def ranked_terms(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:
     """(window, n, offset, term, rank): each window's terms, rarest in the corpus first.
 
@@ -102,32 +128,21 @@ def find_phrases(index: DataFrame, windows: DataFrame, terms: DataFrame) -> Data
     ranked = materialise(ranked_terms(index, windows, terms), "ranked")
     first = ranked.where("rank = 0").select("window", "n", "offset", "term")
     second = ranked.where("rank = 1").select("window", F.col("offset").alias("o2"), F.col("term").alias("t2"))
-    starts = index.join(first, "term").select(
+    starts = marked(index, first, "term").join(first, "term").select(
         "window", "n", "doc_id", "tag", (F.col("pos") - F.col("offset")).alias("start")
     )
     starts = starts.where("start >= 0").dropDuplicates(["window", "doc_id", "tag", "start"])
-    probes = starts.join(second, "window", "left").withColumn("p2", F.col("start") + F.col("o2"))
-    posted = index.join(second.select(F.col("t2").alias("term")).distinct(), "term", "left_semi")
-    posted = posted.dropDuplicates()
-    near = probes.join(
-        posted,
-        _same_document(probes, posted) & (probes["p2"] == posted["pos"]) & (probes["t2"] == posted["term"]),
-        "left",
-    ).where(F.col("t2").isNull() | F.col("term").isNotNull())
-    near = materialise(
-        near.select("window", "n", probes["doc_id"], probes["tag"], "start"), "candidates"
-    )
+    probes = starts.join(second, "window", "left").withColumn("p", F.col("start") + F.col("o2"))
+    probes = materialise(probes.withColumnRenamed("t2", "t").drop("o2"), "probes")
+    near = _posted(probes.where("t IS NOT NULL"), marked(index, second.select(F.col("t2").alias("term")), "term"))
+    near = near.unionByName(probes.where("t IS NULL")).drop("p", "t")
+    near = materialise(near, "candidates")
+    release(near.sparkSession)
     rest = ranked.where("rank > 1").select("window", F.col("offset").alias("o"), F.col("term").alias("t"))
     wanted = near.join(rest, "window").select(
         "window", "n", "doc_id", "tag", "start", (F.col("start") + F.col("o")).alias("p"), "t"
     )
-    here = near.select("doc_id", "tag").distinct()
-    posted = index.where(F.col("term") != END_TERM)
-    posted = posted.join(here, _same_document(posted, here), "left_semi").dropDuplicates()
-    found = wanted.join(
-        posted,
-        _same_document(wanted, posted) & (wanted["p"] == posted["pos"]) & (wanted["t"] == posted["term"]),
-    ).select("window", "n", wanted["doc_id"], wanted["tag"], "start")
+    found = _posted(wanted, marked(index, near, "tag"))
     whole = (
         found.groupBy("window", "n", "doc_id", "tag", "start")
         .agg(F.count("*").alias("k"))

@@ -224,6 +224,26 @@ def test_decontamination(spark, odd, empty):
     assert 13 not in [r.doc_id for r in decontamination.drop_contaminated(odd, items).collect()]
 
 
+def test_few_postings_meet_the_candidates(spark, monkeypatch):
+    """Texts made of an item's words, which hardly ever hold its passage, stay out of the joins."""
+    passage = " ".join(f"w{i}" for i in range(12))
+    common = " ".join(f"w{i % 11}" for i in range(120, 0, -1))
+    rows = [(i, f"{common} {passage}" if i % 100 == 0 else common) for i in range(400)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, passage)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    plain, met = decontamination._posted, []
+
+    def posted(wanted, postings):
+        met.append(postings.count())
+        return plain(wanted, postings)
+
+    monkeypatch.setattr(decontamination, "_posted", posted)
+    found = decontamination.report(docs, items).where("contaminated")
+    same(found, ("doc_id", "n_words", "n_hit"), [(i, 132, 12) for i in (0, 0, 100, 200, 300)] + [(None, 12, 12)])
+    # Of 48,000 postings: the second terms', which are rare, and those of the texts with candidates.
+    assert len(met) == 2 and met[1] < 1_000
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "red " + "x " * 9 + "blue green")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "green red blue")], "item_id long, text string")
