@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.blocks import release
+from riskloom.llm.marks import marked
 from riskloom.llm.text import lower_ascii, words_of
 from riskloom.storage import materialise
 
@@ -30,8 +31,6 @@ from riskloom.storage import materialise
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The closing posting's term; no word can be equal to it.
 END, END_TERM = "\x00", 0
-#: Bits of the bitmaps that keep postings out of a shuffle (at most 2^18 rows to every executor).
-MARKS = 1 << 24
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -81,19 +80,6 @@ def _same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tag"] == right["tag"])
 
 
-def marked(postings: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """The ``postings`` whose ``name``, a hash, is among ``wanted``'s, and a few others.
-
-    So most postings stay where they are when the rest is shuffled. The bitmap, 64 bits a row, has a
-    bounded size: the fuller it is, the more others pass, and the join that follows drops them.
-    """
-    word = f"shiftright({name} & {MARKS - 1}, 6)"
-    bit = F.expr(f"shiftleft(1L, int({name} & 63))")
-    bits = wanted.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    held = postings.join(F.broadcast(bits), F.expr(f"{word} = _word"))
-    return held.where(f"bit_get(_bits, int({name} & 63)) = 1").select(*postings.columns)
-
-
 def _posted(wanted: DataFrame, postings: DataFrame) -> DataFrame:
     """The rows (doc_id, tag, p, t ...) that have a posting. Repeated postings repeat no row."""
     there = postings.select(

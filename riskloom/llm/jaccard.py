@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import blocks as B
 from riskloom.llm.graph import components
+from riskloom.llm.marks import with_marks
 from riskloom.llm.names import R2, R3, mixed
 from riskloom.llm.sets import PARITIES, PARITY, Similarity, marked, near, parities, pieces, shingle_sets, verify
 from riskloom.llm.sets import rows as rows_of
@@ -436,10 +437,14 @@ def keep_one(docs: DataFrame, sim: Similarity) -> DataFrame:
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tag"),
         row,
     )
-    kept = rows.join(gone, ["id", "tag"], "left_anti")
     twice = found.groupBy("id", "tag").count().where("count > 1").select("id", "tag")
     twice = materialise(twice, "repeated_rows")
+    # Rows that are neither stay where they are; only those that may be are shuffled.
+    rows = with_marks(rows, gone.union(twice), "tag", "asked")
+    clear, asked = rows.where("NOT asked"), rows.where("asked")
+    kept = asked.join(gone, ["id", "tag"], "left_anti")
     once = kept.join(twice, ["id", "tag"], "left_anti")
     again = kept.join(twice, ["id", "tag"], "left_semi").withColumn("at", F.xxhash64("row"))
     again = again.groupBy("id", "tag").agg(F.min_by("row", "at").alias("row"))
-    return once.unionByName(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    whole = clear.select("row").unionByName(once.select("row")).unionByName(again.select("row"))
+    return whole.select(*[F.col("row")[c].alias(c) for c in docs.columns])

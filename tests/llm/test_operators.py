@@ -139,6 +139,26 @@ def test_jaccard(spark, sf_dir, documents, odd, empty):
     assert ids.count(8) == 0 and ids.count(7) == 1 and None not in ids and {1, 2, 3, 10} <= set(ids)
 
 
+def test_rows_without_copies_stay_out_of_the_joins(spark, monkeypatch):
+    """One document of each group stays; rows without a copy meet no list of rows to drop."""
+    alone = [(i, " ".join(f"t{i}x{j}" for j in range(30)), i) for i in range(1000)]
+    copies = [(5000 + i, f"{NEAR} {i}", i) for i in range(5)] + [alone[3], alone[3][:2] + (9,), (None, NEAR, 1)]
+    docs = spark.createDataFrame(alone + copies, "doc_id long, text string, n int")
+    plain, asked = jaccard.with_marks, []
+
+    def with_marks(*args):
+        out = plain(*args)
+        asked.append(out.where(args[-1]).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "with_marks", with_marks)
+    kept = jaccard.keep_one(docs, jaccard.Similarity())
+    ids = got(kept, "doc_id")
+    assert len(ids) == 1001 and ids.count((3,)) == 1 and asked and asked[0] < 30
+    smallest = min((r.doc_id for r in docs.where("n < 9 AND doc_id >= 5000").collect()))
+    assert {(i,) for i in range(1000)} <= set(ids) and set(ids) - {(i,) for i in range(1000)} <= {(smallest,), (None,)}
+
+
 def test_small_sets_link_by_subsets(spark):
     base = [f"w{i}" for i in range(16)]
     docs = [(i, " ".join(base[: 3 + i % 6] + [f"u{i}"] * (i % 3 == 0))) for i in range(30)]
