@@ -131,17 +131,16 @@ def judge_json(lines: DataFrame, column: str = "value") -> DataFrame:
     numbers = F.transform("_texts", lambda x: default(x).otherwise(number_from_text(x["text"])))
     unread = F.transform(F.filter("_texts", lambda x: is_unparsable_text(x["text"])), lambda x: x["name"])
     key_text = F.try_element_at("_tx", F.lit(KEY))
-    rows = (
+    bad_key = F.when(F.col("_key").isNotNull() & F.col(KEY).isNull(), KEY)
+    read = (
         parsed.withColumns({"_texts": texts, "_key": key_text, KEY: F.trim(key_text).try_cast("long")})
-        .withColumns({"_numbers": numbers, "_unread": unread})
-        .select(
-            *others,
-            KEY,
-            *[F.get("_numbers", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)],
-            "_record",
-            F.concat_ws(",", "_unread", F.when(F.col("_key").isNotNull() & F.col(KEY).isNull(), KEY)).alias("_bad"),
-        )
+        .withColumns({"_numbers": numbers, "_bad": F.concat_ws(",", unread, bad_key)})
+        # Each row gives one. A filter on the columns does not pass a generator; below the projections it would
+        # hold all of them for every feature, and parse the line anew in each turn of each loop.
+        .select(*others, "_record", F.inline(F.array(F.struct(KEY, "_numbers", "_bad"))))
     )
+    numbered = [F.get("_numbers", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)]
+    rows = read.select(*others, KEY, *numbered, "_record", "_bad")
     unparsable = F.when(F.col("_bad") != "", F.concat(F.lit("not a number: "), "_bad"))
     reason = F.coalesce(unparsable, reject_reason(amount_required=True), gap_reason())
     return rows.withColumn("_reason", reason).drop("_bad")

@@ -149,6 +149,21 @@ def test_json_gaps_and_wrong_types_are_rejected_with_their_line(spark):
     assert got == {k: v for k, v in JSON_LINES.items() if v}
 
 
+def test_json_lines_are_parsed_once_whatever_is_filtered(spark, tmp_path):
+    """A filter on judged rows holds no copy of the parsing, and gives the rows that it names."""
+    lines = spark.createDataFrame([(x,) for x in [*JSON_LINES, None]], "value string")
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    valid, rejected = files.parse_json_transactions(lines)
+    chosen = files.judge_json(lines).filter("V2 = 0.0 AND Amount > 0.5 AND tx_id > 6")
+    for df in (valid, rejected, chosen):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r["tx_id"] for r in valid.collect()] == [1]
+    reasons = {r["record"]: r["reject_reason"] for r in rejected.collect()}
+    assert reasons == {None: "amount missing", **{k: v for k, v in JSON_LINES.items() if v}}
+    assert [(r["tx_id"], r["_reason"]) for r in chosen.collect()] == [(7, "not a number: V4")]
+
+
 def test_stream_keeps_scored_and_rejected_rows(spark, tmp_path):
     from riskloom.plans import registry
     from riskloom.streaming import live
